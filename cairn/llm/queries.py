@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, mixing, pii
+from cairn.llm import decontam, langid, mixing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(table(spark, sf_dir, "documents"))
+    pages = langid.page_evidence(table(spark, sf_dir, "pages")).select("page_id", "page_text", "page_host", "page_domain", "page_suffix", "page_declared")
+    found = langid.identify(pages, model, text="page_text", host="page_host", domain="page_domain", suffix="page_suffix", declared="page_declared")
+    return found.select("page_id", "page_host", "page_declared", "lang_text", "lang_id", "lang_posterior", "lang_accepted")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "block", "slot", "mix_pos", "on_target")
 
@@ -25,9 +37,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_bundles(table(spark, sf_dir, "pages"))
+    return warc.read_bundles(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pfair_mix, op6_pii, op7_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_pfair_mix, op6_pii, op7_decontaminate, op10_warc)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_pfair_mix": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE}
+    return {"op4_pfair_mix": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op10_warc": warc.ORACLE}
