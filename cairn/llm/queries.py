@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, langid, mixing, pii, quality, warc
+from cairn.llm import decontam, langid, mixing, pii, quality, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "block", "slot", "mix_pos", "on_target")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_pfair_mix, op6_pii, op7_decontaminate, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_pfair_mix, op5_substring_dedup, op6_pii, op7_decontaminate, op10_warc)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_pfair_mix": mixing.ORACLE, "op7_decontaminate": decontam.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op4_pfair_mix": mixing.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_decontaminate": decontam.ORACLE, "op10_warc": warc.ORACLE}
