@@ -83,13 +83,27 @@ def powers(n: int, down: bool = False) -> np.ndarray:
     return _powers[name][:n]
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs without ASCII whitespace) of several texts, and the offsets of each text's words."""
+#: Letters and digits in lower case, other ASCII as the end of a word, bytes beyond ASCII as they are.
+PLAIN = np.zeros(256, np.uint8)
+PLAIN[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = list(b"0123456789abcdefghijklmnopqrstuvwxyz")
+PLAIN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = list(b"abcdefghijklmnopqrstuvwxyz")
+PLAIN[128:] = np.arange(128, 256)
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, fold: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of several texts, and the offsets of each text's words.
+
+    Words are runs without ASCII whitespace, or, with ``fold``, runs of bytes that it doesn't map to 0, mapped by it.
+    """
     base = int(at[0])
     data = data[base : int(at[-1])]
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    solid = ~_SPACE[data]
+    if fold is None:
+        solid = ~_SPACE[data]
+    else:
+        data = fold[data]
+        solid = data > 0
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     edges = at[:-1] - base

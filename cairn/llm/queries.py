@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, langid, mixing, pii, quality, substring, suffix, warc
+from cairn.llm import decontam, langid, mixing, ordminhash, pii, quality, substring, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,13 +45,17 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordminhash.classify(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_bundles(table(spark, sf_dir, "pages"))
     return warc.read_bundles(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_pfair_mix, op5_substring_dedup, op6_pii, op7_decontaminate, op8_suffix_array_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_pfair_mix, op5_substring_dedup, op6_pii, op7_decontaminate, op8_suffix_array_dedup, op9_order_minhash, op10_warc)}
 
 
 def oracles() -> dict[str, str]:
