@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import decontam, langid, mixing, ordminhash, pii, quality, substring, suffix, warc
+from cairn.llm import decontam, langid, lshforest, mixing, ordminhash, pii, quality, substring, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lshforest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "block", "slot", "mix_pos", "on_target")
 
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op4_pfair_mix, op5_substring_dedup, op6_pii, op7_decontaminate, op8_suffix_array_dedup, op9_order_minhash, op10_warc)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_prefix_forest, op4_pfair_mix, op5_substring_dedup, op6_pii, op7_decontaminate, op8_suffix_array_dedup, op9_order_minhash, op10_warc)}
 
 
 def oracles() -> dict[str, str]:
