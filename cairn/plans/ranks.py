@@ -167,7 +167,7 @@ QUERIES = {f.__name__: f for f in (bm25_topk, bm25_topk_norm, bm25_topk_scoped,
 _FOLD = "replace(lower({}), 'ß', 'ss')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.QUERY_STOP_WORDS) + "]"
 _NUM = ("list_distinct(list_transform(regexp_extract_all(regexp_replace({0}, '[\\x{{C0}}-\\x{{D6}}\\x{{D8}}-\\x{{F6}}\\x{{F8}}-\\x{{24F}}]', '_', 'g'), "
-        "'(?i)(?:^|[^\\pL\\pN_.])((?:[$€£]\\s*|(?:usd|eur|gbp)\\s+)?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:[.,][0-9]+)?)(?:(?:bn|m|b|x)?\\b|%\\B))', 1), lambda t: replace(lower(t), ' ', '')))")
+        "'(?i)(?:^|[^\\pL\\pN_.])((?:[$€£]\\s*|(?:usd|eur|gbp)\\s+)?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:[.,][0-9]+)?)(?:%\\B|(?:bn|m|b|x)?\\b))', 1), lambda t: replace(lower(t), ' ', '')))")
 _QW = "list_distinct(list_filter(regexp_extract_all(" + _FOLD + f", '{T.QUERY_WORD}'), lambda w: NOT list_contains({_STOP}, w)))"
 _BM25 = f"""
 dtok AS (SELECT passage_id, period, regexp_extract_all({_FOLD.format('text')}, '{T.BM25_TOKEN}') AS t FROM passages),

@@ -165,7 +165,7 @@ ORACLES = {
     "lexical_tokens": _token_sql("(SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(regexp_extract_all(f, '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(f, '[a-z0-9]+'), 1) AS i) GROUP BY w))").replace("len(t)", "coalesce(len(t), 0)").replace("array_to_string(t, ' ')", "coalesce(array_to_string(t, ' '), '')"),
     "numeric_tokens": _token_sql(
         "(SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT replace(lower(unnest(x)), ' ', '') AS w, generate_subscripts(x, 1) AS i FROM (SELECT regexp_extract_all(regexp_replace(text, '[\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]', '_', 'g'), "
-        "'(?i)(?:^|[^\\pL\\pN_.])((?:[$€£]\\s*|(?:usd|eur|gbp)\\s+)?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:[.,][0-9]+)?)(?:(?:bn|m|b|x)?\\b|%\\B))', 1) AS x)) GROUP BY w))"
+        "'(?i)(?:^|[^\\pL\\pN_.])((?:[$€£]\\s*|(?:usd|eur|gbp)\\s+)?(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|[0-9]+(?:[.,][0-9]+)?)(?:%\\B|(?:bn|m|b|x)?\\b))', 1) AS x)) GROUP BY w))"
     ).replace("len(t)", "coalesce(len(t), 0)").replace("array_to_string(t, ' ')", "coalesce(array_to_string(t, ' '), '')"),
     "query_words": _token_sql(f"(SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest({_QW}) AS w, generate_subscripts({_QW}, 1) AS i) GROUP BY w))").replace("len(t)", "coalesce(len(t), 0)").replace("array_to_string(t, ' ')", "coalesce(array_to_string(t, ' '), '')"),
     "token_coverage": f"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
-MODULES: tuple[str, ...] = ("texts", "ranks")
+MODULES: tuple[str, ...] = ("texts", "ranks", "chunks")
 
 
 def queries() -> dict[str, Query]:
