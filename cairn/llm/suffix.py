@@ -33,7 +33,7 @@ from cairn.llm import repeats
 from cairn.llm.common import mix64, powers, row_keys
 
 WINDOW = 200
-PLAN = repeats.Plan("bytes", WINDOW, gram=80, shard=6_000_000)
+PLAN = repeats.Plan("bytes", WINDOW, gram=32, shard=2_500_000)
 #: Tuples that the queues of one sweep keep in memory.
 QUEUE_ROWS = 2_000_000
 #: Tuples that one step handles.
@@ -100,7 +100,7 @@ class Queues:
 
 
 class Sweep:
-    """Hands suffixes on to the queues of the bytes before them, with what they share."""
+    """Hands suffixes on to the queues of the bytes before them, with what they share (nothing, if ``cap`` is 0)."""
 
     def __init__(self, text: np.ndarray, rises: np.ndarray, to_rises: bool, sigma: int, cap: int, queues: Queues) -> None:
         self.text, self.rises, self.to_rises, self.cap, self.queues = text, rises, to_rises, cap, queues
@@ -111,12 +111,19 @@ class Sweep:
         before = at - 1
         pick = np.flatnonzero((before >= 0) & (self.rises[before] == self.to_rises))
         if not len(pick):
-            np.minimum(self.least, shared.min(), out=self.least)
+            if self.cap:
+                np.minimum(self.least, shared.min(), out=self.least)
             return
         byte = self.text[before[pick]]
         order = np.argsort(byte, kind="stable")
         pick, byte = pick[order], byte[order]
         head = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+        target = before[pick]
+        if not self.cap:  # only the order is asked for
+            value = np.zeros(len(pick), np.int16)
+            for h, t in zip(head.tolist(), [*head[1:].tolist(), len(pick)], strict=True):
+                self.queues.push(int(byte[h]), target[h:t], value[h:t])
+            return
         tail = np.append(head[1:], len(pick)) - 1
         low = np.minimum.accumulate(shared)
         value = np.empty(len(pick), np.int16)
@@ -130,7 +137,6 @@ class Sweep:
         np.minimum(self.least, low[-1], out=self.least)
         after = np.append(np.minimum.accumulate(shared[::-1])[::-1], np.int16(self.cap))
         self.least[byte[tail]] = after[np.minimum(pick[tail] + 1, m)]
-        target = before[pick]
         for h, t in zip(head.tolist(), (tail + 1).tolist(), strict=True):
             self.queues.push(int(byte[h]), target[h:t], value[h:t])
 
@@ -172,7 +178,7 @@ def _rises(text: np.ndarray, folder: str) -> np.ndarray:
 
 
 def _run(text: np.ndarray, at: int, cap: int) -> int:
-    own = text[at : at + cap]
+    own = text[at : at + max(1, cap)]
     other = np.flatnonzero(own != own[0])
     return int(other[0]) if len(other) else len(own)
 
@@ -237,20 +243,21 @@ def _induce(text: np.ndarray, rises: np.ndarray, seeds: np.ndarray, seed_shared:
 def _shared_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
     """For each suffix of a sorted list, the bytes that it shares with the one before, ``cap`` at most; read from the text."""
     out = np.zeros(len(order), np.int16)
-    step = 16
+    size = text.itemsize
+    padded = np.concatenate([text, np.zeros(16 // size, text.dtype)])
+    words = np.ndarray((len(text),), np.uint64, padded, strides=(size,))  # eight bytes from each place
     for i in range(1, len(order), BLOCK):
         a, b = order[i - 1 : i - 1 + BLOCK][: len(order) - i], order[i : i + BLOCK]
         have, open_ = np.zeros(len(b), np.int64), np.arange(len(b))
         while len(open_):
-            x, y = a[open_] + have[open_], b[open_] + have[open_]
-            reach = np.arange(step)
-            last = len(text) - 1
-            left, right = text[np.minimum(x[:, None] + reach, last)], text[np.minimum(y[:, None] + reach, last)]
-            differ = (left != right) | (np.maximum(x, y)[:, None] + reach >= last)
-            at = differ.argmax(axis=1)
-            ended = differ[np.arange(len(open_)), at]
-            have[open_] += np.where(ended, at, step)
-            open_ = open_[~ended & (have[open_] < cap)]
+            # the last symbol is like no other, so two places differ before either runs out
+            differ = words[a[open_] + have[open_]] ^ words[b[open_] + have[open_]]
+            ended = differ != 0
+            lowest = differ[ended] & (~differ[ended] + np.uint64(1))
+            have[open_[ended]] += (np.frexp(lowest.astype(np.float64))[1] - 1) // (8 * size)
+            open_ = open_[~ended]
+            have[open_] += 8 // size
+            open_ = open_[have[open_] < cap]
         out[i : i + len(b)] = np.minimum(have, cap)
     return out
 
@@ -273,7 +280,7 @@ def _sort_names(names: np.ndarray, cap: int, folder: str, depth: int) -> np.ndar
         after = np.zeros(n, np.int64)
         after[: n - h] = rank[h:] + 1
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank, h = new, 2 * h
@@ -292,7 +299,7 @@ def suffixes(text: np.ndarray, sigma: int, cap: int, folder: str, depth: int = 0
         rough = seeds[np.argsort(text[seeds], kind="stable")]
         is_seed = _array(folder, "seeds", bool, len(text))
         is_seed[seeds] = True
-        parts = [at[is_seed[at]] for at, _ in _induce(text, rises, rough, np.zeros(len(rough), np.int16), sigma, cap, folder, "names")]
+        parts = [at[is_seed[at]] for at, _ in _induce(text, rises, rough, np.zeros(len(rough), np.int16), sigma, 0, folder, "names")]
         order = np.concatenate(parts)[::-1]
         place = np.searchsorted(seeds, order)
         length = np.append(np.diff(seeds), 0) + 1
@@ -336,9 +343,10 @@ def search(pieces: list[bytes], counts: list[int], window: int) -> list[np.ndarr
     whole = b"".join(pieces)
     lens = np.array([len(p) for p in pieces])
     starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]]).astype(np.int64)
-    text = np.ones(len(whole) + len(pieces) + 1, np.uint16)
-    at = np.arange(len(whole)) + np.repeat(np.arange(len(pieces)), lens)
-    text[at] = np.frombuffer(whole, np.uint8).astype(np.uint16) + 2
+    raw = np.frombuffer(whole, np.uint8)
+    kind = np.uint8 if len(raw) and raw.max() < 254 else np.uint16  # UTF-8 has no byte beyond 244
+    text = np.ones(len(whole) + len(pieces) + 1, kind)
+    text[np.arange(len(whole)) + np.repeat(np.arange(len(pieces)), lens)] = raw.astype(kind) + kind(2)
     text[-1] = 0
     flags = repeated_starts(text, 258, window)
     return [np.ones(n - window + 1, bool) if k > 1 else flags[s : s + n - window + 1] for s, n, k in zip(starts.tolist(), lens.tolist(), counts, strict=True)]
