@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.binding import let
+
 #: Bytes of text that one numpy step holds at a time; bounds a task's memory whatever an Arrow batch holds.
 CHUNK_BYTES = 1 << 20
 
@@ -21,17 +23,18 @@ def row_keys(df: DataFrame, *cols: str) -> DataFrame:
 
 def prefix_sums(lens: Column, block: int = 128) -> Column:
     """Sums of all elements before each one, native; about ``block`` steps for each element, at any length."""
-    n = F.size(lens)
     zero = F.lit(0)
-    blocks = F.transform(
-        F.sequence(zero, F.floor((n - 1) / block).cast("int")),
-        lambda b: F.aggregate(F.slice(lens, b * block + 1, block), zero, lambda a, x: a + x),
-    )
-    return F.transform(
-        F.sequence(zero, n - 1),
-        lambda i: F.aggregate(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int")), zero, lambda a, x: a + x)
-        + F.aggregate(F.slice(lens, F.floor(i / block).cast("int") * block + 1, i % block), zero, lambda a, x: a + x),
-    )
+
+    def total(a: Column, start: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(a, start + 1, n), zero, lambda s, x: s + x)
+
+    def sums(own: Column, blocks: Column) -> Column:
+        return F.transform(own, lambda _, i: total(blocks, zero, F.floor(i / block).cast("int")) + total(own, F.floor(i / block).cast("int") * block, i % block))
+
+    def blocks(own: Column) -> Column:
+        return F.transform(F.sequence(zero, F.floor(F.size(own) / block).cast("int")), lambda b: total(own, b * block, F.lit(block)))
+
+    return let(lens, lambda own: let(blocks(own), lambda b: sums(own, b)))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

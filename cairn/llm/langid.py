@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.binding import let
 from cairn.llm.common import chunks, utf8
 from cairn.session import broadcast_if_small, materialise
 
@@ -112,9 +113,8 @@ def with_likelihoods(df: DataFrame, model: TextModel, text: str = "text") -> Dat
 
 
 def _softmax(ll: Column) -> Column:
-    top = F.array_max(ll)
-    e = F.transform(ll, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    powers = let(F.array_max(ll), lambda top: F.transform(ll, lambda x: F.exp(x - top)))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def _sums(rows: DataFrame, key: str, width: int) -> DataFrame:
@@ -129,8 +129,7 @@ def _plus(a: Column, b: Column, weight: float = 1.0) -> Column:
 
 def _share(counts: Column, prior: Column, strength: float) -> Column:
     """Dirichlet smoothing of counts toward a prior."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + strength
-    return F.transform(_plus(counts, prior, strength), lambda x: x / total)
+    return let(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x) + strength, lambda total: F.transform(_plus(counts, prior, strength), lambda x: x / total))
 
 
 def identify(df: DataFrame, model: TextModel, *, text: str = "text", host: str | None = None, domain: str | None = None, suffix: str | None = None, declared: str | None = None) -> DataFrame:
