@@ -98,3 +98,30 @@ def call_graph_problems(edges: DataFrame, max_depth: int = 64) -> DataFrame:
             break
         size = now
     return unknown.unionByName(left.select("case_id", "call_id").distinct().withColumn("problem", F.lit("cycle")))
+
+
+# Wordings that count for a required limitation.
+LIMITATIONS = {
+    "currencies": ("currencies", "currency"),
+    "reporting periods": ("reporting periods", "reporting period"),
+    "business definitions": ("business definitions", "business definition", "business mixes", "business mix"),
+}
+
+
+def limitation_coverage(required: Column, text: Column, synonyms: dict[str, tuple[str, ...]] = LIMITATIONS) -> Column:
+    """Share of required limitations that a text words in one way or another; 1 if none is required."""
+    plain = T.fold(text)
+    known = F.create_map(*(x for k, v in synonyms.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))
+    ways = lambda p: F.coalesce(F.try_element_at(known, T.fold(p)), F.array(T.fold(p)))
+    met = F.filter(required, lambda p: F.exists(ways(p), lambda w: F.contains(plain, w)))
+    return F.when(F.size(required) == 0, 1.0).otherwise(F.size(met) / F.size(required))
+
+
+def citation_integrity(facts: DataFrame, observed: DataFrame) -> DataFrame:
+    """All or nothing for each run: every fact's (source, evidence) pair was observed, and the run's list of sources is the
+    ordered union of its facts' sources. ``facts`` has (run_id, no, source, evidence, claimed)."""
+    pairs = observed.select("source", "evidence").distinct().withColumn("ok", F.lit(True))
+    rows = facts.join(pairs, ["source", "evidence"], "left").groupBy("run_id").agg(
+        F.bool_and(F.coalesce("ok", F.lit(False))).alias("backed"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("no", "source"))), lambda s: s["source"])).alias("union"), F.first("claimed").alias("claimed")
+    )
+    return rows.select("run_id", "backed", (F.col("union") == F.col("claimed")).alias("union_holds"), F.when(F.col("backed") & (F.col("union") == F.col("claimed")), 1.0).otherwise(0.0).alias("score"))
