@@ -232,9 +232,9 @@ def observation_refs(spark, d):
 
 
 def cited_facts(spark, d):
-    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("v"))
+    c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("v"))
     n = table(spark, d, "nation")
-    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select("n_name", F.concat(F.col("n_name"), F.lit(" average balance "), F.format_number("v", 2)).alias("claim"))
+    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select("n_name", F.concat(F.col("n_name"), F.lit(" highest balance "), F.format_number("v", 2)).alias("claim"))
 
 
 def company_claims(spark, d):
@@ -308,6 +308,6 @@ ORACLES = {
     "argument_violations": "SELECT event_id, CASE WHEN k < 5 THEN 'minimum' ELSE 'maximum' END AS rule FROM (SELECT event_id, (props::JSON->>'k')::INT AS k FROM events) WHERE k < 5 OR k > 90",
     "call_graph_violations": "SELECT l_orderkey AS case_id, CASE WHEN l_orderkey % 97 = 0 THEN 'cycle' ELSE 'unknown_prerequisite' END AS problem, CASE WHEN l_orderkey % 97 = 0 THEN count(*) ELSE 1 END AS calls FROM lineitem WHERE l_orderkey % 97 = 0 OR l_orderkey % 89 = 0 GROUP BY 1",
     "observation_refs": "SELECT event_id, (props::JSON->>'k')::INT AS k FROM events WHERE event_type = 'click'",
-    "cited_facts": "SELECT n_name, n_name || ' average balance ' || format('{:,.2f}', round(avg(c_acctbal), 2)) AS claim FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "cited_facts": "SELECT n_name, n_name || ' highest balance ' || format('{:,.2f}', max(c_acctbal)) AS claim FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "company_claims": _W.removesuffix(", ") + " SELECT run_id, string_agg(phase, '>' ORDER BY f) AS \"order\" FROM (SELECT run_id, phase, min(index) AS f FROM trajectory WHERE phase <> 'guardrail' GROUP BY 1, 2) GROUP BY 1",
 }
