@@ -43,7 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: lineage ends there, and no executor's loss undoes it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
