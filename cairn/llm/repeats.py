@@ -180,12 +180,15 @@ def find(df: DataFrame, plan: Plan, search: Searcher, digest: Callable[[bytes],
     wanted = each.join(often, "a", "left_semi").groupBy("_k1").agg(F.collect_set("a").alias("wanted"))  # within one document
     pieces = pieces_of(df, wanted, plan)
     pieces = materialise(pieces.withColumns({"p1": F.xxhash64("piece"), "p2": F.xxhash64(F.lit(1), "piece")}), "pieces")
-    distinct = pieces.groupBy("a", "p1", "p2").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
-    distinct = materialise(distinct, "distinct-pieces")
-    hot = distinct.groupBy("a").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_PIECES).select("a")
-    hot = broadcast_if_small(materialise(hot, "hot-anchors"), 100_000)
-    found = search_shards(distinct.join(hot, "a", "left_anti"), plan, search)
-    found = materialise(found.unionByName(_single_windows(distinct.join(hot, "a", "left_semi"), plan)), "piece-repeats")
+    kinds = pieces.select("a", "p1", "p2").distinct().groupBy("a").agg(F.count("*").alias("_n"))
+    hot = materialise(kinds.where(F.col("_n") > HOT_PIECES).select("a"), "hot-anchors")
+    distinct = lambda some: some.groupBy("a", "p1", "p2").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
+    if hot.isEmpty():
+        found = search_shards(distinct(pieces), plan, search)
+    else:
+        few = broadcast_if_small(hot, 100_000)
+        found = search_shards(distinct(pieces.join(few, "a", "left_anti")), plan, search).unionByName(_single_windows(distinct(pieces.join(few, "a", "left_semi")), plan))
+    found = materialise(found, "piece-repeats")
     spans = pieces.select("_k1", "_k2", "start", "p1", "p2").join(found, ["p1", "p2"])
     spans = spans.select("_k1", "_k2", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["lo"]).alias("s"), (F.col("start") + r["hi"] + plan.window - 1).alias("e")))).alias("r"))
     return scanned, spans.groupBy("_k1", "_k2").agg(F.collect_list("r").alias("spans"))  # within one document
