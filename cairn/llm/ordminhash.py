@@ -8,12 +8,13 @@ probability of about s ** PICKS, so of SKETCHES sketches a pair at 0.8 shares fe
 Similarity is that of an alignment of the two sequences of labelled shingles: matches in order, over all. A similarity of
 0.8 leaves at most a ninth of both texts unmatched, which bounds how far a match may lie off the diagonal: the band.
 
-Texts of the same words are one node. A bucket (the nodes of one sketch) is never paired out: in each round every node draws
-a rank at random, the first of a bucket leads it, and each node whose class is not the leader's meets the leaders that lead
-most of its buckets: one in the first round, NEAREST in the others. Links move classes to lesser ones that they are linked
-with, buckets of one class are done with, and rounds go on until one finds no link (the second at the earliest). The classes
-returned are the components of all links found. Two linked nodes share half of their buckets; they could stay apart only if,
-in round after round, nearer strangers came between them in nearly all of these.
+Texts of the same words are one node. A bucket (the nodes of one sketch) is never paired out: in each round each bucket has a
+leader, and each node whose class is not the leader's meets the leaders of all its buckets, save those with which it shares
+fewer than MIN_SHARED of all sketches. Leaders are drawn by node in the first round, so that a group has few of them, and by
+bucket in the others; every second round prefers nodes with most links in the round before, so an original meets all copies
+that are alike only through it. Links move classes to lesser ones that they are linked with, buckets of one class are done
+with, and rounds go on until one finds no link (the second at the earliest). The classes returned are the components of all
+links found.
 
 Defined cases: null texts and texts without any character are each a class of their own; texts without words are compared
 as they are; texts of fewer than SHINGLE words are one shingle; repeated rows are copies; a class is named by its least id
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.common import PLAIN, chunks, gram_hashes, mix64, powers, row_keys, utf8, word_hashes
@@ -38,7 +39,6 @@ PICKS = 3
 SKETCHES = 20
 MIN_SHARED = 2
 SIMILARITY = 0.8
-NEAREST = 2
 ROUNDS = 10
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
@@ -115,7 +115,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, _k1, _k2, node, sketches): node is null for texts that have no copies by definition."""
+    """(doc_id, _k1, _k2, node, n, sketches), n the number of shingles: node is null for texts that have no copies by definition."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -137,30 +137,39 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         lists.append(np.zeros(0, np.int64))
                 lens = [len(x) for x in lists]
                 values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(nodes, pa.binary()), values], names=["doc_id", "_k1", "_k2", "node", "sketches"])
+                own = [*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array(nodes, pa.binary()), pa.array(np.diff(offsets), pa.int32()), values]
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "_k1", "_k2", "node", "n", "sketches"])
 
     rows = row_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", "_text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "_k1", "_k2", "_text").mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, node binary, sketches array<long>")
+    return rows.select("doc_id", "_k1", "_k2", "_text").mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, node binary, n int, sketches array<long>")
+
+
+def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that share MIN_SHARED of all their sketches and differ in length by no more than SIMILARITY allows."""
+    one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("sa"))
+    two = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb"))
+    lengths = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
+    return pairs.join(one, "a").join(two, "b").where(lengths & (F.size(F.array_intersect("sa", "sb")) >= MIN_SHARED)).select("a", "b", "ca", "cb")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Classes (a, b) of the pairs of nodes whose texts align to SIMILARITY or more."""
+    """(a, b, one, two): classes and nodes of the pairs of nodes whose texts align to SIMILARITY or more."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            left, right = utf8(batch.column(2)), utf8(batch.column(3))
+            left, right = utf8(batch.column(4)), utf8(batch.column(5))
             both = left[1] + right[1]
             keep = np.zeros(batch.num_rows, bool)
             for i, j in chunks(both):
                 (x, xo, _, _), (y, yo, _, _) = labelled_shingles(left[0], left[1][i : j + 1]), labelled_shingles(right[0], right[1][i : j + 1])
                 for t in range(j - i):
                     keep[i + t] = similarity(x[xo[t] : xo[t + 1]], y[yo[t] : yo[t + 1]]) >= SIMILARITY - 1e-12
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(4)], names=["a", "b", "one", "two"])
 
     one = texts.select(F.col("node").alias("a"), F.col("_text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("_text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("ca", "cb", "ta", "tb").mapInArrow(run, "a binary, b binary").distinct()
+    return pairs.join(one, "a").join(two, "b").select("ca", "cb", "a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, one binary, two binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -194,14 +203,17 @@ def _hooked(links: DataFrame) -> DataFrame:
     return least.join(onward, "to").select("class", F.col("on").alias("to"))
 
 
-def _meetings(members: DataFrame, step: int) -> DataFrame:
-    """(a, b, ca, cb): nodes, the leaders that they meet in this round, and the classes of both."""
-    first = F.min_by(F.struct("node", "class"), F.struct(F.xxhash64(F.lit(step), "node"), "node"))
+def _meetings(members: DataFrame, step: int, links: DataFrame | None) -> DataFrame:
+    """(a, b, ca, cb): nodes, the leaders of their buckets in this round, and the classes of both. ``links`` are the last round's."""
+    rank = [F.xxhash64(F.lit(step), "s", "node") if step else F.xxhash64("node"), F.col("node")]
+    if links is not None and step % 2:
+        n = links.select(F.explode(F.array("one", "two")).alias("node")).groupBy("node").agg(F.count("*").alias("linked"))
+        members = members.join(n, "node", "left")
+        rank.insert(0, -F.coalesce("linked", F.lit(0)))
+    first = F.min_by(F.struct("node", "class"), F.struct(*rank))
     lead = members.groupBy("s").agg(first.alias("lead"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("s", "lead")
     met = members.join(lead, "s").where(F.col("class") != F.col("lead.class"))
-    met = met.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("class").alias("ca"), F.col("lead.class").alias("cb")).agg(F.count("*").alias("shared")).where(F.col("shared") >= MIN_SHARED)
-    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))  # SKETCHES rows at most
-    return met.withColumn("_r", nearest).where(F.col("_r") <= (NEAREST if step else 1)).select("a", "b", "ca", "cb")
+    return met.select(F.col("node").alias("a"), F.col("lead.node").alias("b"), F.col("class").alias("ca"), F.col("lead.class").alias("cb")).distinct()
 
 
 def _open(members: DataFrame) -> DataFrame:
@@ -213,16 +225,16 @@ def _open(members: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, _k1, _k2, class_key, class_id, class_size, is_head) of every document. ``class_key`` is null for a class of its own."""
     scanned = materialise(scan(docs, doc_id, text), "sketched")
-    nodes = scanned.where("node is not null").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.first("sketches").alias("sketches"))
+    nodes = scanned.where("node is not null").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = materialise(nodes, "nodes")
     members = materialise(_open(nodes.select("node", F.col("node").alias("class"), F.explode("sketches").alias("s"))), "bucket-members")
     # texts of the nodes that share buckets with others
-    met = members.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SHARED).select("node").join(nodes.select("node", "k._k1", "k._k2"), "node")
-    texts = row_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", "_text").join(met, ["_k1", "_k2"]).select("node", "_text").dropDuplicates(["node"])
+    met = members.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SHARED).select("node").join(nodes.select("node", "k._k1", "k._k2", "n", "sketches"), "node")
+    texts = row_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", "_text").join(met, ["_k1", "_k2"]).select("node", "n", "sketches", "_text").dropDuplicates(["node"])
     texts = materialise(texts, "bucket-texts")
-    links = None
+    links = new = None
     for step in range(ROUNDS):
-        pairs = materialise(_meetings(members, step), "meetings")
+        pairs = materialise(_likely(_meetings(members, step, new), texts), "meetings")
         new = materialise(_verified(pairs, texts), "links")
         if new.isEmpty():
             if step:

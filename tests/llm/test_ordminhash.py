@@ -90,3 +90,19 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"x", b"z")], "a binary, b binary")
     got = {bytes(r.node): bytes(r["class"]) for r in ordminhash.connected(edges).collect()}
     assert got == {bytes([i]): b"\x00" for i in range(1, 41)} | {b"z": b"x"}
+
+
+def test_copies_alike_only_through_their_original(spark):
+    rng = random.Random(3)
+    original = [f"w{i}" for i in range(300)]
+    rows = [(0, " ".join(original))]
+    for n in range(1, 301):
+        own = list(original)
+        for k in rng.sample(range(5, 295, 6), 5):  # 25 of 296 shingles
+            own[k] = f"x{n}k{k}"
+        rows.append((n, " ".join(own)))
+    own = [shingles(t) for _, t in rows]
+    assert all(ordminhash.similarity(own[0], x) >= 0.8 for x in own)
+    assert sum(ordminhash.similarity(own[i], own[i + 1]) >= 0.8 for i in range(1, 300)) < 30
+    got = ordminhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(0, 301)}
