@@ -13,8 +13,12 @@ leader, and each node whose class is not the leader's meets the leaders of all i
 fewer than MIN_SHARED of all sketches. Leaders are drawn by node in the first round, so that a group has few of them, and by
 bucket in the others; every second round prefers nodes with most links in the round before, so an original meets all copies
 that are alike only through it. Links move classes to lesser ones that they are linked with, buckets of one class are done
-with, and rounds go on until one finds no link (the second at the earliest). The classes returned are the components of all
-links found.
+with, and rounds go on until one finds no link (the second at the earliest), ROUNDS at most.
+
+Rounds only spare work; what they leave is settled exactly. All nodes that still have MIN_SHARED buckets of several classes
+are joined by prefixes: of n shingles in the order of their rarity, one of the first n - 0.8 n + 1 is in any text alike. Pairs
+of two classes that the bounds of length, place and rank allow are verified, whatever buckets they share. So two linked nodes
+come into one class whenever they share MIN_SHARED sketches. The classes returned are the components of all links found.
 
 Defined cases: null texts and texts without any character are each a class of their own; texts without words are compared
 as they are; texts of fewer than SHINGLE words are one shingle; repeated rows are copies; a class is named by its least id
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import PLAIN, chunks, gram_hashes, mix64, powers, row_keys, utf8, word_hashes
@@ -40,6 +44,8 @@ SKETCHES = 20
 MIN_SHARED = 2
 SIMILARITY = 0.8
 ROUNDS = 10
+#: Texts with one shingle in their prefixes meet in blocks of about so many.
+BLOCK = 256
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -222,6 +228,44 @@ def _open(members: DataFrame) -> DataFrame:
     return members.join(several, "s", "left_semi")
 
 
+def _unsettled(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): every pair of nodes of two classes, in MIN_SHARED open buckets each, that may align to SIMILARITY or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            data, at = utf8(batch.column(2))
+            for i, j in chunks(at):
+                labelled, offsets, _, _ = labelled_shingles(data, at[i : j + 1])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(labelled.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["node", "class", "shingles"])
+
+    own = members.groupBy("node").agg(F.first("class").alias("class"), F.count("*").alias("k")).where(F.col("k") >= MIN_SHARED)
+    rows = materialise(texts.join(own, "node").select("node", "class", "_text").mapInArrow(run, "node binary, class binary, shingles array<long>"), "open-shingles")
+    each = rows.select("node", F.size("shingles").alias("n"), F.posexplode("shingles").alias("at", "h"))
+    # shingles of one text alone come first in its order and meet nothing; the others follow by rarity
+    common = materialise(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "common-shingles")
+    text = Window.partitionBy("node")  # a row for each shingle of one text
+    rank = F.col("n") - F.count("*").over(text) + F.row_number().over(text.orderBy("c", "h")) - 1
+    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-6) + 1
+    placed = each.join(common, "h").withColumn("rank", rank).where(F.col("rank") < prefix).drop("c")
+    placed = materialise(placed.join(rows.select("node", "class"), "node"), "shingle-prefixes")
+    several = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+    blocks = several.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    sides = placed.join(blocks, "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sides = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.struct("node", "class", "n", "at", "rank")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    left = sides.where("own <= other").select("h", low.alias("i"), high.alias("j"), side.alias("x"))
+    right = sides.where("own >= other").select("h", low.alias("i"), high.alias("j"), side.alias("y"))
+    need = SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n"))
+    fits = (F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n") - 1e-9) & (F.abs(F.col("x.at") - F.col("y.at")) <= F.col("x.n") + F.col("y.n") - 2 * need + 1e-6)
+    once = (F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))
+    met = left.join(right, ["h", "i", "j"]).where((F.col("x.class") != F.col("y.class")) & once & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    met = met.groupBy("x.node", "x.class", "x.n", F.col("y.node").alias("b"), F.col("y.class").alias("cb"), F.col("y.n").alias("nb")).agg(F.min("x.rank").alias("rx"), F.min("y.rank").alias("ry"))
+    most = F.least(F.col("n") - F.col("rx"), F.col("nb") - F.col("ry"))  # matches from the first one on
+    return met.where(most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("nb")) - 1e-6).select(F.col("node").alias("a"), "b", F.col("class").alias("ca"), "cb")
+
+
 def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, _k1, _k2, class_key, class_id, class_size, is_head) of every document. ``class_key`` is null for a class of its own."""
     scanned = materialise(scan(docs, doc_id, text), "sketched")
@@ -243,6 +287,9 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
         links = new if links is None else links.unionByName(new)
         moved = members.join(_hooked(new), "class", "left").select("node", F.coalesce("to", "class").alias("class"), "s")
         members = materialise(_open(moved), "bucket-members")
+    new = materialise(_verified(materialise(_unsettled(members, texts), "unsettled"), texts), "links")
+    if not new.isEmpty():
+        links = new if links is None else links.unionByName(new)
     classes = None if links is None else connected(links)
     named = scanned.select("doc_id", "_k1", "_k2", "node")
     if classes is not None:

@@ -106,3 +106,38 @@ def test_copies_alike_only_through_their_original(spark):
     assert sum(ordminhash.similarity(own[i], own[i + 1]) >= 0.8 for i in range(1, 300)) < 30
     got = ordminhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.class_id, r.class_size) for r in got} == {(0, 301)}
+
+
+def classes_of_all_pairs(texts):
+    own, up = [shingles(t) for t in texts], list(range(len(texts)))
+    for j in range(len(own)):
+        for i in range(j):
+            if up[i] != up[j] and ordminhash.similarity(own[i], own[j]) >= 0.8:
+                up = [min(up[i], up[j]) if u in (up[i], up[j]) else u for u in up]
+    return up
+
+
+def test_pairs_among_many_texts_of_one_template(spark):
+    rng = random.Random(11)
+    template, texts = [f"t{i}" for i in range(110)], []
+    for n in range(400):
+        own = [f"o{n}x{i}" for i in range(60)]
+        texts.append(" ".join(template + own))
+        if n % 40 == 0:
+            own[rng.randrange(10, 50)] = "other"
+            own[rng.randrange(10, 50)] = "word"
+            texts.append(" ".join(template + own))
+    want = classes_of_all_pairs(texts)
+    assert len(set(want)) == 400
+    got = ordminhash.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == list(enumerate(want))
+
+
+def test_rounds_only_spare_work(spark, monkeypatch):
+    rows = [(n, t) for n, t in corpus()[:80] if t]
+    want = sorted((n, rows[u][0]) for (n, _), u in zip(rows, classes_of_all_pairs([t for _, t in rows])))
+    assert len({c for _, c in want}) < len(rows) - 10
+    monkeypatch.setattr(ordminhash, "ROUNDS", 0)
+    monkeypatch.setattr(ordminhash, "BLOCK", 2, raising=False)
+    got = ordminhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == want
