@@ -23,6 +23,15 @@ def periods(text: Column, default: Column, rules: dict[str, str] = PERIODS) -> C
     return F.when(F.size(found) > 0, found).otherwise(F.array(default))
 
 
+def currency(text: Column, ticker: Column) -> Column:
+    """The euro sign decides before the heading of the one company that reports in dollars."""
+    return F.when(text.contains("€ million"), "EUR").when(text.contains("In millions") & (ticker == "NVDA"), "USD")
+
+
+def scale(text: Column) -> Column:
+    return F.when(text.rlike(r"(?i)(?:In|€) millions?"), "millions")
+
+
 def adjacent(elements: DataFrame, key: str, order: str, page: str, text: str) -> DataFrame:
     """Adds the texts before and after, of the same page only."""
     own = Window.partitionBy(key).orderBy(order)

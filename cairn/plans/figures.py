@@ -126,10 +126,17 @@ def footnotes(spark, d):
 
 def financial_metadata(spark, d):
     tags = F.element_at(F.array(F.lit(" unaudited non-GAAP FY 2025"), F.lit(" audited GAAP h2 2025 Q4 2025"), F.lit(" plain")), (F.col("doc_id") % 3 + 1).cast("int"))
-    text = F.concat(F.left("text", F.lit(100)), tags)
+    text = F.concat("text", tags)  # the whole text
     return table(spark, d, "documents").select("doc_id", X.basis(text).alias("basis"), X.audited(text).alias("audited"), F.array_join(X.periods(text, F.lit("FY2024")), ",").alias("periods"))
 
 
+def financial_units(spark, d):
+    tags = F.element_at(F.array(F.lit(" In millions"), F.lit(" € million"), F.lit(" plain")), (F.col("doc_id") % 3 + 1).cast("int"))
+    text = F.concat("text", tags)
+    ticker = F.when(F.col("source") == "src1", "NVDA").otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", X.currency(text, ticker).alias("currency"), X.scale(text).alias("scale"))
+
+
 def table_chunk_text(spark, d):
     b = blocks(spark, d).where("block_type = 'table'")
     unit = F.when(F.col("source_id") % 2 == 0, F.lit("EUR millions"))
@@ -188,7 +195,7 @@ def fx_inverse(spark, d):
     return table(spark, d, "part").select("p_partkey", X.half_up(F.col("p_retailprice"), 1).alias("price"), X.half_up(1 / F.col("p_retailprice").cast("double"), 6).alias("inverse"))
 
 
-QUERIES = {f.__name__: f for f in (html_blocks, heading_paths, html_h1, html_flatten_stats, empty_page_diagnostics, anchor_excerpt, table_text, table_cells, element_links, adjacent_elements, footnotes, financial_metadata, table_chunk_text, metrics_long, metric_lookup, compare_values, fx_convert, last_close, snapshot_violations, fx_inverse)}
+QUERIES = {f.__name__: f for f in (html_blocks, heading_paths, html_h1, html_flatten_stats, empty_page_diagnostics, anchor_excerpt, table_text, table_cells, element_links, adjacent_elements, footnotes, financial_metadata, financial_units, table_chunk_text, metrics_long, metric_lookup, compare_values, fx_convert, last_close, snapshot_violations, fx_inverse)}
 _B = f"WITH {SQL} "
 _REP = "rep AS (SELECT n_nationkey AS nation, round(sum(s_acctbal), 2) AS value, (['USD', 'EUR', 'GBP', 'JPY', 'CHF'])[(any_value(n_regionkey) + 1)::INT] AS cur, CASE WHEN n_nationkey % 5 = 0 THEN 'thousands' ELSE 'millions' END AS scale FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey)"
 ORACLES = {
@@ -204,6 +211,8 @@ ORACLES = {
     "footnotes": _B + """, t AS (SELECT source_id, ordinal, regexp_matches(CASE WHEN ordinal % 3 = 1 THEN '(1) ' || text ELSE text END, '^(\\(\\d+\\)|\\d+\\.)') AS f FROM blocks),
       a AS (SELECT source_id, (CASE WHEN lag(ordinal // 4) OVER w = ordinal // 4 AND lag(f) OVER w THEN 1 ELSE 0 END) + (CASE WHEN lead(ordinal // 4) OVER w = ordinal // 4 AND lead(f) OVER w THEN 1 ELSE 0 END) AS n FROM t WINDOW w AS (PARTITION BY source_id ORDER BY ordinal)) SELECT source_id, sum(n)::BIGINT AS footnotes FROM a GROUP BY 1""",
     "financial_metadata": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'non-GAAP' WHEN 1 THEN 'GAAP' END AS basis, CASE doc_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS audited, CASE doc_id % 3 WHEN 0 THEN 'FY2025' WHEN 1 THEN 'H2 2025,Q4 2025' ELSE 'FY2024' END AS periods FROM documents",
+    "financial_units": """SELECT doc_id, CASE WHEN regexp_matches(t, '€ million') THEN 'EUR' WHEN regexp_matches(t, 'In millions') AND source = 'src1' THEN 'USD' END AS currency, CASE WHEN regexp_matches(t, '(?i)(In|€) millions?') THEN 'millions' END AS scale
+      FROM (SELECT doc_id, source, text || CASE doc_id % 3 WHEN 0 THEN ' In millions' WHEN 1 THEN ' € million' ELSE ' plain' END AS t FROM documents)""",
     "table_chunk_text": _B + "SELECT source_id, ordinal, md5(concat_ws(chr(10) || chr(10), CASE WHEN source_id % 2 = 0 THEN 'EUR millions' END, text)) AS md5, source_id % 2 = 0 OR NOT regexp_matches(text, '[0-9]') AS contextualized FROM blocks WHERE block_type = 'table'",
     "metrics_long": "SELECT c_nationkey, c_mktsegment AS metric, round(avg(c_acctbal), 4) AS value FROM customer GROUP BY 1, 2",
     "metric_lookup": """WITH m AS (SELECT c_nationkey AS n, c_mktsegment AS s, round(avg(c_acctbal), 4) AS value FROM customer GROUP BY 1, 2), a AS (SELECT o_orderkey, o_orderkey % 27 AS n, CASE WHEN o_orderkey % 10 = 3 THEN 'NOSUCH' ELSE 'BUILDING' END AS s FROM orders)

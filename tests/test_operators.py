@@ -14,7 +14,7 @@ from cairn.operators import evaluation as E
 from cairn.operators import finance as X
 from cairn.operators import guards as G
 from cairn.operators import ranking as R
-from cairn.plans.figures import html_rows
+from cairn.plans.figures import financial_metadata, financial_units, html_rows
 
 
 def one(spark, column, **values):
@@ -124,3 +124,13 @@ def test_html_blocks():
     assert [(t, x) for _, t, x in html_rows(html)] == [("h1", "A"), ("p", "one two three x y"), ("p", "three"), ("li", "x y")]
     assert html_rows(None) == []
     assert re.fullmatch(r"\d+", str(len(html_rows("<p>" * 50))))
+
+
+def test_financial_metadata_reads_whole_texts(spark, tmp_path):
+    late = "word " * 60
+    rows = [(2, late + "non-GAAP unaudited H2 2025 € million", "src1"), (5, late + "In millions", "src1"), (8, late + "In millions", "src2"), (11, late, "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.basis, r.audited, r.periods) for r in financial_metadata(spark, str(tmp_path)).collect()}
+    assert got[2] == ("non-GAAP", False, "H2 2025") and got[11] == (None, None, "FY2024")
+    units = {r.doc_id: (r.currency, r.scale) for r in financial_units(spark, str(tmp_path)).collect()}
+    assert units == {2: ("EUR", "millions"), 5: ("USD", "millions"), 8: (None, "millions"), 11: (None, None)}
