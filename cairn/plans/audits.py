@@ -83,6 +83,20 @@ def eligible_chunks(spark, d):
     return blocks(spark, d).where(F.array_contains(kinds, F.col("block_type")) & (F.col("ordinal") < 6)).groupBy("block_type").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("documents"))
 
 
+def eligible_blocks(spark, d):
+    """What each filter leaves of all blocks, wherever they stand: element type, document id, segment (a table row's label)."""
+    same = lambda want, own: F.lower(F.trim(F.lit(want))) == F.lower(F.trim(own))
+    labels = F.when(F.col("block_type") == "table", F.array(F.get(F.split("text", r" \| "), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    filters = (
+        ("table", same("TABLE", F.col("block_type"))),
+        ("paragraph", same("paragraph ", F.col("block_type"))),
+        ("document", same(" 7 ", F.col("source_id").cast("string"))),
+        ("segment", F.exists(labels, lambda s: same("Er ", s))),
+    )
+    met = F.filter(F.array(*(F.when(own, name) for name, own in filters)), lambda x: x.isNotNull())
+    return blocks(spark, d).select("source_id", F.explode(met).alias("filter")).groupBy("filter").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("documents"))
+
+
 def inspect_evidence(spark, d):
     ids = table(spark, d, "labels").select(F.format_string("DOC-%08d", F.when(F.col("doc_id") % 6 == 0, F.col("doc_id") + 50_000_000).otherwise(F.col("doc_id"))).alias("passage_id"))
     p = passages(spark, d).select("passage_id", "company")
@@ -147,7 +161,7 @@ def retrieval_lineage(spark, d):
     return f.groupBy("query_id").agg(F.count("*").alias("candidates"), F.sum((F.col("rank") <= 4).cast("long")).alias("selected"), F.sum(F.contains("channels", F.lit(",")).cast("long")).alias("in_both"))
 
 
-QUERIES = {f.__name__: f for f in (answer_relevance, answer_completeness, citation_integrity, run_release, config_alignment, finding_violations, table_gate, ownership_gate, eligible_chunks, inspect_evidence, chunk_enriched, chunk_propositions, chunk_kinds, chunk_financial, reported_values, strategy_recall, retrieval_lineage)}
+QUERIES = {f.__name__: f for f in (answer_relevance, answer_completeness, citation_integrity, run_release, config_alignment, finding_violations, table_gate, ownership_gate, eligible_chunks, eligible_blocks, inspect_evidence, chunk_enriched, chunk_propositions, chunk_kinds, chunk_financial, reported_values, strategy_recall, retrieval_lineage)}
 
 _B = f"WITH {SQL} "
 _BRIEF = "br AS (SELECT conv_id, replace(lower(string_agg(text, ' ' ORDER BY turn)), 'ß', 'ss') AS t, list_distinct(list(role)) AS roles, count(*) AS turns FROM conversations GROUP BY 1)"
@@ -175,6 +189,8 @@ ORACLES = {
     "table_gate": _B + ", h AS (SELECT lang, doc_id IN (SELECT source_id FROM blocks WHERE block_type = 'table') AND list_contains(['src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9'], source) AS o FROM documents) SELECT lang, sum(o::INT)::BIGINT AS tables, bool_or(o) AS passed FROM h GROUP BY 1",
     "ownership_gate": "SELECT company, company = claimed AS counts, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'small' WHEN regexp_matches(source, '^src1') THEN 'large' END AS company, CASE WHEN doc_id % 2 = 0 THEN 'small' ELSE 'large' END AS claimed FROM documents) GROUP BY 1, 2",
     "eligible_chunks": _B + "SELECT block_type, count(*) AS n, count(DISTINCT source_id) AS documents FROM blocks WHERE block_type IN ('table', 'paragraph') AND ordinal < 6 GROUP BY 1",
+    "eligible_blocks": _B + """, m AS (SELECT source_id, unnest([block_type, CASE WHEN source_id = 7 THEN 'document' END, CASE WHEN block_type = 'table' AND lower(trim(string_split(text, ' | ')[1])) = 'er' THEN 'segment' END]) AS filter FROM blocks)
+      SELECT filter, count(*) AS n, count(DISTINCT source_id) AS documents FROM m WHERE filter <> 'heading' GROUP BY 1""",
     "inspect_evidence": _B + ", i AS (SELECT 'DOC-' || lpad((CASE WHEN doc_id % 6 = 0 THEN doc_id + 50000000 ELSE doc_id END)::VARCHAR, 8, '0') AS passage_id FROM labels) SELECT i.passage_id, company, CASE WHEN company IS NULL THEN 'unknown_evidence' END AS error_code FROM i LEFT JOIN passages p ON p.passage_id = i.passage_id",
     "chunk_enriched": "SELECT d.doc_id, md5('quality ' || quality || chr(10) || chr(10) || text) AS md5, quality IS NULL AS rejected FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "chunk_propositions": "SELECT doc_id, doc_id % 4 < 2 AS rejected, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) END AS propositions FROM documents",

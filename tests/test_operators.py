@@ -14,6 +14,7 @@ from cairn.operators import evaluation as E
 from cairn.operators import finance as X
 from cairn.operators import guards as G
 from cairn.operators import ranking as R
+from cairn.plans.audits import eligible_blocks
 from cairn.plans.figures import financial_metadata, financial_units, html_rows
 
 
@@ -134,3 +135,10 @@ def test_financial_metadata_reads_whole_texts(spark, tmp_path):
     assert got[2] == ("non-GAAP", False, "H2 2025") and got[11] == (None, None, "FY2024")
     units = {r.doc_id: (r.currency, r.scale) for r in financial_units(spark, str(tmp_path)).collect()}
     assert units == {2: ("EUR", "millions"), 5: ("USD", "millions"), 8: (None, "millions"), 11: (None, None)}
+
+
+def test_eligible_blocks_far_into_a_document(spark, tmp_path):
+    text = "head\n" + "line\n" * 9 + "er | 1\nEr  | 2\nother | 3"
+    spark.createDataFrame([(7, text), (8, "head\nline")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["filter"]: (r.n, r.documents) for r in eligible_blocks(spark, str(tmp_path)).collect()}
+    assert got == {"table": (3, 1), "paragraph": (10, 2), "document": (13, 1), "segment": (2, 1)}
