@@ -187,8 +187,10 @@ def last_close(spark, d):
 
 def snapshot_violations(spark, d):
     e = table(spark, d, "events").where("event_type <> 'error'").groupBy("user_id").agg(F.max(F.to_date("ts")).alias("day"), F.count("*").alias("n"))
-    lag = F.date_diff(F.max("day").over(Window.partitionBy(F.col("user_id") % 10)), F.col("day"))
-    return e.withColumn("days", lag).where("days > 0").select("user_id", F.col("days").cast("long").alias("days"))
+    e = e.withColumn("snapshot", F.col("user_id") % 10)
+    newest = e.groupBy(F.col("snapshot").alias("of")).agg(F.max("day").alias("newest"))  # ten rows
+    e = e.join(F.broadcast(newest), F.col("of").eqNullSafe(F.col("snapshot")))
+    return e.withColumn("days", F.date_diff("newest", "day")).where("days > 0").select("user_id", F.col("days").cast("long").alias("days"))
 
 
 def fx_inverse(spark, d):

@@ -51,9 +51,18 @@ def token_estimate(spark, d):
 def common_prefix(spark, d):
     from pyspark.sql import Window
 
-    b = table(spark, d, "benchmark")
-    before = F.lag("text").over(Window.orderBy("item_id"))  # the benchmark's items only
-    return b.select("item_id", "text", before.alias("before")).where("before is not null").select("item_id", T.common_prefix(F.col("text"), F.col("before")).cast("long").alias("shared"))
+    from cairn.session import materialise
+
+    # ranges of item ids; the first row of a range follows the last one of the range before it
+    b = materialise(table(spark, d, "benchmark").select("item_id", "text").repartitionByRange("item_id").withColumn("part", F.spark_partition_id()), "item-ranges")
+    lasts = b.groupBy("part").agg(F.max_by("text", "item_id").alias("last"))
+    parts = lasts.select("part")
+    follows = parts.join(parts.select(F.col("part").alias("earlier")), F.col("earlier") < F.col("part")).groupBy("part").agg(F.max("earlier").alias("earlier"))
+    carried = follows.join(lasts.withColumnRenamed("part", "earlier"), "earlier").select("part", "last")
+    own = Window.partitionBy("part").orderBy("item_id")
+    rows = b.select("item_id", "text", "part", F.lag("text").over(own).alias("own"), (F.row_number().over(own) == 1).alias("first")).join(carried, "part", "left")
+    before = F.when(F.col("first"), F.col("last")).otherwise(F.col("own"))
+    return rows.select("item_id", "text", before.alias("before")).where("before is not null").select("item_id", T.common_prefix(F.col("text"), F.col("before")).cast("long").alias("shared"))
 
 
 def vector_normalize(spark, d):

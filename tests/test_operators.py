@@ -15,7 +15,8 @@ from cairn.operators import finance as X
 from cairn.operators import guards as G
 from cairn.operators import ranking as R
 from cairn.plans.audits import eligible_blocks
-from cairn.plans.figures import financial_metadata, financial_units, html_rows
+from cairn.plans.figures import financial_metadata, financial_units, html_rows, snapshot_violations
+from cairn.plans.texts import common_prefix
 
 
 def one(spark, column, **values):
@@ -142,3 +143,17 @@ def test_eligible_blocks_far_into_a_document(spark, tmp_path):
     spark.createDataFrame([(7, text), (8, "head\nline")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["filter"]: (r.n, r.documents) for r in eligible_blocks(spark, str(tmp_path)).collect()}
     assert got == {"table": (3, 1), "paragraph": (10, 2), "document": (13, 1), "segment": (2, 1)}
+
+
+def test_no_sort_in_one_task(spark, tmp_path):
+    rng = random.Random(5)
+    texts = ["ab" * rng.randrange(4) + "c" * rng.randrange(3) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = common_prefix(spark, str(tmp_path))
+    want = {i: next((k for k, (x, y) in enumerate(zip(texts[i - 1], texts[i])) if x != y), min(len(texts[i - 1]), len(texts[i]))) for i in range(1, 200)}
+    assert {r.item_id: r.shared for r in df.collect()} == want
+    assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+    plan = snapshot_violations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
