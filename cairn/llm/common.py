@@ -21,6 +21,26 @@ def row_keys(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({"_k1": F.xxhash64(*args), "_k2": F.xxhash64(F.lit(1), *args)})
 
 
+#: A key with more than one in so many of all rows is hot; there are fewer hot keys than this.
+HOT_SHARE = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row a key), null where there is none. Hot keys don't meet in one task.
+
+    ``count`` of ``facts`` says how many of the ``total`` rows have the key, so hot keys, by number fewer than HOT_SHARE,
+    are broadcast; rows of hot keys are spread over the shuffle that joins the others.
+    """
+    hot = F.col(count) * HOT_SHARE > total
+    own = [c for c in facts.columns if c not in (key, count)]
+    few = facts.where(hot).select(key, F.struct(*own).alias("_hot"))
+    many = facts.where(~hot).select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*own).alias("_cold"))
+    out = rows.join(F.broadcast(few), key, "left")
+    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*(F.col(c) for c in rows.columns if c != key)).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    out = out.withColumn("_salt", spread).join(many, [key, "_salt"], "left")
+    return out.select(*rows.columns, *(F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in own))
+
+
 def prefix_sums(lens: Column, block: int = 128) -> Column:
     """Sums of all elements before each one, native; about ``block`` steps for each element, at any length."""
     zero = F.lit(0)

@@ -12,14 +12,17 @@ Texts of the same words are one node. A bucket (the nodes of one sketch) is neve
 leader, and each node whose class is not the leader's meets the leaders of all its buckets, save those with which it shares
 fewer than MIN_SHARED of all sketches. Leaders are drawn by node in the first round, so that a group has few of them, and by
 bucket in the others; every second round prefers nodes with most links in the round before, so an original meets all copies
-that are alike only through it. Links move classes to lesser ones that they are linked with, buckets of one class are done
-with, and rounds go on until one finds no link (the second at the earliest), ROUNDS at most.
+that are alike only through it. Links move classes to lesser ones that they are linked with, and buckets of one class are done
+with. Rounds go on while one links a share of the open nodes (WORTH) or more, ROUNDS at most.
 
 Rounds only spare work; what they leave is settled exactly. All nodes that still have MIN_SHARED buckets of several classes
 are joined by prefixes: of n shingles in the order of their rarity, one of the first n - 0.8 n + 1 is in any text alike. Pairs
 of two classes that the bounds of length, place and rank allow are verified, whatever buckets they share. So two linked nodes
 come into one class whenever they share MIN_SHARED sketches. The classes returned are the components of all links found.
 
+Leaders of many nodes are joined in SALTS parts, and classes of many nodes and texts of many copies are broadcast (there are
+few such, see ``join_facts``), so no task has to hold a hot one.
+
 Defined cases: null texts and texts without any character are each a class of their own; texts without words are compared
 as they are; texts of fewer than SHINGLE words are one shingle; repeated rows are copies; a class is named by its least id
 (null only if all its ids are); an empty table gives an empty one; only the id and text columns named are read.
@@ -29,21 +32,25 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import PLAIN, chunks, gram_hashes, mix64, powers, row_keys, utf8, word_hashes
-from cairn.session import broadcast_if_small, materialise
+from cairn.llm.common import HOT_SHARE, PLAIN, chunks, gram_hashes, join_facts, mix64, powers, row_keys, utf8, word_hashes
+from cairn.session import broadcast_if_small, discard, materialise
 
 SHINGLE = 5
 PICKS = 3
 SKETCHES = 20
 MIN_SHARED = 2
 SIMILARITY = 0.8
-ROUNDS = 10
+#: A round is followed by another if it has linked a thirtieth of the nodes in open buckets.
+ROUNDS, WORTH = 10, 30
+#: Parts of the nodes that meet a leader of many.
+SALTS = 32
 #: Texts with one shingle in their prefixes meet in blocks of about so many.
 BLOCK = 256
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -151,16 +158,11 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "_k1", "_k2", "_text").mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, node binary, n int, sketches array<long>")
 
 
-def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that share MIN_SHARED of all their sketches and differ in length by no more than SIMILARITY allows."""
-    one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("sa"))
-    two = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb"))
-    lengths = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
-    return pairs.join(one, "a").join(two, "b").where(lengths & (F.size(F.array_intersect("sa", "sb")) >= MIN_SHARED)).select("a", "b", "ca", "cb")
-
+def _verified(pairs: DataFrame, texts: DataFrame, shared: int) -> DataFrame:
+    """(a, b, one, two): classes and nodes of the pairs of nodes that share ``shared`` sketches or more and align to SIMILARITY or more.
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, one, two): classes and nodes of the pairs of nodes whose texts align to SIMILARITY or more."""
+    ``pairs`` is (a, b, ca, cb), a written table; ``b`` may be the same node in very many pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -173,13 +175,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep[i + t] = similarity(x[xo[t] : xo[t + 1]], y[yo[t] : yo[t + 1]]) >= SIMILARITY - 1e-12
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(4)], names=["a", "b", "one", "two"])
 
-    one = texts.select(F.col("node").alias("a"), F.col("_text").alias("ta"))
-    two = texts.select(F.col("node").alias("b"), F.col("_text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("ca", "cb", "a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, one binary, two binary")
+    hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") * HOT_SHARE > max(pairs.count(), HOT_SHARE * SALTS)).select("b", F.lit(SALTS).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    pairs = pairs.join(F.broadcast(hot), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
+    one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("sa"))
+    two = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb"), F.col("_text").alias("tb"))
+    two = two.join(F.broadcast(hot), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    lengths = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
+    likely = pairs.join(one, "a").join(two, ["b", "salt"]).where(lengths & (F.size(F.array_intersect("sa", "sb")) >= shared)).select("a", "b", "ca", "cb", "tb")
+    both = likely.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
+    return both.select("ca", "cb", "a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, one binary, two binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, class): the least node of each connected component, by alternating large and small stars; no list of neighbours is gathered."""
+    """(node, class): the least node of each connected component, itself included, by alternating large and small stars; no list of neighbours is gathered."""
 
     def star(links: DataFrame, large: bool) -> DataFrame:
         sides = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -193,12 +202,13 @@ def connected(edges: DataFrame) -> DataFrame:
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     seen = None
     while True:
-        links = materialise(star(star(links, True), False), "links")
+        before, links = links, materialise(star(star(links, True), False), "stars")
+        discard(before)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if now == seen:
             break
         seen = now
-    return links.groupBy("u").agg(F.min("v").alias("class")).select(F.col("u").alias("node"), "class")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
 def _hooked(links: DataFrame) -> DataFrame:
@@ -269,44 +279,43 @@ def _unsettled(members: DataFrame, texts: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, _k1, _k2, class_key, class_id, class_size, is_head) of every document. ``class_key`` is null for a class of its own."""
     scanned = materialise(scan(docs, doc_id, text), "sketched")
-    nodes = scanned.where("node is not null").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("k"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_k1", "_k2")).alias("head")
+    nodes = scanned.where("node is not null").groupBy("node").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = materialise(nodes, "nodes")
     members = materialise(_open(nodes.select("node", F.col("node").alias("class"), F.explode("sketches").alias("s"))), "bucket-members")
     # texts of the nodes that share buckets with others
-    met = members.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SHARED).select("node").join(nodes.select("node", "k._k1", "k._k2", "n", "sketches"), "node")
+    met = members.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= MIN_SHARED).select("node").join(nodes.select("node", "head._k1", "head._k2", "n", "sketches"), "node")
     texts = row_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", "_text").join(met, ["_k1", "_k2"]).select("node", "n", "sketches", "_text").dropDuplicates(["node"])
     texts = materialise(texts, "bucket-texts")
-    links = new = None
+    links, new, open_nodes = [], None, texts.count()
     for step in range(ROUNDS):
-        pairs = materialise(_likely(_meetings(members, step, new), texts), "meetings")
-        new = materialise(_verified(pairs, texts), "links")
-        if new.isEmpty():
-            if step:
-                break
-            continue
-        links = new if links is None else links.unionByName(new)
+        pairs = materialise(_meetings(members, step, new), "meetings")
+        new = materialise(_verified(pairs, texts, MIN_SHARED), "links")
+        links.append(new)
         moved = members.join(_hooked(new), "class", "left").select("node", F.coalesce("to", "class").alias("class"), "s")
-        members = materialise(_open(moved), "bucket-members")
-    new = materialise(_verified(materialise(_unsettled(members, texts), "unsettled"), texts), "links")
-    if not new.isEmpty():
-        links = new if links is None else links.unionByName(new)
-    classes = None if links is None else connected(links)
-    named = scanned.select("doc_id", "_k1", "_k2", "node")
-    if classes is not None:
-        named = named.join(classes, "node", "left").withColumn("class_key", F.coalesce("class", "node")).drop("class")
-    else:
-        named = named.withColumn("class_key", F.col("node"))
-    sizes = named.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")).alias("head"))
-    out = named.join(sizes, "class_key", "left")
-    alone = F.col("class_key").isNull()
+        before, members = members, materialise(_open(moved), "bucket-members")
+        discard(before, pairs)
+        if new.count() * WORTH < open_nodes:
+            break
+    pairs = materialise(_unsettled(members, texts), "unsettled")
+    links.append(materialise(_verified(pairs, texts, 0), "links"))
+    discard(members, pairs, texts)
+    classes = connected(reduce(DataFrame.unionByName, links))
+    # facts of the classes of several documents, by node, then beside every document
+    several = nodes.select("node", "head", "copies").join(classes, "node", "left").where("class is not null or copies > 1")
+    several = materialise(several.select("node", F.coalesce("class", "node").alias("class_key"), "head", "copies"), "nodes-of-several")
+    sizes = several.groupBy("class_key").agg(F.min("head").alias("first"), F.sum("copies").alias("class_size"), F.count("*").alias("nodes"))
+    facts = materialise(join_facts(several.select("node", "class_key", "copies"), sizes, "class_key", "nodes", several.count()), "classes")
+    out = join_facts(scanned.select("doc_id", "_k1", "_k2", "node"), facts, "node", "copies", scanned.count())
+    alone = F.col("first").isNull()
     return out.select(
         "doc_id",
         "_k1",
         "_k2",
-        "class_key",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
-        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("size")).alias("class_size"),
-        (alone | ((F.col("head._k1") == F.col("_k1")) & (F.col("head._k2") == F.col("_k2")))).alias("is_head"),
+        F.coalesce("class_key", "node").alias("class_key"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
+        (alone | ((F.col("first._k1") == F.col("_k1")) & (F.col("first._k2") == F.col("_k2")))).alias("is_head"),
     )
 
 
