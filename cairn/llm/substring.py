@@ -127,11 +127,12 @@ class SuffixAutomaton:
 
 
 def search(pieces: list[list[bytes]], counts: list[int], window: int) -> list[np.ndarray]:
+    """Streams every piece of a shard past the shard's automaton."""
     automaton = SuffixAutomaton()
     for words, n in zip(pieces, counts, strict=True):
         automaton.add(words, n)
     automaton.finish()
-    return [np.ones(len(w) - window + 1, bool) if n > 1 else automaton.repeated(w, window) for w, n in zip(pieces, counts, strict=True)]
+    return [automaton.repeated(words, window) for words in pieces]
 
 
 def _joined(text: bytes) -> bytes:

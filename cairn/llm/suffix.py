@@ -35,7 +35,7 @@ from cairn.llm.common import mix64, powers, row_keys
 WINDOW = 200
 PLAN = repeats.Plan("bytes", WINDOW, gram=32, shard=2_500_000)
 #: Tuples that the queues of one sweep keep in memory.
-QUEUE_ROWS = 2_000_000
+QUEUE_ROWS = 1 << 18
 #: Tuples that one step handles.
 BLOCK = 1 << 15
 #: Names sorted in memory at most; more of them are sorted by recursion.
@@ -51,7 +51,7 @@ class Queues:
     def __init__(self, folder: str, name: str, rows: int | None = None) -> None:
         self.path, self.rows, self.held = os.path.join(folder, name), QUEUE_ROWS if rows is None else rows, 0
         self.memory: dict[int, list[Tuples]] = {}
-        self.files: dict[int, list[int]] = {}  # rows of each part written
+        self.files: dict[int, int] = {}  # rows written of each queue
 
     def push(self, key: int, at: np.ndarray, shared: np.ndarray) -> None:
         self.memory.setdefault(key, []).append((at, shared))
@@ -59,30 +59,28 @@ class Queues:
         if self.held > self.rows:
             for k, parts in self.memory.items():
                 with open(f"{self.path}-{k}.at", "ab") as a, open(f"{self.path}-{k}.shared", "ab") as b:
-                    for x, y in parts:
-                        for i in range(0, len(x), BLOCK):
-                            x[i : i + BLOCK].tofile(a)
-                            y[i : i + BLOCK].tofile(b)
-                            self.files.setdefault(k, []).append(len(x[i : i + BLOCK]))
+                    np.concatenate([x for x, _ in parts]).tofile(a)
+                    np.concatenate([y for _, y in parts]).tofile(b)
+                self.files[k] = self.files.get(k, 0) + sum(len(x) for x, _ in parts)
             self.memory, self.held = {}, 0
 
-    def _parts(self, name: str, lens: list[int], backward: bool) -> Iterator[Tuples]:
-        starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+    def _blocks(self, name: str, rows: int, backward: bool) -> Iterator[Tuples]:
+        starts = range(0, rows, BLOCK)
         with open(f"{name}.at", "rb") as a, open(f"{name}.shared", "rb") as b:
-            for k in range(len(lens))[:: -1 if backward else 1]:
-                a.seek(int(starts[k]) * 8)
-                b.seek(int(starts[k]) * 2)
-                yield np.fromfile(a, np.int64, lens[k]), np.fromfile(b, np.int16, lens[k])
+            for i in reversed(starts) if backward else starts:
+                a.seek(i * 8)
+                b.seek(i * 2)
+                yield np.fromfile(a, np.int64, min(BLOCK, rows - i)), np.fromfile(b, np.int16, min(BLOCK, rows - i))
 
     def take(self, key: int) -> Iterator[Tuples]:
         """What has arrived, in that order; it is gone then. What arrives meanwhile waits for the next call."""
-        lens, parts = self.files.pop(key, []), self.memory.pop(key, [])
+        rows, parts = self.files.pop(key, 0), self.memory.pop(key, [])
         self.held -= sum(len(x) for x, _ in parts)
-        if lens:
+        if rows:
             name = f"{self.path}-{key}"
             for kind in ("at", "shared"):  # what arrives meanwhile gets a file of its own
                 os.rename(f"{name}.{kind}", f"{name}-taken.{kind}")
-            yield from self._parts(f"{name}-taken", lens, False)
+            yield from self._blocks(f"{name}-taken", rows, False)
             for kind in ("at", "shared"):
                 os.remove(f"{name}-taken.{kind}")
         if parts:
@@ -92,10 +90,12 @@ class Queues:
 
     def backward(self, key: int) -> Iterator[Tuples]:
         """What has arrived, last first."""
-        for at, shared in reversed(self.memory.get(key, [])):
-            yield at[::-1], shared[::-1]
+        if parts := self.memory.get(key, []):
+            at, shared = (np.concatenate(x)[::-1] for x in zip(*parts, strict=True))
+            for i in range(0, len(at), BLOCK):
+                yield at[i : i + BLOCK], shared[i : i + BLOCK]
         if key in self.files:
-            for at, shared in self._parts(f"{self.path}-{key}", self.files[key], True):
+            for at, shared in self._blocks(f"{self.path}-{key}", self.files[key], True):
                 yield at[::-1], shared[::-1]
 
 
@@ -244,11 +244,18 @@ def _shared_prefixes(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarra
     """For each suffix of a sorted list, the bytes that it shares with the one before, ``cap`` at most; read from the text."""
     out = np.zeros(len(order), np.int16)
     size = text.itemsize
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers(len(text)), out=total[1:])
+    down = powers(len(text) + 1, down=True)
     padded = np.concatenate([text, np.zeros(16 // size, text.dtype)])
     words = np.ndarray((len(text),), np.uint64, padded, strides=(size,))  # eight bytes from each place
     for i in range(1, len(order), BLOCK):
         a, b = order[i - 1 : i - 1 + BLOCK][: len(order) - i], order[i : i + BLOCK]
-        have, open_ = np.zeros(len(b), np.int64), np.arange(len(b))
+        # those that share ``cap`` are told by a hash; the text ends in a symbol of its own, so none of them is cut by its end
+        ends = [np.minimum(x + cap, len(text)) for x in (a, b)]
+        whole = ((total[ends[0]] - total[a]) * down[a] == (total[ends[1]] - total[b]) * down[b]) & (np.maximum(a, b) + cap <= len(text))
+        have = np.where(whole, cap, 0)
+        open_ = np.flatnonzero(~whole)
         while len(open_):
             # the last symbol is like no other, so two places differ before either runs out
             differ = words[a[open_] + have[open_]] ^ words[b[open_] + have[open_]]
@@ -324,13 +331,18 @@ def _stretch_hashes(text: np.ndarray, seeds: np.ndarray, length: np.ndarray) ->
     return out
 
 
-def repeated_starts(text: np.ndarray, sigma: int, window: int) -> np.ndarray:
-    """Whether the ``window`` symbols from each place also start elsewhere: neighbours in the order that share so much."""
+def repeated_starts(text: np.ndarray, sigma: int, window: int, often: np.ndarray) -> np.ndarray:
+    """Whether the ``window`` symbols from each place also start elsewhere: neighbours in the order that share so much.
+
+    ``often`` marks the places of pieces that stand for several. Files lie in the executor's own scratch folder, as spilled
+    rows do, and are gone with the call.
+    """
     out = np.zeros(len(text), bool)
     last = -1
-    with tempfile.TemporaryDirectory(prefix="suffix-") as folder:
+    with tempfile.TemporaryDirectory(prefix="suffix-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as folder:
         for at, shared in suffixes(text, sigma, window, folder):
             hit = shared >= window
+            out[at] |= often[at]
             out[at[hit]] = True
             before = np.append(last, at[:-1])
             out[before[hit]] = True
@@ -348,8 +360,10 @@ def search(pieces: list[bytes], counts: list[int], window: int) -> list[np.ndarr
     text = np.ones(len(whole) + len(pieces) + 1, kind)
     text[np.arange(len(whole)) + np.repeat(np.arange(len(pieces)), lens)] = raw.astype(kind) + kind(2)
     text[-1] = 0
-    flags = repeated_starts(text, 258, window)
-    return [np.ones(n - window + 1, bool) if k > 1 else flags[s : s + n - window + 1] for s, n, k in zip(starts.tolist(), lens.tolist(), counts, strict=True)]
+    often = np.zeros(len(text), bool)
+    often[: len(text) - 1] = np.repeat(np.array(counts) > 1, lens + 1)
+    flags = repeated_starts(text, 258, window, often)
+    return [flags[s : s + n - window + 1] for s, n in zip(starts.tolist(), lens.tolist(), strict=True)]
 
 
 def _kept(text: bytes, spans: list) -> str:
