@@ -19,6 +19,7 @@ Rounds only spare work; what they leave is settled exactly. All nodes that still
 are joined by prefixes: of n shingles in the order of their rarity, one of the first n - 0.8 n + 1 is in any text alike. Pairs
 of two classes that the bounds of length, place and rank allow are verified, whatever buckets they share. So two linked nodes
 come into one class whenever they share MIN_SHARED sketches. The classes returned are the components of all links found.
+Before that join, nodes are put into the components of the links that the rounds found, so it meets no pair of one class.
 
 Leaders of many nodes are joined in SALTS parts, and classes of many nodes and texts of many copies are broadcast (there are
 few such, see ``join_facts``), so no task has to hold a hot one.
@@ -269,11 +270,12 @@ def _unsettled(members: DataFrame, texts: DataFrame) -> DataFrame:
     right = sides.where("own >= other").select("h", low.alias("i"), high.alias("j"), side.alias("y"))
     need = SIMILARITY / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n"))
     fits = (F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n") - 1e-9) & (F.abs(F.col("x.at") - F.col("y.at")) <= F.col("x.n") + F.col("y.n") - 2 * need + 1e-6)
+    # the first shingle that two texts share leaves room for all matches that are needed
+    fits = fits & (F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) >= need - 1e-6)
     once = (F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))
     met = left.join(right, ["h", "i", "j"]).where((F.col("x.class") != F.col("y.class")) & once & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    met = met.groupBy("x.node", "x.class", "x.n", F.col("y.node").alias("b"), F.col("y.class").alias("cb"), F.col("y.n").alias("nb")).agg(F.min("x.rank").alias("rx"), F.min("y.rank").alias("ry"))
-    most = F.least(F.col("n") - F.col("rx"), F.col("nb") - F.col("ry"))  # matches from the first one on
-    return met.where(most >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("nb")) - 1e-6).select(F.col("node").alias("a"), "b", F.col("class").alias("ca"), "cb")
+    met = met.groupBy("x.node", "x.class", "x.n", F.col("y.node").alias("b"), F.col("y.class").alias("cb"), F.col("y.n").alias("nb")).agg(F.count("*").alias("_n"))
+    return met.select(F.col("node").alias("a"), "b", F.col("class").alias("ca"), "cb")
 
 
 def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,10 +299,15 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
         discard(before, pairs)
         if new.count() * WORTH < open_nodes:
             break
+    # rounds move classes a step at a time: what is left open is told by the components of the links so far
+    classes = materialise(connected(reduce(DataFrame.unionByName, links)), "components")
+    moved = members.select("node", "s").join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "s")
+    before, members = members, materialise(_open(moved), "bucket-members")
     pairs = materialise(_unsettled(members, texts), "unsettled")
-    links.append(materialise(_verified(pairs, texts, 0), "links"))
-    discard(members, pairs, texts)
-    classes = connected(reduce(DataFrame.unionByName, links))
+    more = materialise(_verified(pairs, texts, 0), "links")
+    discard(before, members, pairs, texts)
+    if not more.isEmpty():
+        classes = connected(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more.select("one", "two").toDF("a", "b")))
     # facts of the classes of several documents, by node, then beside every document
     several = nodes.select("node", "head", "copies").join(classes, "node", "left").where("class is not null or copies > 1")
     several = materialise(several.select("node", F.coalesce("class", "node").alias("class_key"), "head", "copies"), "nodes-of-several")

@@ -17,37 +17,56 @@ def brute(rows, every, k):
     return out
 
 
-def test_small_tables_are_searched_whole(spark):
+def test_defined_cases_and_recall_on_a_small_table(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
     same = rng.normal(size=4).tolist()
     rows += [(1000 + i, same) for i in range(60)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 4), (2003, [1.0, None, 1.0, 1.0]), (2004, [float("nan")] * 4), (2005, [float("inf"), 1.0, 1.0, 1.0]), (None, same), rows[20], (2010, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "2 as h1", "3 as block")
-    got = {}
+    got, vectors = {}, {i: np.array(v) for i, v in rows if v and i is not None}
     for r in sorted(lshforest.search(df, every=10, k=5).collect(), key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append(r.vec_id)
+        assert abs(r.score - float(vectors[r.query_id] @ vectors[r.vec_id])) < 1e-12 and r["rank"] == len(got[r.query_id])
     want = {q: n for q, n in brute(rows, 10, 5).items() if n}
-    assert got == want
+    assert got.keys() == want.keys() and all(len(got[q]) == len(want[q]) for q in want)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+    same_score = [q for q in got if q >= 1000 and q < 1060]
+    assert all(got[q] == sorted(got[q], key=lambda j: (-float(vectors[q] @ vectors[j]), j)) for q in same_score)
     assert lshforest.search(df.limit(0)).count() == 0
 
 
-def test_blocks_groups_and_recall(spark, monkeypatch):
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_with_the_shipped_constants(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit(rng.normal(size=(9000, 64))))], "vec_id long, embedding array<float>").repartition(4)
+    found = lshforest.search(df, every=60).cache()
+    assert found.count() == 150 * 20
+    assert lshforest.recall(found, df) >= 0.9
+
+
+def test_blocks_and_groups_of_vectors_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(lshforest, "QUERY_ROWS", 40)
     monkeypatch.setattr(lshforest, "BLOCK_ROWS", 700)
-    monkeypatch.setattr(lshforest, "CANDIDATES", 430)
-    rng = np.random.default_rng(2)
-    df = spark.createDataFrame([(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(2000, 64)))], "vec_id long, embedding array<float>")
+    rng = np.random.default_rng(5)
+    x = unit(rng.normal(size=(2000, 12))) * rng.uniform(0.5, 4.0, size=(2000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = lshforest.search(df).cache()
     assert found.count() == 100 * 20
     assert lshforest.recall(found, df) >= 0.9
 
 
-def test_longest_prefixes_come_first():
+def test_few_rows_are_scored_in_clusters():
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(20, 16))
-    x = (centres[np.arange(2000) % 20] + 0.05 * rng.normal(size=(2000, 16))).astype(np.float64)
-    for q, met in zip(x[:40], lshforest.Forest(x).candidates(x[:40], 100), strict=True):
-        assert 100 <= len(met) < 700
-        nearest = np.argsort(-(x @ q))[:10]
-        assert len(np.intersect1d(nearest, met)) >= 9
+    centres = rng.normal(size=(200, 64))
+    x = unit(centres[np.arange(10000) % 200] + 0.15 * rng.normal(size=(10000, 64)))
+    forest, own = lshforest.Forest(x, lshforest.strings(x, 1.0), 1.0), lshforest.strings(x[:50], 0.0)
+    scored, hits = 0, 0
+    for q, met, score in forest.candidates(x[:50], own, 21):
+        assert np.allclose(score, x[met] @ x[q])
+        scored += len(met)
+        hits += len(np.intersect1d(np.argsort(-(x @ x[q]))[:21], met))
+    assert scored < 50 * 1000 and hits >= 0.9 * 50 * 21
