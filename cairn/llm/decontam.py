@@ -97,7 +97,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
     cands = matches.join(broadcast_if_small(prefix, broadcast_rows // 4), "h").where((start >= 0) & (start + F.col("m") <= F.col("n")))
     cands = materialise(cands.groupBy("_k1", "_k2").agg(F.collect_set(F.struct(start.alias("start"), "m", "wid")).alias("cands")), "window-candidates")  # within one document
     # 4. exact containment: the words at each place, held against the window's
-    near = docs.join(broadcast_if_small(cands, broadcast_rows // 8), ["_k1", "_k2"])
+    near = docs.join(broadcast_if_small(cands.select("_k1", "_k2"), broadcast_rows), ["_k1", "_k2"], "left_semi").join(cands, ["_k1", "_k2"])
     held = let(words(F.col("_text")), lambda w: F.transform("cands", lambda c: F.struct(c["start"].alias("start"), c["m"].alias("m"), c["wid"].alias("wid"), F.array_join(F.slice(w, c["start"] + 1, c["m"]), " ").alias("win"))))
     placed = near.select("_k1", "_k2", F.explode_outer(held).alias("c")).select("_k1", "_k2", "c.start", "c.m", "c.wid", "c.win")
     sure = materialise(placed.join(broadcast_if_small(unique.select("wid", "win"), broadcast_rows // 8), ["wid", "win"]).select("_k1", "_k2", "start", "m", "wid"), "window-hits")
