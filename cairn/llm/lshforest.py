@@ -1,17 +1,20 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-The index is cut into blocks of about BLOCK_ROWS different vectors; each block holds a forest of TREES sorted arrays of
-BITS-bit strings, one for each tree: the sides of random planes on which the vectors lie. A query finds in each array the
-rows that share the longest prefix with its own string; all trees then ascend together, one bit shorter at a time, until
-the rows met are CANDIDATES or more. Only those are scored, exactly and in double precision, and the best of all blocks
-are merged. The query set is cut into groups of QUERY_ROWS, so a task holds one block and one group, whatever the sizes.
-
-Vectors that are equal are one in the index, with their K + 1 smallest ids: more can't be among K nearest with ties to the
-smaller id. So a vector that a third of all rows hold is one row.
-
-On vectors without structure (the tables here: independent directions in 64 dimensions, where the 20th neighbour lies at 65
-degrees) no such forest reaches a recall of 0.9 from few candidates; CANDIDATES is set for that case and is more than half
-of a block. With clustered vectors a tenth of it does. ``recall`` measures it.
+Each vector gets TREES strings of BITS bits, the sides of random planes on which it lies; they are made once and kept beside
+it. The index is cut into blocks of about BLOCK_ROWS different vectors; each block holds a forest: for each tree the sorted
+array of its strings. A query descends in each array to the rows that share the longest prefix with its own string, until it
+has k of them, and scores them, exactly and in double precision. Then all trees ascend together, to the depth at which a row
+as near as the query's k-th best so far would have been met with probability 1 - MISS: two vectors at an angle t share a
+prefix of d bits with probability (1 - t / pi) ** d, and there are TREES chances. So how many rows are scored follows the
+data: few where neighbours are close (clusters), about half of a block where they are not (independent directions in 64
+dimensions, whose 20th neighbour lies at 65 degrees or more). The rule is the same at every size.
+
+For inner products of vectors of different lengths, index vectors get one more component that makes all lengths equal, and
+queries get a zero: then the largest inner product is the least angle.
+
+The query set is cut into groups of QUERY_ROWS, so a task holds one block and one group, whatever the sizes; the best of all
+blocks are merged. Vectors that are equal are one in the index, with their k + 1 smallest ids: more can't be among k nearest
+with ties to the smaller id. So a vector that a third of all rows hold is one row. ``exact`` is the search without a forest.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, nor do rows
 without an id; rows of equal id and vector are one; vectors of different lengths are not compared; an empty table gives an
@@ -26,71 +29,83 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.session import materialise
 
 K = 20
-TREES, BITS = 48, 32
-BLOCK_ROWS, QUERY_ROWS = 8192, 8192
-CANDIDATES = 5000
+TREES, BITS = 128, 24
+BLOCK_ROWS, QUERY_ROWS = 16384, 1024
+#: Probability that a row as near as the k-th best is not met.
+MISS = 0.03
 
 
 def _planes(dim: int) -> np.ndarray:
-    return np.random.default_rng([dim, TREES, BITS]).normal(size=(dim, TREES * BITS)).astype(np.float32)
+    return np.random.default_rng([dim, TREES, BITS]).normal(size=(dim + 1, TREES * BITS)).astype(np.float32)
 
 
-def strings(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """(rows, TREES) strings as numbers, first bit highest."""
-    out = np.empty((len(x), TREES), np.uint64)
+def strings(x: np.ndarray, length: float) -> np.ndarray:
+    """(rows, TREES) strings as numbers, first bit highest, of index vectors with a component added that makes their length ``length``; 0 for queries."""
+    planes = _planes(x.shape[1])
+    own = np.linalg.norm(x, axis=1)
+    unit = x / (length if length else own[:, None])
+    more = np.sqrt(np.maximum(0.0, 1.0 - (own / length) ** 2)) if length else np.zeros(len(x))
+    out = np.empty((len(x), TREES), np.int32)
     for i in range(0, len(x), 1024):
-        bits = np.packbits((x[i : i + 1024].astype(np.float32) @ planes) > 0, axis=1).reshape(-1, TREES, BITS // 8)
-        code = np.zeros(bits.shape[:2], np.uint64)
-        for k in range(BITS // 8):
-            code = (code << np.uint64(8)) | bits[:, :, k]
-        out[i : i + 1024] = code
+        side = np.column_stack([unit[i : i + 1024], more[i : i + 1024]]).astype(np.float32) @ planes > 0
+        bits = np.packbits(side, axis=1).reshape(-1, TREES, BITS // 8).astype(np.int32)
+        out[i : i + 1024] = (bits[:, :, 0] << 16) | (bits[:, :, 1] << 8) | bits[:, :, 2]
     return out
 
 
 class Forest:
     """Sorted arrays of the strings of one block."""
 
-    def __init__(self, x: np.ndarray) -> None:
-        self.x, self.planes = x, _planes(x.shape[1])
-        own = strings(x, self.planes)
-        self.order = np.argsort(own, axis=0, kind="stable").T.copy()
+    def __init__(self, x: np.ndarray, own: np.ndarray, length: float) -> None:
+        self.x, self.length = x, length
+        self.order = np.argsort(own, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(own.T, self.order, axis=1)
 
-    def candidates(self, queries: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """For each query the rows of the longest prefixes, ``enough`` of them or more (or all)."""
+    def ranges(self, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query and tree, the places of the rows that share ``depth`` bits with it."""
+        shift = BITS - depth
+        low = (own >> shift) << shift
+        high = low + ((1 << shift) - 1)
+        return tuple(np.stack([np.searchsorted(self.sorted[t], edge[:, t], side) for t in range(TREES)], axis=1) for edge, side in ((low, "left"), (high, "right")))
+
+    def met(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The rows of one query's ranges, each once."""
+        size = hi - lo
+        at = np.repeat(lo + np.arange(TREES) * self.order.shape[1] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        seen = np.zeros(len(self.x), bool)
+        seen[self.order.ravel()[at]] = True
+        return np.flatnonzero(seen)
+
+    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows, scores) of every query."""
         n = len(self.x)
-        if n <= enough:
-            yield from (np.arange(n) for _ in queries)
-            return
-        own = strings(queries, self.planes)
-        ranges, total = [], []
-        # descend no deeper than prefixes that a handful of rows share by chance
-        deepest = min(BITS, int(np.log2(n)) + 4)
-        for depth in range(deepest, -1, -1):
-            shift = np.uint64(BITS - depth)
-            low = (own >> shift) << shift
-            lo = np.stack([np.searchsorted(self.sorted[t], low[:, t], "left") for t in range(TREES)], axis=1)
-            hi = np.stack([np.searchsorted(self.sorted[t], low[:, t] + (np.uint64(1) << shift) - np.uint64(1), "right") for t in range(TREES)], axis=1)
-            ranges.append((lo, hi))
-            total.append((hi - lo).sum(axis=1))
-            if (total[-1] >= enough * TREES).all():
-                break
-        for q in range(len(queries)):
-            met = np.zeros(n, bool)
-            for (lo, hi), size in zip(ranges, total, strict=True):
-                if size[q] < enough:  # rows may be met in several trees, so this level can't be enough
+        k = min(k, n)
+        seen = np.full(len(queries), -1)  # depth that each query has reached
+        need = np.full(len(queries), min(BITS, max(0, int(np.log2(n)) + 4)))
+        lengths = np.linalg.norm(queries, axis=1) * self.length
+        while (open_ := np.flatnonzero(seen != need)).size:
+            depth = int(need[open_].max())
+            group = open_[need[open_] == depth]
+            lo, hi = self.ranges(own[group], depth)
+            for i, q in enumerate(group.tolist()):
+                rows = self.met(lo[i], hi[i])
+                seen[q] = depth
+                if len(rows) < k:
+                    need[q] = depth - 1
                     continue
-                for t in range(TREES):
-                    met[self.order[t, lo[q, t] : hi[q, t]]] = True
-                    if t % 8 == 7 and np.count_nonzero(met) >= enough:
-                        break
-                if np.count_nonzero(met) >= enough:
-                    break
-            yield np.flatnonzero(met)
+                score = self.x[rows] @ queries[q]
+                angle = np.arccos(np.clip(np.partition(score, len(score) - k)[len(score) - k] / lengths[q], -1.0, 1.0))
+                sure = np.log1p(-(MISS ** (1 / TREES)))
+                deep = int(sure / np.log1p(-angle / np.pi)) if 0 < angle < np.pi else BITS if angle == 0 else 0
+                if deep < depth:
+                    need[q] = deep  # deeper only from now on, since the k-th best gets no worse
+                else:
+                    yield q, rows, score
 
 
 def _valid(vector: Column) -> Column:
@@ -98,17 +113,41 @@ def _valid(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
 
 
+def _length(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
+
+
+def _with_strings(df: DataFrame, length: float) -> DataFrame:
+    """Adds ``code``, the strings of ``v``."""
+    schema = T.StructType([*df.schema.fields, T.StructField("code", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            at, dims = batch.schema.get_field_index("v"), batch.column(batch.schema.get_field_index("dim")).to_numpy()
+            vectors, code = batch.column(at), np.zeros((batch.num_rows, TREES), np.int32)
+            for d in np.unique(dims):
+                own = np.flatnonzero(dims == d)
+                code[own] = strings(np.array(vectors.take(pa.array(own)).flatten()).reshape(-1, d), length)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * TREES, pa.int32()), pa.array(code.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "code"])
+
+    return df.mapInArrow(run, schema)
+
+
 def search(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", every: int = 20, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best found for every row whose id ``every`` divides, by inner product."""
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & _valid(F.col("v")))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("_r") <= k + 1)
     index = first.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    index = materialise(index.withColumn("dim", F.size("v")), "vectors")
+    index = index.withColumn("dim", F.size("v"))
+    longest = rows.agg(F.max(_length(F.col("v")))).first()[0] or 1.0
+    index = materialise(_with_strings(index, longest), "vectors")
     asked = materialise(rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct(), "asked")
-    queries = index.join(asked.select("h1", "h2"), ["h1", "h2"], "left_semi").select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("v").alias("qv"), F.col("dim").alias("qdim"))
+    mine = index.select("h1", "h2", "v", "dim").join(asked.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    queries = materialise(_with_strings(mine, 0.0), "queries").select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("v").alias("qv"), F.col("dim").alias("qdim"), F.col("code").alias("qcode"))
     blocks = max(1, -(-index.count() // BLOCK_ROWS))
-    groups = max(1, -(-asked.count() // QUERY_ROWS))
+    groups = max(1, -(-queries.count() // QUERY_ROWS))
     held = index.withColumn("block", F.pmod(F.xxhash64("h1"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asking = queries.withColumn("qpart", F.pmod(F.xxhash64("q2"), F.lit(groups)).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
 
@@ -118,12 +157,12 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embe
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], x) for x in kinds], names=names)
         x, q = (np.array(c.combine_chunks().flatten()).reshape(len(c), -1) for c in (left["v"], right["qv"]))
+        own, asking = (np.array(c.combine_chunks().flatten()).reshape(-1, TREES) for c in (left["code"], right["qcode"]))
         ids = left["ids"].combine_chunks()
         flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
         h1, h2 = right["q1"].to_numpy(), right["q2"].to_numpy()
         out: list[list] = [[], [], [], []]
-        for i, met in enumerate(Forest(x).candidates(q, CANDIDATES)):
-            score = x[met] @ q[i]
+        for i, met, score in Forest(x, own, longest).candidates(q, asking, k + 1):
             if len(met) > k + 1:
                 edge = np.partition(score, len(met) - k - 1)[len(met) - k - 1]
                 keep = score >= edge  # ties at the edge stay, for their ids
@@ -144,14 +183,17 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embe
     return mine.select("query_id", F.posexplode("best").alias("_p", "b")).select("query_id", (F.col("_p") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
+def exact(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K) -> DataFrame:
+    """(query_id, rank, vec_id, score) without a forest, for a bounded set of ``queries`` (query_id) that is broadcast: to measure recall."""
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where(_valid(F.col("v")))
+    one = F.broadcast(rows.join(F.broadcast(queries.select(F.col("query_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")))
+    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    true = rows.join(one, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score.alias("score"))
+    return true.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+
 def recall(found: DataFrame, vectors: DataFrame, queries: int = 200, **names) -> float:
     """Share of the true nearest among those found, by brute force for a bounded number of queries."""
-    vec_id, embedding, k = names.get("vec_id", "vec_id"), names.get("embedding", "embedding"), names.get("k", K)
     asked = found.select("query_id").distinct().orderBy(F.xxhash64("query_id")).limit(queries)
-    rows = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).cast("array<double>").alias("v")).where(_valid(F.col("v")))
-    one = F.broadcast(rows.join(F.broadcast(asked.withColumnRenamed("query_id", "id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q")))
-    score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    true = rows.join(one, F.col("id") != F.col("query_id")).select("query_id", "id", score.alias("s"))
-    true = true.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))).where(F.col("r") <= k)
-    hit = true.join(found.select("query_id", F.col("vec_id").alias("id"), F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    hit = exact(vectors, asked, **names).join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
     return hit.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0]
