@@ -5,8 +5,16 @@ Each source is cut into blocks of ``block_rows`` documents. Block ``i`` of a sou
 after every slot each source is less than one block away from its share. The schedule repeats after as many slots as the
 shares sum to, so one cycle is made, on shares alone, and joined to the documents.
 
+Weights that are whole numbers and sum to CYCLE or less are the shares, exactly; so are equal weights. Others are rounded to
+whole slots of a cycle of CYCLE by largest remainders: then the bound holds for the rounded shares, each less than a slot of
+CYCLE off its weight. A cycle has a slot for each source at least, so more sources than that are refused.
+
+Documents are dealt by ranges of (source, order) and numbered by their place in a range, so a source that holds a third of
+all rows is many ranges, whatever its order column holds.
+
 Defined cases: documents without a source are a source of their own (null); a null order value comes first; ties and
-repeated rows are told apart by content, and equal rows may swap places; an empty table gives an empty one; a column that
+repeated rows are told apart by ``content``, and equal rows may swap places; weights that are null, zero or negative count
+as none given, which is one slot; weights of one source are summed; an empty table gives an empty one; a column that
 clashes with an added one (``block``, ``slot``, ``mix_pos``, ``on_target``) is replaced. Every document is returned: slots
 of a source that has run out stay empty, and ``on_target`` marks the slots before any source has run out.
 """
@@ -16,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.session import broadcast_if_small, materialise
+
 BLOCK_ROWS = 16
 CYCLE = 1000
-#: Rows of one source that are numbered in one group: ids of one range of this width.
-RANGE = 4096
+#: Counts of ranges are broadcast up to so many of them, joined by shuffle beyond.
+BROADCAST_RANGES = 100_000
 
 
 def _key(source: Column) -> Column:
@@ -28,15 +38,22 @@ def _key(source: Column) -> Column:
 
 
 def shares(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """(source, weight) to (_key, share): whole slots of a cycle, one at least."""
-    total = F.sum(F.col("weight")).over(Window.partitionBy())
-    return weights.select(_key(F.col("source")).alias("_key"), F.greatest(F.lit(1), F.floor(F.col("weight") / total * cycle + 1e-9)).cast("int").alias("share"))
+    """(source, weight) to (_key, share): whole slots of a cycle, one at least. There are ``cycle`` sources at most, so all are one window."""
+    whole = Window.partitionBy()
+    given = weights.where(F.col("weight") > 0).groupBy(_key(F.col("source")).alias("_key")).agg(F.sum("weight").alias("w"))
+    exact = F.min((F.col("w") == F.floor("w")).cast("int")).over(whole).cast("boolean") & (F.sum("w").over(whole) <= cycle)
+    slots = F.col("w") / F.sum("w").over(whole) * cycle
+    parts = given.select("_key", "w", exact.alias("exact"), F.floor(slots + 1e-9).alias("low"), (slots - F.floor(slots + 1e-9)).alias("rest"))
+    left = F.lit(cycle) - F.sum("low").over(whole)
+    more = F.row_number().over(whole.orderBy(F.desc(F.round("rest", 9)), "_key")) <= left
+    return parts.select("_key", F.greatest(F.lit(1), F.when(F.col("exact"), F.col("w")).otherwise(F.col("low") + more.cast("int"))).cast("int").alias("share"))
 
 
 def schedule(shares_: DataFrame) -> DataFrame:
     """(_key, share) to (_key, share, cycle, place, slot_in_cycle): earliest deadline first over one cycle, as a fold in one row.
 
-    The input has a row for each source and at most ``cycle`` slots; it is bounded by the cycle, not by the documents.
+    The input has a row for each source; ``interleave`` refuses more of them than a cycle has slots, so the fold is bounded by
+    the cycle, not by the documents.
     """
     row = shares_.agg(F.array_sort(F.collect_list(F.struct("_key", "share"))).alias("s"), F.sum("share").cast("int").alias("q"))
 
@@ -79,29 +96,29 @@ def interleave(
     ``weights`` has (source, weight), a row for each source (documents of other sources get a weight of one slot); without
     it all sources weigh the same. ``content`` names columns that order documents of equal ``order``.
     """
-    docs = docs.drop("block", "slot", "mix_pos", "on_target").withColumns({"_key": _key(F.col(source)), "_range": F.coalesce(F.floor(F.col(order) / RANGE), F.lit(-(1 << 60)))})
-    counts = docs.groupBy("_key", "_range").agg(F.count("*").alias("_n"))
+    docs = docs.drop("block", "slot", "mix_pos", "on_target").withColumn("_key", _key(F.col(source)))
+    by = ["_key", F.col(order).asc_nulls_first(), *content]
+    # written, since ranges are drawn anew each time; ids rise by one within a range, and the range is their upper part
+    ranged = materialise(docs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("_range", F.shiftrightunsigned("_id", 33))
+    counts = materialise(ranged.groupBy("_key", "_range").agg(F.count("*").alias("_n"), F.min("_id").alias("_first")), "range-counts")
     totals = counts.groupBy("_key").agg(F.sum("_n").alias("_total"))
     have = totals.select("_key", F.lit(1).alias("share"))
+    if (n := have.count()) > cycle:
+        raise ValueError(f"{n} sources need a cycle of as many slots; it has {cycle}")
     if weights is None:
-        share = have.select("_key", F.greatest(F.lit(1), F.floor(cycle / F.count("*").over(Window.partitionBy()))).cast("int").alias("share"))
+        share = have.select("_key", F.lit(max(1, cycle // max(1, n))).alias("share"))
     else:
         share = have.join(shares(weights, cycle).withColumnRenamed("share", "_given"), "_key", "left").select("_key", F.coalesce("_given", "share").alias("share"))
     plan = schedule(share)
-    before = counts.select("_key", "_range", (F.sum("_n").over(Window.partitionBy("_key").orderBy("_range")) - F.col("_n")).alias("_before"))
+    before = counts.select("_key", "_range", (F.sum("_n").over(Window.partitionBy("_key").orderBy("_range")) - F.col("_n") - F.col("_first")).alias("_shift"))
     # the first slot whose block its source can't fill
     place = F.col("_blocks") % F.col("_share")
-    ends = totals.select("_key", F.floor(F.col("_total") / block_rows).alias("_blocks")).join(F.broadcast(plan), "_key").where(F.col("_place") == place)
+    ends = totals.select("_key", F.floor(F.col("_total") / block_rows).alias("_blocks")).join(F.broadcast(plan), "_key").where(F.col("_place") == place)  # ``cycle`` rows
     end = ends.agg(F.min(F.floor(F.col("_blocks") / F.col("_share")) * F.col("_cycle") + F.col("_slot")).alias("_end"))
-    numbered = (
-        docs.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_range").orderBy(F.col(order).asc_nulls_first(), *content)))
-        .join(before, ["_key", "_range"])
-        .withColumn("_no", F.col("_before") + F.col("_rank") - 1)
-        .withColumn("block", F.floor(F.col("_no") / block_rows))
-        .withColumn("_mod", F.col("block"))
-    )
+    numbered = ranged.join(broadcast_if_small(before, BROADCAST_RANGES), ["_key", "_range"]).withColumn("_no", F.col("_id") + F.col("_shift")).withColumn("block", F.floor(F.col("_no") / block_rows))
     plan = plan.select("_key", "_share", "_cycle", "_place", "_slot")
-    sized = F.broadcast(plan.select("_key", "_share", "_cycle").distinct())
+    sized = F.broadcast(plan.select("_key", "_share", "_cycle").distinct())  # ``cycle`` rows at most, as the next
     return (
         numbered.join(sized, "_key")
         .withColumn("_place", (F.col("block") % F.col("_share")).cast("int"))
@@ -110,7 +127,7 @@ def interleave(
         .withColumn("mix_pos", F.col("slot") * block_rows + F.col("_no") % block_rows)
         .crossJoin(F.broadcast(end))  # one row
         .withColumn("on_target", F.col("slot") < F.col("_end"))
-        .drop("_key", "_range", "_rank", "_before", "_no", "_mod", "_share", "_cycle", "_place", "_slot", "_end")
+        .drop("_key", "_range", "_id", "_shift", "_no", "_share", "_cycle", "_place", "_slot", "_end")
     )
 
 

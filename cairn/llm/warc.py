@@ -6,9 +6,12 @@ in the frame, so one record costs one frame to read. Of pages with equal payload
 and the others are revisits that refer to it.
 
 Bundles go to a folder that all executors share. A task that is run again writes files of its own, and the manifest, kept
-as a table, names only those of the run that counted. Defined cases: a null payload is empty; empty payloads are equal;
-a null id is written as absent, and sorts first; repeated rows of the smallest id are all responses; an empty table gives
-no file and an empty manifest; only the columns named are read.
+as a table, names only those of the run that counted. Bundles are read back in as many tasks as their bytes ask for.
+
+Defined cases: a null payload is empty; empty payloads are equal; a null id is written as absent, and sorts first; repeated
+rows of the smallest id are all responses, and the identifiers of rows that repeat are told apart by the bundle and the place
+in it, so their revisits name the page but no record; an empty table gives no file and an empty manifest; only the columns
+named are read.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import fresh_path, materialise
+from cairn.session import broadcast_if_small, fresh_path, materialise
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 30
 LEVEL = 3
-#: One hot payload is spread over so many groups.
-SALTS = 32
+#: Compressed bytes that one task reads back, about.
+READ_BYTES = 32 << 20
+#: Pages whose payload others have too are looked up by broadcast up to so many (of about 60 bytes), by shuffle beyond.
+BROADCAST_ROWS = 200_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace of addresses in RFC 9562
 _DATE = "1970-01-01T00:00:00Z"
@@ -46,14 +51,14 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{digest}')}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{digest}{place}')}>"
 
 
-def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool) -> tuple[str, bytes]:
-    """(identifier, bytes) of one record."""
+def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, place: str = "", sure: bool = True) -> tuple[str, bytes]:
+    """(identifier, bytes) of one record. ``place`` tells rows apart that repeat; unless ``sure``, a revisit names no record, for there are several."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    name = record_id(page_id, digest)
+    name = record_id(page_id, digest, place)
     head = [f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
@@ -61,7 +66,7 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
         head.append(f"X-Page-ID: {page_id}")
     block = b""
     if is_revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Payload-Length: {len(payload)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", *([f"WARC-Refers-To: {record_id(refers_to, digest)}"] if sure else []), f"X-Payload-Length: {len(payload)}"]
         if refers_to is not None:
             head.append(f"X-Refers-To-Page-ID: {refers_to}")
     else:
@@ -161,14 +166,20 @@ class BundleReader:
 
 
 def classify(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(page_id, url, payload, is_revisit, refers_to): the smallest id of each payload stays, the others refer to it."""
+    """(page_id, url, payload, is_revisit, refers_to, twice, sure): the smallest id of each payload stays, the others refer to it.
+
+    ``twice`` marks rows whose id and payload repeat, ``sure`` revisits to an id that doesn't.
+    """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("_sha", F.unhex(F.sha2("payload", 256)))
-    groups = rows.groupBy("_sha").agg(F.min(F.struct("page_id")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_sha", "_first")
-    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(groups, ["_sha", "_salt"], "left")
-    revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first.page_id"))
-    return out.select("page_id", "url", "payload", revisit.alias("is_revisit"), F.when(revisit, F.col("_first.page_id")).alias("refers_to"))
+    rows = rows.withColumns({"_sha": F.unhex(F.sha2("payload", 256)), "_id": F.coalesce("page_id", F.lit(0)), "_absent": F.col("page_id").isNull()})
+    # facts by id and payload: a payload that very many pages have is spread over their ids
+    each = materialise(rows.groupBy("_sha", "_id", "_absent").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")), "payload-digests")
+    several = each.groupBy("_sha").agg(F.min(F.struct("page_id", "n")).alias("first"), F.sum("n").alias("all")).where(F.col("all") > 1).select("_sha", "first")
+    facts = each.drop("page_id").join(broadcast_if_small(several, BROADCAST_ROWS), "_sha")
+    facts = materialise(facts.select("_sha", "_id", "_absent", (F.col("n") > 1).alias("twice"), "first"), "copies")
+    out = rows.join(broadcast_if_small(facts, BROADCAST_ROWS), ["_sha", "_id", "_absent"], "left")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return out.select("page_id", "url", "payload", revisit.alias("is_revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.coalesce("twice", F.lit(False)).alias("twice"), F.coalesce(F.col("first.n") == 1, F.lit(True)).alias("sure"))
 
 
 def write_bundles(pages: DataFrame, folder: str | None = None, **names) -> DataFrame:
@@ -181,9 +192,10 @@ def write_bundles(pages: DataFrame, folder: str | None = None, **names) -> DataF
         schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("bundle", pa.string()), ("frame", pa.int32()), ("frame_start", pa.int64()), ("frame_bytes", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
         out, writer = lambda w: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*w.rows, strict=True), schema, strict=True)], schema=schema), None
         for batch in batches:
-            for page, url, payload, revisit, refers in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for page, url, payload, revisit, refers, twice, sure in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 writer = writer or BundleWriter(f"{folder}/{uuid.uuid4().hex}.warc.zst")
-                name, record = build_record(page, url, payload, refers, revisit)
+                place = f"/{writer.path}/{len(writer.rows) + len(writer.waiting)}" if twice else ""
+                name, record = build_record(page, url, payload, refers, revisit, place, sure)
                 writer.add(name, page, record)
                 if writer.start >= BUNDLE_BYTES:
                     writer.close()
@@ -216,7 +228,10 @@ def read_bundles(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         if reader:
             reader.close()
 
-    frames = manifest.groupBy("bundle", "frame").agg(F.count("*").alias("n")).select("bundle", "frame").sortWithinPartitions("bundle", "frame")
+    frames = manifest.groupBy("bundle", "frame").agg(F.max("frame_bytes").alias("size"))
+    n, size = frames.agg(F.count("*"), F.sum("size")).first()
+    tasks = max(1, min(n, max((size or 0) // READ_BYTES + 1, manifest.sparkSession.sparkContext.defaultParallelism)))
+    frames = frames.select("bundle", "frame").repartition(tasks, "bundle", F.floor(F.col("frame") / 8)).sortWithinPartitions("bundle", "frame")
     return frames.mapInArrow(read, ", ".join(f"{f} {types[f]}" for f in ("bundle", "frame", *fields)))
 
 
