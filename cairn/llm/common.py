@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], count: s
     """``rows`` with the columns of ``facts`` (one row a key), null where there is none. Hot keys don't meet in one task.
 
     ``count`` of ``facts`` says how many of the ``total`` rows have the key, so hot keys, by number fewer than HOT_SHARE,
-    are broadcast; rows of hot keys are spread over the shuffle that joins the others.
+    are broadcast; rows of hot keys, and of null ones, are spread over the shuffle that joins the others.
     """
     hot = F.col(count) * HOT_SHARE > total
     keys = [key] if isinstance(key, str) else key
@@ -37,7 +38,8 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str | list[str], count: s
     few = facts.where(hot).select(*keys, F.struct(*own).alias("_hot"))
     many = facts.where(~hot).select(*keys, F.lit(0).cast("long").alias("_salt"), F.struct(*own).alias("_cold"))
     out = rows.join(F.broadcast(few), keys, "left")
-    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*(F.col(c) for c in rows.columns if c not in keys)).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    absent = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    spread = F.when(F.col("_hot").isNotNull() | absent, F.xxhash64(*(F.col(c) for c in rows.columns if c not in keys)).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
     out = out.withColumn("_salt", spread).join(many, [*keys, "_salt"], "left")
     return out.select(*rows.columns, *(F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in own))
 

@@ -6,6 +6,10 @@ the host. How often each declaration or suffix goes with each language, and what
 of the texts' own posteriors over all rows; a host's counts are smoothed toward its domain's, and those toward the whole
 table's. A row's own text is taken out of its host's counts before it is judged.
 
+Beside the languages stands one more class, a text in none of them: its trigrams fall into all buckets alike, it has the prior
+UNKNOWN at every host, and its declarations and suffixes are any of those seen. A row is accepted if a language has
+MIN_POSTERIOR or more of the fused posterior, so gibberish and text in other languages go, whatever the markup declares.
+
 Defined cases: a null text is empty; a text without letters is judged by the other evidence and not accepted; null hosts,
 suffixes and declarations give no evidence; a table of labels with no row gives language null; repeated rows each get
 their row; an empty table gives an empty one; added columns start with an underscore or replace those of the same name.
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.binding import let
-from cairn.llm.common import chunks, utf8
-from cairn.session import broadcast_if_small, materialise
+from cairn.llm.common import chunks, join_facts, utf8
+from cairn.session import materialise
 
 BUCKETS = 1 << 14
 #: The text counts as so many independent trigrams at most: neighbouring trigrams repeat each other's evidence.
@@ -32,6 +36,7 @@ SMOOTHING = 0.5
 #: Pseudo-rows by which a host leans on its domain, and a domain on the table.
 HOST_STRENGTH, DOMAIN_STRENGTH = 5.0, 20.0
 MIN_POSTERIOR = 0.5
+UNKNOWN = 0.05
 #: Hosts and domains are joined by broadcast up to so many of them, by shuffle beyond.
 BROADCAST_HOSTS = 50_000
 
@@ -120,7 +125,7 @@ def _softmax(ll: Column) -> Column:
 def _sums(rows: DataFrame, key: str, width: int) -> DataFrame:
     """Posterior mass by language for each value of a column; partial sums come before the shuffle, so a hot value is one row a task."""
     sums = [F.sum(F.get("_post", F.lit(k))).alias(f"s{k}") for k in range(width)]
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*sums).select(key, F.array(*(f"s{k}" for k in range(width))).alias(f"{key}_n"))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*sums, F.count("*").alias(f"{key}_rows")).select(key, F.array(*(f"s{k}" for k in range(width))).alias(f"{key}_n"), f"{key}_rows")
 
 
 def _plus(a: Column, b: Column, weight: float = 1.0) -> Column:
@@ -150,7 +155,10 @@ def identify(df: DataFrame, model: TextModel, *, text: str = "text", host: str |
     # second pass: the same likelihoods beside whole rows, and the fused posterior
     out = with_likelihoods(df, model, text).withColumn("_post", _softmax(F.col("_ll")))
     for k, table in sums.items():
-        out = out.join(broadcast_if_small(table, BROADCAST_HOSTS), k, "left")
+        if table.count() <= BROADCAST_HOSTS:
+            out = out.join(F.broadcast(table.drop(f"{k}_rows")), k, "left")
+        else:
+            out = join_facts(out, table, k, f"{k}_rows", seen.count())
     own = F.when(F.col("_grams") > 0, F.col("_post")).otherwise(F.transform("_post", lambda x: F.lit(0.0)))
     less = lambda c: F.zip_with(F.col(c), own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
     prior = root
@@ -158,15 +166,17 @@ def identify(df: DataFrame, model: TextModel, *, text: str = "text", host: str |
         if key in sums:
             out = out.withColumn(f"{key}_p", F.when(F.col(f"{key}_n").isNotNull(), _share(less(f"{key}_n"), prior, strength)).otherwise(prior))
             prior = F.col(f"{key}_p")
-    total = F.zip_with("_ll", prior, lambda a, p: a + F.log(p))
+    total = F.zip_with("_ll", prior, lambda a, p: a + F.log(p * (1 - UNKNOWN)))
+    unknown = F.least(F.col("_grams").cast("double"), F.lit(EFFECTIVE)) * float(-np.log(BUCKETS)) + float(np.log(UNKNOWN))
     for key in ("_declared", "_suffix"):
         if key in sums:  # P(value | language), smoothed
             values = F.lit(float(sums[key].count() + 1))
             given = F.zip_with(less(f"{key}_n"), F.array(*(F.lit(m) for m in mass)), lambda n, m: F.log((n + SMOOTHING) / (m + SMOOTHING * values)))
             total = F.when(F.col(f"{key}_n").isNotNull(), F.zip_with(total, given, lambda a, b: a + b)).otherwise(total)
+            unknown = unknown - F.when(F.col(f"{key}_n").isNotNull(), F.log(values)).otherwise(0.0)
     langs = F.array(*(F.lit(x) for x in model.languages))
     best = lambda p: F.get(langs, F.array_position(p, F.array_max(p)).cast("int") - 1)
-    out = out.withColumn("_fused", total).withColumn("_fused", _softmax(F.col("_fused")))
+    out = out.withColumn("_fused", F.concat(total, F.array(unknown))).withColumn("_fused", F.slice(_softmax(F.col("_fused")), 1, width))
     out = out.withColumns({"lang_id": best(F.col("_fused")), "lang_posterior": F.array_max("_fused"), "lang_text": F.when(F.col("_grams") > 0, best(F.col("_post")))})
     out = out.withColumn("lang_accepted", (F.col("_grams") > 0) & (F.col("lang_posterior") >= MIN_POSTERIOR))
     extra = ["_ll", "_grams", "_post", "_fused", *names, *(f"{k}_n" for k in sums), *(f"{k}_p" for k in sums)]

@@ -18,7 +18,7 @@ def stages(spark):
     from cairn.session import materialise
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(None, None, None, None, None), (900001, "", "en", "src0", 0), (900002, "$$$ %%%", None, "src0", 7), (900003, None, "fr", None, None)], docs.schema)
+    odd = spark.createDataFrame([(None, None, None, None, None), (900001, "", "en", "src0", 0), (900002, "$$$ %%%", None, "src0", 7), (900003, None, "fr", None, None), (900004, "xqzj wvkk pqzx jjqw zxcv bvnm qwrt plkj hgfd zzxq", "en", "src0", 50), (900005, "Быстрая коричневая лиса прыгает через ленивую собаку", "en", "src0", 52)], docs.schema)
     docs = docs.unionByName(odd).unionByName(docs.limit(1))
     out = [docs]
     for name, stage in corpus_pipeline.STAGES:
@@ -36,10 +36,15 @@ def test_schema_and_emptiness(spark, stages):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
-def test_language_stage_keeps_texts_with_letters(stages):
+def test_language_stage_keeps_what_plain_loops_accept(stages):
+    from tests.llm.test_langid import plain_posteriors
+
     _, rows, _ = stages
+    found = plain_posteriors([(r.text, r.lang) for r in rows[0]], [(r.text, r.source, None, None, r.lang) for r in rows[0]])
     kept = Counter((r.doc_id, r.text) for r in rows[1])
-    assert kept == Counter((r.doc_id, r.text) for r in rows[0] if r.text and re.search(r"[^\W\d_]{2}", r.text))
+    assert kept == Counter((r.doc_id, r.text) for r, (_, _, accepted) in zip(rows[0], found, strict=True) if accepted)
+    gone = {r.doc_id for r in rows[0]} - {r.doc_id for r in rows[1]}
+    assert {None, 900001, 900002, 900003, 900004, 900005} <= gone and len(gone) < 20
 
 
 def test_one_of_each_class_stays(stages):
