@@ -141,13 +141,14 @@ def _count(kind: str) -> Column:
 
 
 def digest(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts of the base kinds, the hash of the base spans, and all spans as text."""
+    """One row per document: counts of the base kinds, the hash of the base spans, all spans as text, and their scores."""
     base = F.filter("_spans", lambda s: s["kind_no"] < len(BASE_KINDS))
     return with_spans(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "_text", "_spans").select(
         "doc_id",
         *(_count(k) for k in BASE_KINDS),
         F.sha2(span_list(base), 256).alias("base_sha256"),
         span_list(F.col("_spans")).alias("spans"),
+        F.transform("_spans", lambda s: s["score"]).alias("scores"),
     )
 
 

@@ -18,12 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import chunks, mix64, powers, utf8, word_hashes
+from cairn.session import materialise
 
 TRAIN_ROWS = 4000
+#: Lines of these documents at most: about a hundred bytes each on the driver.
+TRAIN_LINES = 500_000
 THRESHOLD = 0.7
 
 _KIND = np.zeros(256, np.int64)  # 0: symbols
@@ -200,8 +203,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Fits on the ``rows`` labelled documents of smallest hash; only their features reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> Model:
+    """Fits on the ``rows`` labelled documents of smallest hash; only their features reach the driver.
+
+    Of these, documents of more than a tenth of ``lines`` are left out, and as many of the others are taken as have ``lines``
+    lines together, so what reaches the driver is bounded in rows and in bytes.
+    """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null and not " + "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
@@ -215,6 +222,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
                 yield pa.RecordBatch.from_pydict({"label": pa.array([c[0] for c in cells], pa.int32()), "x": pa.array([c[1] for c in cells], pa.binary()), "size": pa.array([c[2] for c in cells], pa.binary())})
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    sized = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max(F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n"), F.max("label").alias("label")).where(F.col("n") * 10 <= lines)
+    together = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of ``rows`` rows at most
+    known = materialise(sized.withColumn("_sum", together).where(F.col("_sum") <= lines).select("doc_id", "label"), "training-rows")
     sample = texts.join(F.broadcast(known), "doc_id").select(F.col("label").cast("int").alias("label"), "text")  # ``rows`` rows of two numbers
     got = sample.mapInArrow(features, "label int, x binary, size binary").toPandas()
     got = got.iloc[np.argsort([hash_bytes(b) for b in got["x"]], kind="stable")] if len(got) else got  # an order of their own
