@@ -1,6 +1,7 @@
 """From raw documents to a training mix: five stages, each on all that the one before has kept.
 
-1. language ID drops documents without letters and those whose fused evidence leaves no language likelier than not;
+1. language ID drops documents in none of the languages that the corpus is labelled with: gibberish, encoded data, other
+   languages and texts without letters, by the fused evidence;
 2. near-duplicates: of each class one document stays;
 3. benchmark decontamination drops contaminated documents;
 4. personal data is replaced by the name of its kind, and ``n_chars`` follows the new text;
