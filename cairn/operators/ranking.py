@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions import vectors as V
-from cairn.session import broadcast_if_small
+from cairn.session import broadcast_if_small, materialise
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -46,8 +46,14 @@ def ranked(scored: DataFrame, k: int, *keys: str) -> DataFrame:
 
 
 def _own_terms(passages: DataFrame, terms: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """Postings of the terms that some question has."""
-    return postings(passages, tokens).join(broadcast_if_small(terms.select("term").distinct(), QUERY_ROWS), "term", "left_semi")
+    """(passage_id, period, dl, term, tf, first): postings of the terms that some question has, and a row with ``first`` set for each
+    passage, so that counts and lengths of all come with them. Each text is tokenised once."""
+    wanted = terms.select("term").distinct().withColumn("asked", F.lit(True))
+    rows = passages.select("passage_id", "period", tokens(F.col("text")).alias("t")).select("passage_id", "period", F.greatest(F.size("t"), F.lit(0)).alias("dl"), F.posexplode_outer("t").alias("at", "term"))
+    rows = rows.join(broadcast_if_small(wanted, QUERY_ROWS), "term", "left").withColumn("first", F.col("at").isNull() | (F.col("at") == 0)).where("asked or first")
+    rows = rows.withColumn("term", F.when(F.col("asked"), F.col("term")))
+    own = rows.groupBy("passage_id", "period", "dl", "term").agg(F.count("*").alias("tf"), F.max("first").alias("first"))
+    return materialise(own, "postings")
 
 
 def bm25_scores(passages: DataFrame, questions: DataFrame, scope: str = "corpus") -> DataFrame:
@@ -56,49 +62,63 @@ def bm25_scores(passages: DataFrame, questions: DataFrame, scope: str = "corpus"
     ``scope`` says what the statistics are of: the whole corpus, or the passages that the question's filter leaves.
     """
     terms = query_terms(questions, T.bm25_tokens)
-    own = _own_terms(passages, terms, T.bm25_tokens)
-    stats_of = passages.select("period", F.size(T.bm25_tokens(F.col("text"))).alias("dl"))
+    every = _own_terms(passages, terms, T.bm25_tokens)
+    own, stats_of = every.where("term is not null").drop("first"), every.where("first").select("period", "dl")
     pairs = own.join(broadcast_if_small(terms, QUERY_ROWS), "term").where(eligible(F.col("q_period"), F.col("period")))
     if scope == "corpus":
         df = own.groupBy("term").agg(F.count("*").alias("df"))
         pairs = pairs.join(broadcast_if_small(df, QUERY_ROWS), "term").crossJoin(F.broadcast(stats_of.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))))
     else:
-        limits = terms.select("q_period").distinct()
-        df = own.join(F.broadcast(limits), eligible(F.col("q_period"), F.col("period"))).groupBy("q_period", "term").agg(F.count("*").alias("df"))
-        stats = stats_of.join(F.broadcast(limits), eligible(F.col("q_period"), F.col("period"))).groupBy("q_period").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+        limits = broadcast_if_small(terms.select("q_period").distinct(), QUERY_ROWS)
+        df = own.join(limits, eligible(F.col("q_period"), F.col("period"))).groupBy("q_period", "term").agg(F.count("*").alias("df"))
+        stats = stats_of.groupBy("period").agg(F.count("*").alias("n"), F.sum("dl").alias("sum"))
+        stats = stats.join(limits, eligible(F.col("q_period"), F.col("period"))).groupBy("q_period").agg(F.sum("n").alias("n"), (F.sum("sum") / F.sum("n")).alias("avgdl"))
         named = lambda t: t.withColumn("_p", F.coalesce("q_period", F.lit("\x00"))).drop("q_period")
-        pairs = pairs.withColumn("_p", F.coalesce("q_period", F.lit("\x00"))).join(broadcast_if_small(named(df), QUERY_ROWS), ["_p", "term"]).join(F.broadcast(named(stats)), "_p")
+        pairs = pairs.withColumn("_p", F.coalesce("q_period", F.lit("\x00"))).join(broadcast_if_small(named(df), QUERY_ROWS), ["_p", "term"]).join(broadcast_if_small(named(stats), QUERY_ROWS), "_p")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return pairs.groupBy("query_id", "passage_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
+def _inverse_frequencies(passages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, (term, idf), (passage_id, norm)), built once: frequencies and norms are aggregates of the postings."""
+    own = materialise(postings(passages, T.tfidf_tokens), "postings")
+    n = F.broadcast(passages.agg(F.count("*").alias("n")))
+    idf = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = materialise(idf, "term-weights")
+    w = F.col("tf") * F.col("idf")
+    norms = own.join(broadcast_if_small(idf, QUERY_ROWS), "term").groupBy("passage_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return own, idf, norms
+
+
 def tfidf_weights(passages: DataFrame) -> DataFrame:
     """(passage_id, period, term, w): raw counts times ln((1 + n) / (1 + df)) + 1, rows of length one."""
-    own = postings(passages, T.tfidf_tokens)
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    raw = own.join(df, "term").crossJoin(F.broadcast(passages.agg(F.count("*").alias("n")))).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy("passage_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "passage_id").select("passage_id", "period", "term", (F.col("w") / F.col("norm")).alias("w"))
+    own, idf, norms = _inverse_frequencies(passages)
+    raw = own.join(broadcast_if_small(idf, QUERY_ROWS), "term").join(norms, "passage_id")
+    return raw.select("passage_id", "period", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
 
 
 def tfidf_scores(passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """Cosine of TF-IDF rows. Filters choose rows; the term statistics stay those of the corpus."""
-    weights = tfidf_weights(passages)
-    n = passages.agg(F.count("*").alias("n"))
-    df = weights.groupBy("term").agg(F.count("*").alias("df"))
-    q = query_terms(questions, T.tfidf_tokens).join(df, "term").crossJoin(F.broadcast(n)).withColumn("qw", F.col("qtf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    """Cosine of TF-IDF rows. Filters choose rows; the term statistics stay those of the corpus. Only terms of a question move."""
+    own, idf, norms = _inverse_frequencies(passages)
+    q = query_terms(questions, T.tfidf_tokens).join(idf, "term").withColumn("qw", F.col("qtf") * F.col("idf"))
     norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    q = q.join(norm, "query_id").select("query_id", "q_period", "term", (F.col("qw") / F.col("qnorm")).alias("qw"))
-    pairs = weights.join(broadcast_if_small(q, QUERY_ROWS), "term").where(eligible(F.col("q_period"), F.col("period")))
-    return pairs.groupBy("query_id", "passage_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), DIGITS).alias("score"))
+    q = materialise(q.join(norm, "query_id").select("query_id", "q_period", "term", "idf", (F.col("qw") / F.col("qnorm")).alias("qw")), "question-weights")
+    pairs = own.join(broadcast_if_small(q, QUERY_ROWS), "term").where(eligible(F.col("q_period"), F.col("period")))
+    dots = pairs.groupBy("query_id", "passage_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    return dots.join(norms, "passage_id").select("query_id", "passage_id", F.round(F.col("dot") / F.col("norm"), DIGITS).alias("score"))
 
 
 def fill_zero(scored: DataFrame, passages: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Adds eligible passages of score 0, smallest ids first, where a question has fewer than ``k`` scored ones."""
+    """Adds eligible passages of score 0, smallest ids first, where a question has fewer than ``k`` scored ones.
+
+    Such a question has scored fewer than ``k``, so its fill is among the 2 ``k`` smallest ids of the periods it allows.
+    """
+    scored = materialise(scored, "scored")
     short = questions.join(scored.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
     short = short.select("query_id", F.col("period").alias("q_period"))
-    free = passages.select("passage_id", "period").join(broadcast_if_small(short, QUERY_ROWS), eligible(F.col("q_period"), F.col("period"))).select("query_id", "passage_id").join(scored, ["query_id", "passage_id"], "left_anti")
+    least = passages.select("passage_id", "period").withColumn("_r", F.row_number().over(Window.partitionBy("period").orderBy("passage_id"))).where(F.col("_r") <= 2 * k).drop("_r")
+    free = least.join(broadcast_if_small(short, QUERY_ROWS), eligible(F.col("q_period"), F.col("period"))).select("query_id", "passage_id").join(scored, ["query_id", "passage_id"], "left_anti")
     return scored.unionByName(ranked(free.withColumn("score", F.lit(0.0)), k).select("query_id", "passage_id", "score"))
 
 
@@ -147,7 +167,7 @@ def rerank(fused: DataFrame, passages: DataFrame, questions: DataFrame, k: int)
         }
     )
     total = sum((F.col(name) * w for name, w in RERANK_WEIGHTS.items()), F.lit(0.0))
-    rows = rows.drop("text", "question").withColumn("score", F.round(total, DIGITS))
+    rows = rows.drop("text", "question").withColumn("score", F.round(total, DIGITS + 2))  # all digits that the products have
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("rrf"), "passage_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import ranking as R
+from cairn.session import broadcast_if_small
 from cairn.sources.contracts import SQL, gold, passages, questions, table
 
 TOP = 4
@@ -65,15 +66,15 @@ def dense_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     own = e.select(F.col("vec_id").alias("passage_id"), F.lit(None).cast("string").alias("period"), "v")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit(None).cast("string").alias("period"), "v")
-    return R.ranked(R.dense_scores(own, asked), 5).select("query_id", "passage_id", F.round((F.col("score") + 1) / 2, 6).alias("score"), "rank")
+    return R.ranked(R.dense_scores(own, asked), 5).select("query_id", "passage_id", F.round((F.col("score") + 1) / 2, 7).alias("score"), "rank")  # half of six digits has seven
 
 
-def overlap_topk(spark, d):
+def overlap_topk(spark, d, prefix: str = "trace-"):
     p = passages(spark, d).select("passage_id", "period", F.explode_outer(T.lexical_tokens(F.col("text"))).alias("term")).where("term is not null")
     q = questions(spark, d).where("period is not null").select("query_id", F.col("period").alias("q_period"), F.explode_outer(T.lexical_tokens(F.col("question"))).alias("term"))
-    pairs = p.join(F.broadcast(q), (p["term"] == q["term"]) & (F.col("period") == F.col("q_period")))
+    pairs = p.withColumnRenamed("period", "q_period").join(broadcast_if_small(q, R.QUERY_ROWS), ["term", "q_period"])
     scored = pairs.groupBy("query_id", "passage_id").agg(F.count("*").cast("double").alias("score"))
-    return R.ranked(scored, 2).withColumn("trace_id", F.concat(F.lit("lesson10-"), F.substring(F.sha2(F.concat_ws("|", "query_id", "passage_id"), 256), 1, 12))).select(*_ROW, "trace_id")
+    return R.ranked(scored, 2).withColumn("trace_id", F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", "query_id", "passage_id"), 256), 1, 12))).select(*_ROW, "trace_id")
 
 
 def rrf_fusion(spark, d):
@@ -119,7 +120,7 @@ def rank_movement(spark, d):
 
 def literal_rank(spark, d):
     q = questions(spark, d).select("query_id", F.left("question", F.lit(40)).alias("literal"))
-    hits = _bm25(spark, d).join(passages(spark, d).select("passage_id", "text"), "passage_id").join(F.broadcast(q), "query_id")
+    hits = _bm25(spark, d).join(passages(spark, d).select("passage_id", "text"), "passage_id").join(broadcast_if_small(q, R.QUERY_ROWS), "query_id")
     return hits.groupBy("query_id").agg(F.min(F.when(F.contains("text", "literal"), F.col("rank"))).alias("first_rank"))
 
 
@@ -157,7 +158,7 @@ def rag_prompts(spark, d):
 def balanced_topk(spark, d):
     p = passages(spark, d).select("passage_id", "company", F.explode_outer(T.query_words(F.col("text"))).alias("term")).where("term is not null")
     q = questions(spark, d).select("query_id", F.explode_outer(T.query_words(F.col("question"))).alias("term"))
-    scored = p.join(F.broadcast(q), "term").groupBy("query_id", "company", "passage_id").agg(F.count("*").cast("double").alias("score"))
+    scored = p.join(broadcast_if_small(q, R.QUERY_ROWS), "term").groupBy("query_id", "company", "passage_id").agg(F.count("*").cast("double").alias("score"))
     each = R.ranked(scored, 1, "query_id", "company").drop("rank")
     return R.ranked(each, 5).select("query_id", "company", "passage_id", "score", "rank")
 
@@ -208,7 +209,7 @@ def _reranked(source: str) -> str:
   FROM (SELECT * FROM {source} WHERE rank <= {CANDIDATES}) f JOIN passages p USING (passage_id) JOIN questions USING (query_id)),
 rr1 AS (SELECT *, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, w)) / len(q), 6) END AS lexical, CASE WHEN len(n) = 0 THEN 0 ELSE round(len(list_intersect(n, m)) / len(n), 6) END AS numeric,
   CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, ['body'])) / len(q), 6) END AS section, round(rrf / top, 6) AS fusion FROM rr0),
-rr AS (SELECT *, round(lexical * 0.25 + numeric * 0.45 + section * 0.1 + 0.1 + fusion * 0.1, 6) AS score FROM rr1),
+rr AS (SELECT *, round(lexical * 0.25 + numeric * 0.45 + section * 0.1 + 0.1 + fusion * 0.1, 8) AS score FROM rr1),
 rr_top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rrf DESC, passage_id) AS rank FROM rr QUALIFY rank <= {TOP})"""
 
 
@@ -234,10 +235,10 @@ ORACLES = {
     "bm25_topk_scoped": _W + _SCOPED + f" SELECT * FROM sbm_top WHERE rank <= {TOP}",
     "tfidf_weights": _W + _TFIDF + " SELECT passage_id, count(*) AS terms, round(sum(w), 6) AS total, round(max(w), 6) AS top FROM wts GROUP BY 1",
     "tfidf_topk": _W + _TFIDF + ", " + _filled("tf", False),
-    "dense_topk": """SELECT query_id, passage_id, round((s + 1) / 2, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, passage_id) AS rank FROM (
+    "dense_topk": """SELECT query_id, passage_id, round((s + 1) / 2, 7) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, passage_id) AS rank FROM (
       SELECT q.vec_id AS query_id, e.vec_id AS passage_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) QUALIFY rank <= 5""",
     "overlap_topk": _W + f"""x AS (SELECT query_id, passage_id, len(list_intersect(list_distinct(regexp_extract_all({_FOLD.format('question')}, '[a-z0-9]+')), regexp_extract_all({_FOLD.format('text')}, '[a-z0-9]+')))::DOUBLE AS score FROM questions q JOIN passages p ON q.period = p.period)
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank, 'lesson10-' || substr(sha256(query_id || '|' || passage_id), 1, 12) AS trace_id FROM x WHERE score > 0 QUALIFY rank <= 2""",
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank, 'trace-' || substr(sha256(query_id || '|' || passage_id), 1, 12) AS trace_id FROM x WHERE score > 0 QUALIFY rank <= 2""",
     "rrf_fusion": _W + _BM25 + "," + _TFIDF + ", " + _fused("f", ("bm_top", "bm25", 1.0), ("tf_top", "tfidf", 1.0)) + " SELECT query_id, passage_id, score, rank, channels FROM f WHERE rank <= 10",
     "rrf_violations": _W + _BM25 + "," + _TFIDF + " SELECT 'bm25' AS channel, count(*) AS n, count(DISTINCT query_id) AS queries, 0 AS duplicates FROM bm_top UNION ALL SELECT 'tfidf', count(*), count(DISTINCT query_id), 0 FROM tf_top",
     "rerank": _W + _BM25 + ", " + _fused("f", ("bm_top", "bm25", 1.0)) + ", " + _reranked("f") + " SELECT query_id, passage_id, score, rank, lexical::DOUBLE AS lexical, numeric::DOUBLE AS numeric, section::DOUBLE AS section, fusion FROM rr_top",
