@@ -44,10 +44,21 @@ def unsafe_key(key: Column) -> Column:
 
 
 def table_hash(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One hash of a table: of the row hashes (fixed width) in the order of the key.
+    """One hash of a table: of the row hashes (fixed width) in the order of the key, a whole number.
 
-    Row hashes are first combined by ranges of 4096 keys, then those; no task sees more than 64 bytes for each range.
+    Row hashes are combined by ranges of 4096 keys, those by ranges of as many, and so on, so that no group has more than 4096
+    distinct keys, however sparse they are, and the last has eight at most. A null key is of a range of its own, the first.
     """
     row = F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), 256)
-    parts = df.select(F.floor(F.col(key) / 4096).alias("range"), F.col(key).alias("k"), row.alias("h")).groupBy("range").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: s["h"]), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "h"))), lambda s: s["h"]), ""), 256).alias("hash"))
+    level = df.select(F.col(key).cast("long").alias("k"), row.alias("h"))
+    for _ in range(LEVELS):
+        level = _joined(level.groupBy(F.floor(F.col("k") / 4096).alias("range"))).select(F.col("range").alias("k"), "h")
+    return _joined(level.groupBy()).select(F.col("h").alias("hash"))
+
+
+#: Ranges of 4096 of ranges, until eight are left of all whole numbers of 64 bits.
+LEVELS = 5
+
+
+def _joined(groups) -> DataFrame:
+    return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda s: s["h"]), ""), 256).alias("h"))

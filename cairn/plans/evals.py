@@ -9,6 +9,7 @@ from cairn.functions import text as T
 from cairn.operators import evaluation as E
 from cairn.operators import ranking as R
 from cairn.plans.ranks import _BM25, TOP
+from cairn.session import broadcast_if_small
 from cairn.sources.contracts import SQL, answers, gold, observations, passages, questions, table, trajectory
 
 BUDGET = 40
@@ -63,7 +64,7 @@ def tag_coverage(spark, d):
 def pipeline_checks(spark, d):
     h = _hits(spark, d)
     order = F.lag("score").over(Window.partitionBy("query_id").orderBy("rank"))
-    h = h.withColumn("before", order).join(F.broadcast(questions(spark, d).select("query_id", F.col("period").alias("q_period"))), "query_id")
+    h = h.withColumn("before", order).join(broadcast_if_small(questions(spark, d).select("query_id", F.col("period").alias("q_period")), R.QUERY_ROWS), "query_id")
     row = h.agg(
         (F.count("*") > 0).alias("runs_exist"),
         F.bool_and(R.eligible(F.col("q_period"), F.col("period"))).alias("filters_hold"),

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import finance as X
+from cairn.session import broadcast_if_small
 from cairn.sources.contracts import SQL, blocks, table
 
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "table", "li")
@@ -155,7 +156,7 @@ def metric_lookup(spark, d):
     m = metrics_long(spark, d)
     asks = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 27).cast("int").alias("c_nationkey"), F.when(F.col("o_orderkey") % 10 == 3, "NOSUCH").otherwise("BUILDING").alias("metric"))
     known = m.select("c_nationkey").distinct().withColumn("k", F.lit(True))
-    rows = asks.join(F.broadcast(known), "c_nationkey", "left").join(F.broadcast(m), ["c_nationkey", "metric"], "left")
+    rows = asks.join(broadcast_if_small(known, 10_000), "c_nationkey", "left").join(broadcast_if_small(m, 100_000), ["c_nationkey", "metric"], "left")
     return rows.select("o_orderkey", "value", F.when(F.col("k").isNull(), "unsupported_ticker").when(F.col("value").isNull(), "unsupported_metric").alias("error_code"))
 
 

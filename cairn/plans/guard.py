@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairn.operators import guards as G
-from cairn.session import fresh_path
+from cairn.session import broadcast_if_small, fresh_path
 from cairn.sources.contracts import SQL, passages, table
 
 
@@ -86,11 +85,11 @@ def manifest_upsert(spark, d):
 
 
 def artifact_manifest(spark, d):
-    """Writes the passages by language and reads the files back: rows and hash of each part."""
+    """Writes the passages by language and reads the files back: rows and a sum of content hashes, in any order, of each part."""
     path = fresh_path(spark, "artifact")
     passages(spark, d).withColumn("no", F.substring("passage_id", 5, 20).cast("long")).write.partitionBy("period").parquet(path)
     back = spark.read.parquet(path)
-    return back.groupBy("period").agg(F.count("*").alias("rows"), F.sum(F.crc32(F.col("text").cast("binary"))).alias("checksum"))
+    return back.groupBy("period").agg(F.count("*").alias("rows"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", "passage_id", "text"), 256), 1, 10), 16, 10).cast("long")).alias("checksum"))
 
 
 def index_version_check(spark, d):
@@ -123,12 +122,19 @@ def company_alias(spark, d):
 
 
 def duplicate_ids(spark, d):
-    n = F.count("*").over(Window.partitionBy("sha"))
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")).withColumn("copies", n).where("copies > 1")
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    several = rows.groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")  # partial counts come before the shuffle
+    return rows.join(broadcast_if_small(several, 200_000), "sha").select("doc_id", "sha", "copies")
 
 
 QUERIES = {f.__name__: f for f in (required_field_violations, secret_scan, path_scan, redact, privacy_audit, vector_violations, range_violations, asset_key_violations, table_violations, trace_ids, corpus_hash, content_integrity, manifest_sources, manifest_upsert, artifact_manifest, index_version_check, golden_set_violations, agent_dataset_violations, company_alias, duplicate_ids)}
+_LEVEL = "SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k NULLS FIRST, h)) AS h FROM ({}) GROUP BY k // 4096"
+_HASHES = "SELECT doc_id AS k, sha256(to_json([doc_id::VARCHAR, text])) AS h FROM documents"
+for _ in range(G.LEVELS):
+    _HASHES = _LEVEL.format(_HASHES)
 ORACLES = {
+    "corpus_hash": f"SELECT sha256(string_agg(h, '' ORDER BY k NULLS FIRST, h)) AS hash FROM ({_HASHES})",
+    "artifact_manifest": "SELECT lang AS period, count(*) AS rows, sum(('0x' || substr(sha256('DOC-' || lpad(doc_id::VARCHAR, 8, '0') || '|' || text), 1, 10))::BIGINT)::BIGINT AS checksum FROM documents GROUP BY 1",
     "required_field_violations": """SELECT doc_id AS key, 'source' AS field, 'missing' AS problem FROM documents WHERE doc_id % 7 = 0 OR source IS NULL OR trim(source) = ''
       UNION ALL SELECT doc_id, 'lang', CASE WHEN lang IS NULL OR trim(lang) = '' THEN 'missing' ELSE 'untrimmed' END FROM documents WHERE lang IS NULL OR doc_id % 5 = 0""",
     "secret_scan": f"SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '{G.SECRET}') THEN 'secret' END, CASE WHEN regexp_matches(text, '{G.PERSONAL_PATH}') THEN 'path' END) AS found FROM documents WHERE regexp_matches(text, '{G.SECRET}') OR regexp_matches(text, '{G.PERSONAL_PATH}')",
