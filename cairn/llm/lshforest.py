@@ -37,7 +37,7 @@ K = 20
 TREES, BITS = 128, 24
 BLOCK_ROWS, QUERY_ROWS = 16384, 1024
 #: Probability that a row as near as the k-th best is not met.
-MISS = 0.03
+MISS = 0.1
 
 
 def _planes(dim: int) -> np.ndarray:
@@ -63,8 +63,8 @@ class Forest:
 
     def __init__(self, x: np.ndarray, own: np.ndarray, length: float) -> None:
         self.x, self.length = x, length
-        self.order = np.argsort(own, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(own.T, self.order, axis=1)
+        order = np.ascontiguousarray(np.argsort(own, axis=0, kind="stable").T)
+        self.sorted, self.order = np.take_along_axis(own.T, order, axis=1), order.astype(np.int32).ravel()  # tree by tree
 
     def ranges(self, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query and tree, the places of the rows that share ``depth`` bits with it."""
@@ -73,39 +73,45 @@ class Forest:
         high = low + ((1 << shift) - 1)
         return tuple(np.stack([np.searchsorted(self.sorted[t], edge[:, t], side) for t in range(TREES)], axis=1) for edge, side in ((low, "left"), (high, "right")))
 
-    def met(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """The rows of one query's ranges, each once."""
+    def met(self, lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The rows of one query's ranges that it hasn't met ``before``, which then marks them too."""
         size = hi - lo
-        at = np.repeat(lo + np.arange(TREES) * self.order.shape[1] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        seen = np.zeros(len(self.x), bool)
-        seen[self.order.ravel()[at]] = True
-        return np.flatnonzero(seen)
+        at = np.repeat(lo + np.arange(TREES) * len(self.x) - np.cumsum(size) + size, size) + np.arange(size.sum())
+        old = before.copy()
+        before[self.order[at]] = True
+        return np.flatnonzero(before ^ old)
 
     def candidates(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, rows, scores) of every query."""
         n = len(self.x)
         k = min(k, n)
-        seen = np.full(len(queries), -1)  # depth that each query has reached
-        need = np.full(len(queries), min(BITS, max(0, int(np.log2(n)) + 4)))
         lengths = np.linalg.norm(queries, axis=1) * self.length
-        while (open_ := np.flatnonzero(seen != need)).size:
-            depth = int(need[open_].max())
-            group = open_[need[open_] == depth]
-            lo, hi = self.ranges(own[group], depth)
-            for i, q in enumerate(group.tolist()):
-                rows = self.met(lo[i], hi[i])
-                seen[q] = depth
-                if len(rows) < k:
-                    need[q] = depth - 1
+        before = np.zeros((len(queries), n), bool)
+        best = np.full((len(queries), k), -np.inf)  # of each query so far, the k-th first
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in queries]
+        open_ = np.arange(len(queries))
+        sure = np.log1p(-(MISS ** (1 / TREES)))
+        # all trees ascend together, a level at a time, from prefixes that few rows share by chance
+        for depth in range(min(BITS, max(0, int(np.log2(n)) - 2)), -1, -1):
+            lo, hi = self.ranges(own[open_], depth)
+            on = np.ones(len(open_), bool)
+            for i, q in enumerate(open_.tolist()):
+                rows = self.met(lo[i], hi[i], before[q])
+                score = self.x.take(rows, axis=0) @ queries[q]
+                found[q].append((rows, score))
+                if len(rows):
+                    every = np.concatenate([best[q], score])
+                    best[q] = np.partition(every, len(every) - k)[len(every) - k :]
+                if np.isinf(best[q, 0]) and depth:
                     continue
-                score = self.x[rows] @ queries[q]
-                angle = np.arccos(np.clip(np.partition(score, len(score) - k)[len(score) - k] / lengths[q], -1.0, 1.0))
-                sure = np.log1p(-(MISS ** (1 / TREES)))
-                deep = int(sure / np.log1p(-angle / np.pi)) if 0 < angle < np.pi else BITS if angle == 0 else 0
-                if deep < depth:
-                    need[q] = deep  # deeper only from now on, since the k-th best gets no worse
-                else:
-                    yield q, rows, score
+                angle = np.arccos(np.clip(best[q, 0] / lengths[q], -1.0, 1.0))
+                if not depth or angle == 0 or (angle < np.pi and depth <= sure / np.log1p(-angle / np.pi)):
+                    on[i] = False
+                    yield q, *(np.concatenate(c) for c in zip(*found[q], strict=True))
+                    found[q] = []
+            open_ = open_[on]
+            if not len(open_):
+                return
 
 
 def _valid(vector: Column) -> Column:
