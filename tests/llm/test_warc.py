@@ -34,6 +34,26 @@ def test_round_trip(spark):
     assert kind == [(-1, "response", None), (1, "revisit", None), (2, "response", None), (3, "revisit", 2), (4, "response", None), (5, "revisit", None), (5, "revisit", None), (7, "response", None)]
 
 
+def test_identifiers_are_unique_and_refer(spark):
+    rows = [(1, "u", "x"), (2, "u", "x"), (3, "u", "y"), (3, "u", "y"), (4, "u", "y"), (None, "u", "z"), (None, "u", "z"), (9, "u", "q")]
+    manifest = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    records = {}
+    for r in manifest.collect():
+        reader = warc.BundleReader(r.bundle)
+        part = reader.frame(r.frame)[r.offset : r.offset + r.length]
+        assert r.record_id not in records and f"WARC-Record-ID: {r.record_id}".encode() in part
+        records[r.record_id] = part.decode()
+    assert len(records) == len(rows)
+    names = [line.split(": ")[1] for t in records.values() for line in t.split("\r\n") if line.startswith("WARC-Refers-To: ")]
+    assert len(names) == 1 and "X-Page-ID: 1\r\n" in records[names[0]]  # page 4 names its page, of which there are two records
+
+
+def test_bundles_are_read_in_many_tasks(spark):
+    df = spark.createDataFrame([(i, "u", hashlib.sha512(str(i).encode()).hexdigest() * 700) for i in range(120)], "page_id long, url string, html string")
+    found = warc.read_bundles(warc.write_bundles(df), with_payload=False)
+    assert found.rdd.getNumPartitions() >= 4 and found.count() == 120
+
+
 def test_one_record_needs_one_frame(spark):
     df = spark.createDataFrame([(i, "u", hashlib.sha512(str(i).encode()).hexdigest() * 300) for i in range(60)], "page_id long, url string, html string").coalesce(1)
     rows = warc.write_bundles(df).collect()
