@@ -141,3 +141,16 @@ def test_rounds_only_spare_work(spark, monkeypatch):
     monkeypatch.setattr(ordminhash, "BLOCK", 2, raising=False)
     got = ordminhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == want
+
+
+def test_no_link_of_a_whole_table_is_lost(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = {}
+    for (doc_id, _), u in zip(rows, classes_of_all_pairs([t for _, t in rows])):
+        want.setdefault(u, set()).add(doc_id)
+    got = {}
+    for r in ordminhash.classify(docs).collect():
+        got.setdefault(r.class_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert all(c == min(ids) for c, ids in got.items()) and len(got) < len(rows) - 40
