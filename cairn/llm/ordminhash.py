@@ -52,6 +52,8 @@ SIMILARITY = 0.8
 ROUNDS, WORTH = 10, 30
 #: Parts of the nodes that meet a leader of many.
 SALTS = 32
+#: Pairs of two classes that are compared before all the others.
+FIRST = 8
 #: Texts with one shingle in their prefixes meet in blocks of about so many.
 BLOCK = 256
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -181,7 +183,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: int) -> DataFrame:
     pairs = pairs.join(F.broadcast(hot), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
     one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("sa"))
     two = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb"), F.col("_text").alias("tb"))
-    two = two.join(F.broadcast(hot), "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    more = two.join(F.broadcast(hot), "b").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
+    two = two.withColumn("salt", F.lit(0)).unionByName(more)
     lengths = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
     likely = pairs.join(one, "a").join(two, ["b", "salt"]).where(lengths & (F.size(F.array_intersect("sa", "sb")) >= shared)).select("a", "b", "ca", "cb", "tb")
     both = likely.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
@@ -240,7 +243,8 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): every pair of nodes of two classes, in MIN_SHARED open buckets each, that may align to SIMILARITY or more."""
+    """(a, b, ca, cb, shared): every pair of nodes of two classes, in MIN_SHARED open buckets each, that may align to SIMILARITY or
+    more, and how many shingles of their prefixes they share."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -274,8 +278,24 @@ def _unsettled(members: DataFrame, texts: DataFrame) -> DataFrame:
     fits = fits & (F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) >= need - 1e-6)
     once = (F.col("i") < F.col("j")) | (F.col("x.node") < F.col("y.node"))
     met = left.join(right, ["h", "i", "j"]).where((F.col("x.class") != F.col("y.class")) & once & fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    met = met.groupBy("x.node", "x.class", "x.n", F.col("y.node").alias("b"), F.col("y.class").alias("cb"), F.col("y.n").alias("nb")).agg(F.count("*").alias("_n"))
-    return met.select(F.col("node").alias("a"), "b", F.col("class").alias("ca"), "cb")
+    met = met.groupBy("x.node", "x.class", "x.n", F.col("y.node").alias("b"), F.col("y.class").alias("cb"), F.col("y.n").alias("nb")).agg(F.count("*").alias("shared"))
+    return met.select(F.col("node").alias("a"), "b", F.col("class").alias("ca"), "cb", "shared")
+
+
+def _uncompared(pairs: DataFrame, compared: list[DataFrame]) -> DataFrame:
+    """The pairs that no earlier step has compared, either way round."""
+    if not compared:
+        return pairs
+    x, y = F.least("a", "b"), F.greatest("a", "b")
+    seen = reduce(DataFrame.unionByName, (c.select(x.alias("_x"), y.alias("_y")) for c in compared))
+    return pairs.withColumns({"_x": x, "_y": y}).join(seen, ["_x", "_y"], "left_anti").drop("_x", "_y")
+
+
+def _relabelled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that are still of two classes, ``classes`` (node, class) telling what has become of the old ones."""
+    for side in ("ca", "cb"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("class").alias("_to")), side, "left").withColumn(side, F.coalesce("_to", side)).drop("_to")
+    return pairs.where("ca <> cb").select("a", "b", "ca", "cb")
 
 
 def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,25 +309,33 @@ def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     met = members.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= MIN_SHARED).select("node").join(nodes.select("node", "head._k1", "head._k2", "n", "sketches"), "node")
     texts = row_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", "_text").join(met, ["_k1", "_k2"]).select("node", "n", "sketches", "_text").dropDuplicates(["node"])
     texts = materialise(texts, "bucket-texts")
-    links, new, open_nodes = [], None, texts.count()
+    links, compared, new, open_nodes = [], [], None, texts.count()
     for step in range(ROUNDS):
-        pairs = materialise(_meetings(members, step, new), "meetings")
+        pairs = materialise(_uncompared(_meetings(members, step, new), compared), "meetings")
+        compared.append(pairs)
         new = materialise(_verified(pairs, texts, MIN_SHARED), "links")
         links.append(new)
         moved = members.join(_hooked(new), "class", "left").select("node", F.coalesce("to", "class").alias("class"), "s")
         before, members = members, materialise(_open(moved), "bucket-members")
-        discard(before, pairs)
+        discard(before)
         if new.count() * WORTH < open_nodes:
             break
     # rounds move classes a step at a time: what is left open is told by the components of the links so far
-    classes = materialise(connected(reduce(DataFrame.unionByName, links)), "components")
+    none = nodes.where(F.lit(False)).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    classes = materialise(connected(reduce(DataFrame.unionByName, (x.select("a", "b") for x in links), none)), "components")
     moved = members.select("node", "s").join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "s")
     before, members = members, materialise(_open(moved), "bucket-members")
-    pairs = materialise(_unsettled(members, texts), "unsettled")
-    more = materialise(_verified(pairs, texts, 0), "links")
-    discard(before, members, pairs, texts)
-    if not more.isEmpty():
-        classes = connected(classes.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more.select("one", "two").toDF("a", "b")))
+    pairs = materialise(_uncompared(_unsettled(members, texts), compared), "unsettled")
+    # of two classes the likeliest pairs first: where one is a link, the others needn't be compared
+    likeliest = F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("shared"), "a", "b"))
+    some = materialise(pairs.withColumn("_r", likeliest).where(F.col("_r") <= FIRST).select("a", "b", "ca", "cb"), "likeliest")
+    for step, left in enumerate((some, None)):
+        left = materialise(_uncompared(_relabelled(pairs, classes), [some]), "unlinked") if step else left
+        more = materialise(_verified(left, texts, 0), "links")
+        if not more.isEmpty():
+            joined = classes.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more.select("one", "two").toDF("a", "b"))
+            classes = materialise(connected(joined), "components")
+    discard(before, members, pairs, texts, some, *compared)
     # facts of the classes of several documents, by node, then beside every document
     several = nodes.select("node", "head", "copies").join(classes, "node", "left").where("class is not null or copies > 1")
     several = materialise(several.select("node", F.coalesce("class", "node").alias("class_key"), "head", "copies"), "nodes-of-several")
