@@ -19,7 +19,8 @@ Rounds only spare work; what they leave is settled exactly. All nodes that still
 are joined by prefixes: of n shingles in the order of their rarity, one of the first n - 0.8 n + 1 is in any text alike. Pairs
 of two classes that the bounds of length, place and rank allow are verified, whatever buckets they share. So two linked nodes
 come into one class whenever they share MIN_SHARED sketches. The classes returned are the components of all links found.
-Before that join, nodes are put into the components of the links that the rounds found, so it meets no pair of one class.
+Before that join, nodes are put into the components of the links that the rounds found, so it meets no pair of one class; the
+FIRST likeliest pairs of two classes are verified first, and then all pairs that are of two classes still.
 
 Leaders of many nodes are joined in SALTS parts, and classes of many nodes and texts of many copies are broadcast (there are
 few such, see ``join_facts``), so no task has to hold a hot one.
