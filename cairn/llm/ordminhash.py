@@ -8,7 +8,7 @@ probability of about s ** PICKS, so of SKETCHES sketches a pair at 0.8 shares fe
 Similarity is that of an alignment of the two sequences of labelled shingles: matches in order, over all. A similarity of
 0.8 leaves at most a ninth of both texts unmatched, which bounds how far a match may lie off the diagonal: the band.
 
-Texts of the same words are one node. A bucket (the nodes of one sketch) is never paired out: in each round each bucket has a
+Texts of the same words (by a 128-bit cryptographic digest of them) are one node. A bucket (the nodes of one sketch) is never paired out: in each round each bucket has a
 leader, and each node whose class is not the leader's meets the leaders of all its buckets, save those with which it shares
 fewer than MIN_SHARED of all sketches. Leaders are drawn by node in the first round, so that a group has few of them, and by
 bucket in the others; every second round prefers nodes with most links in the round before, so an original meets all copies
@@ -32,6 +32,7 @@ as they are; texts of fewer than SHINGLE words are one shingle; repeated rows ar
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -131,6 +132,24 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return matched / (n + m - matched)
 
 
+def folded_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of several texts as bytes, each word ended by one 0, and the offsets of each text's: texts of the same words are equal here."""
+    base = int(at[0])
+    own = PLAIN[data[base : int(at[-1])]]
+    solid = own > 0
+    last = solid.copy()  # the last byte of a word, or of a text within one
+    last[:-1] &= ~solid[1:]
+    edges = at[1:] - base - 1
+    edges = edges[edges >= 0]
+    last[edges] = solid[edges]
+    inside = np.flatnonzero(solid)
+    width = 1 + last[inside].astype(np.int64)
+    to = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    out[to] = own[inside]
+    return out, np.append(to, len(out))[np.searchsorted(inside, at - base)]
+
+
 def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, _k1, _k2, node, n, sketches), n the number of shingles: node is null for texts that have no copies by definition."""
 
@@ -138,19 +157,16 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             data, at = utf8(batch.column(3))
             for i, j in chunks(at):
-                labelled, offsets, words, bounds = labelled_shingles(data, at[i : j + 1])
+                labelled, offsets, _, bounds = labelled_shingles(data, at[i : j + 1])
                 nodes, lists = [], []
+                folded, ends = folded_words(data, at[i : j + 1])
                 for t in range(j - i):
-                    own = words[bounds[t] : bounds[t + 1]]
                     raw = data[at[i + t] : at[i + t + 1]]
-                    if len(own):
-                        one = np.sum(own * powers(len(own))) + np.uint64(len(own))
-                        two = np.sum(mix64(own) * powers(len(own))) ^ np.uint64(len(own))
-                        nodes.append(mix64(np.array([one, two])).tobytes())
+                    if bounds[t] < bounds[t + 1]:
+                        nodes.append(hashlib.blake2b(folded[ends[t] : ends[t + 1]].tobytes(), digest_size=16, person=b"words").digest())
                         lists.append(sketches(labelled[offsets[t] : offsets[t + 1]]).view(np.int64))
                     else:
-                        own = raw.astype(np.uint64)
-                        nodes.append(mix64(np.array([np.sum(own * powers(len(own))), np.sum(mix64(own) * powers(len(own)))]) ^ np.uint64(0xABCDEF)).tobytes() if len(raw) else None)
+                        nodes.append(hashlib.blake2b(raw.tobytes(), digest_size=16, person=b"text").digest() if len(raw) else None)
                         lists.append(np.zeros(0, np.int64))
                 lens = [len(x) for x in lists]
                 values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
@@ -205,14 +221,14 @@ def connected(edges: DataFrame) -> DataFrame:
         return lesser.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lesser.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    seen = None
     while True:
         before, links = links, materialise(star(star(links, True), False), "stars")
         discard(before)
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if now == seen:
+        # done when each node has one link, to a node that has none
+        several = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        onward = links.select(F.col("v").alias("u")).distinct().join(links, "u", "left_semi")
+        if several.isEmpty() and onward.isEmpty():
             break
-        seen = now
     return links.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 

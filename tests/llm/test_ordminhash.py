@@ -154,3 +154,24 @@ def test_no_link_of_a_whole_table_is_lost(spark):
         got.setdefault(r.class_id, set()).add(r.doc_id)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert all(c == min(ids) for c, ids in got.items()) and len(got) < len(rows) - 40
+
+
+def test_texts_that_collide_in_a_polynomial_hash_stay_apart(spark):
+    """Blocks in the order of the Thue-Morse sequence and of its complement are equal to any polynomial hash modulo 2**64."""
+    order = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = []
+    for blocks in (("a", "b"), (" ".join(f"x{i}" for i in range(12)), " ".join(f"y{i}" for i in range(12)))):
+        texts += [" ".join(blocks[o] for o in order), " ".join(blocks[1 - o] for o in order)]
+    got = ordminhash.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(i, i) for i in range(4)]
+
+
+def test_folded_words_tell_words_apart():
+    def folded(*texts):
+        data = "".join(texts).encode()
+        at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+        out, ends = ordminhash.folded_words(np.frombuffer(data, np.uint8), at)
+        return [out[i:j].tobytes() for i, j in zip(ends, ends[1:])]
+
+    assert folded("Ab, c", "", "ab c!", "abc", " é", "--") == [b"ab\0c\0", b"", b"ab\0c\0", b"abc\0", "é".encode() + b"\0", b""]
+    assert folded("", "") == [b"", b""]
