@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import convtrie, decontam, langid, lshforest, mixing, ordminhash, pii, quality, spelling, substring, suffix, warc
+from cairn.llm import convtrie, crosspoly, decontam, langid, lshforest, mixing, ordminhash, pii, quality, spelling, substring, suffix, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,13 +62,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspoly.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_prefix_forest, op4_pfair_mix, op5_substring_dedup, op6_pii, op7_decontaminate, op8_suffix_array_dedup, op9_order_minhash, op10_warc, op11_spelling_variants, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality, op3_prefix_forest, op4_pfair_mix, op5_substring_dedup, op6_pii, op7_decontaminate, op8_suffix_array_dedup, op9_order_minhash, op10_warc, op11_spelling_variants, op12_cross_polytope, op13_conversation_trie)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_pfair_mix": mixing.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_decontaminate": decontam.ORACLE, "op8_suffix_array_dedup": suffix.ORACLE, "op10_warc": warc.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op13_conversation_trie": convtrie.ORACLE}
+    return {"op4_pfair_mix": mixing.ORACLE, "op5_substring_dedup": substring.ORACLE, "op7_decontaminate": decontam.ORACLE, "op8_suffix_array_dedup": suffix.ORACLE, "op10_warc": warc.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_cross_polytope": crosspoly.ORACLE, "op13_conversation_trie": convtrie.ORACLE}
