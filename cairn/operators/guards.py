@@ -49,11 +49,16 @@ def table_hash(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     Row hashes are combined by ranges of 4096 keys, those by ranges of as many, and so on, so that no group has more than 4096
     distinct keys, however sparse they are, and the last has eight at most. A null key is of a range of its own, the first.
     """
+    return table_hash_by(df, [], key, columns)
+
+
+def table_hash_by(df: DataFrame, by: list[str], key: str, columns: list[str]) -> DataFrame:
+    """``table_hash`` of each group of rows: (by, hash)."""
     row = F.sha2(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))), 256)
-    level = df.select(F.col(key).cast("long").alias("k"), row.alias("h"))
+    level = df.select(*by, F.col(key).cast("long").alias("k"), row.alias("h"))
     for _ in range(LEVELS):
-        level = _joined(level.groupBy(F.floor(F.col("k") / 4096).alias("range"))).select(F.col("range").alias("k"), "h")
-    return _joined(level.groupBy()).select(F.col("h").alias("hash"))
+        level = _joined(level.groupBy(*by, F.floor(F.col("k") / 4096).alias("range"))).select(*by, F.col("range").alias("k"), "h")
+    return _joined(level.groupBy(*by)).select(*by, F.col("h").alias("hash"))
 
 
 #: Ranges of 4096 of ranges, until eight are left of all whole numbers of 64 bits.
