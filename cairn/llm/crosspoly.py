@@ -89,7 +89,7 @@ def buckets(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def _met_first(x: np.ndarray, y: np.ndarray, lesser: np.ndarray, table: int, both: np.ndarray) -> np.ndarray:
+def _met_first(x: np.ndarray, y: np.ndarray, lesser: np.ndarray, table: np.ndarray, both: np.ndarray) -> np.ndarray:
     """Which of the pairs (buckets ``x`` and ``y``, one row each) are met for the first time in a bucket of ``table``.
 
     ``both`` are at home there; otherwise the first is, and the second is a guest. ``lesser``: the first is the lesser one.
@@ -97,33 +97,40 @@ def _met_first(x: np.ndarray, y: np.ndarray, lesser: np.ndarray, table: int, bot
     together = x[:, :, 0] == y[:, :, 0]
     y_visits = (y[:, :, 1:] == x[:, :, :1]).any(axis=2)
     x_visits = (x[:, :, 1:] == y[:, :, :1]).any(axis=2)
-    met = together | y_visits | x_visits
-    return ~met[:, :table].any(axis=1) & (both | (~together[:, table] & (lesser | ~x_visits[:, table])))
+    rows = np.arange(len(x))
+    first = np.argmax(together | y_visits | x_visits, axis=1) == table
+    return first & (both | (~together[rows, table] & (lesser | ~x_visits[rows, table])))
 
 
-def _links(raw: np.ndarray, node: np.ndarray, at_home: np.ndarray, block: np.ndarray, table: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) places of the linked pairs to count in one step of a bucket: block ``low`` with block ``high``."""
-    vectors = _unit(raw)
-    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+def _near(vectors: np.ndarray, at_home: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) places of the pairs of ``left`` and ``right`` (the same places, or none in common) that link, one of them, ``i``, at home."""
     i, j = np.nonzero(vectors[left] @ vectors[right].T >= COSINE - 1e-6)  # fast, then exact
     i, j = left[i], right[j]
     keep = at_home[i] | at_home[j]
-    if low == high:
+    if left is right:
         keep &= i < j
     i, j = i[keep], j[keep]
+    keep = np.empty(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        own = slice(k, k + (1 << 16))
+        keep[own] = (vectors[i[own]] * vectors[j[own]]).sum(axis=1) >= COSINE
+    i, j = i[keep], j[keep]
     swap = ~at_home[i]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)  # i is at home
+    return np.where(swap, j, i), np.where(swap, i, j)
+
+
+def _to_count(raw: np.ndarray, node: np.ndarray, at_home: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j), met in the tables of ``i``, are met there first."""
     if not len(i):
-        return i, j
-    some = np.unique(np.concatenate([i, j]))
-    hashes, where = buckets(raw[some]), np.zeros(len(raw), np.int64)
-    where[some] = np.arange(len(some))
-    count = np.empty(len(i), bool)
+        return np.zeros(0, bool)
+    some, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = where[: len(i)], where[len(i) :]
+    hashes = np.concatenate([buckets(raw[some[k : k + 2048]]) for k in range(0, len(some), 2048)])
+    out = np.empty(len(i), bool)
     for k in range(0, len(i), 1 << 14):
-        a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-        exact = (vectors[a] * vectors[b]).sum(axis=1) >= COSINE
-        count[k : k + (1 << 14)] = exact & _met_first(hashes[where[a]], hashes[where[b]], node[a] < node[b], table, at_home[b])
-    return i[count], j[count]
+        own = slice(k, k + (1 << 14))
+        out[own] = _met_first(hashes[a[own]], hashes[b[own]], node[i[own]] < node[j[own]], table[i[own]], at_home[j[own]])
+    return out
 
 
 def _spanning(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,39 +188,74 @@ def _hashed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.xxhash64("label", F.size("v")).alias("g"), "v").mapInArrow(run, "bucket long, table int, node long, home boolean")
 
 
+def _step_links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(node, links, to) of whole steps: what they add to a node's links, and the least node of its component of them."""
+    table = table.combine_chunks()
+    node, at_home, own, copies, in_table, low, high, bucket = (table.column(c).to_numpy() for c in ("node", "home", "own", "copies", "table", "i", "j", "bucket"))
+    lists = table.column("v").combine_chunks()
+    flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    new = np.zeros(len(node), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    starts = np.append(0, np.append(np.flatnonzero(new), len(node)))
+    for dims in np.unique(np.diff(at)):  # vectors of a bucket are of one length
+        some = np.flatnonzero(np.diff(at) == dims)
+        place = np.zeros(len(node), np.int64)
+        place[some] = np.arange(len(some))
+        raw = flat[(at[some][:, None] + np.arange(dims)[None, :])]
+        unit, home, names = _unit(raw), at_home[some], node[some]
+        found, pending = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            keep = _to_count(raw, names, home, in_table[some], i, j)
+            i, j = i[keep], j[keep]
+            if not len(i):
+                return
+            ids, where = np.unique(names[np.concatenate([i, j])], return_inverse=True)
+            a, b = where[: len(i)], where[len(i) :]
+            links = np.bincount(a, copies[some][j], len(ids)) + np.bincount(b, copies[some][i], len(ids))
+            to = np.full(len(ids), -1, np.int64)
+            moved, label = _spanning(a, b, len(ids))
+            to[moved] = ids[label]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links.astype(np.int64)), pa.array(to, mask=to < 0)], names=["node", "links", "to"])
+
+        for a, b in zip(starts, starts[1:]):
+            if at[a + 1] - at[a] != dims:
+                continue
+            here = place[a:b]
+            if low[a] == high[a]:
+                i, j = _near(unit, home, here, here)
+            else:
+                i, j = _near(unit, home, here[own[a:b] == low[a]], here[own[a:b] == high[a]])
+            if len(i):
+                found.append((i, j))
+                pending += len(i)
+            if pending > 1 << 18:
+                yield from flush()
+                found, pending = [], 0
+        if found:
+            yield from flush()
+
+
 def _compared(steps: DataFrame) -> DataFrame:
-    """Sorted steps to (node, links, to): what each step adds to a node's links, and a neighbour in its component of the step."""
-
-    def step(table: pa.Table) -> pa.RecordBatch | None:
-        node, home, block, copies = (table.column(c).to_numpy() for c in ("node", "home", "own", "copies"))
-        at, low, high = (table.column(c)[0].as_py() for c in ("table", "i", "j"))
-        i, j = _links(_matrix(table.column("v").combine_chunks()), node, home, block, at, low, high)
-        if not len(i):
-            return None
-        links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-        to = np.full(len(node), -1, np.int64)
-        moved, label = _spanning(i, j, len(node))
-        to[moved] = node[label]
-        some = np.flatnonzero(links > 0)
-        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some].astype(np.int64)), pa.array(to[some], mask=to[some] < 0)], names=["node", "links", "to"])
+    """Sorted steps to (node, links, to). The last step of a batch waits for the next batch; it holds two blocks at most."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         waiting = None
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
-            if not table.num_rows:
+            if not batch.num_rows:
                 continue
-            keys = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
-            new = np.zeros(table.num_rows, bool)
-            for k in keys:
-                new[1:] |= k[1:] != k[:-1]
-            starts = np.append(0, np.flatnonzero(new))
-            for a, b in zip(starts, starts[1:]):
-                if (found := step(table.slice(a, b - a))) is not None:
-                    yield found
-            waiting = table.slice(starts[-1])
-        if waiting is not None and (found := step(waiting)) is not None:
-            yield found
+            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            same = np.ones(table.num_rows, bool)
+            for c in ("bucket", "i", "j"):
+                own = table.column(c).to_numpy()
+                same &= own == own[-1]
+            cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            if cut:
+                yield from _step_links(table.slice(0, cut))
+            waiting = table.slice(cut)
+        if waiting is not None:
+            yield from _step_links(waiting)
 
     return steps.select("bucket", "i", "j", "table", "own", "node", "home", "copies", "v").mapInArrow(run, "node long, links long, to long")
 

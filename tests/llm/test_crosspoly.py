@@ -100,9 +100,10 @@ def test_a_dense_group_counts_each_link_once():
                 members.setdefault((t, found[n, t, p]), []).append((n, p == 0))
     links = np.zeros((300, 300), int)
     for (t, _), own in members.items():
-        node, home = np.array([m[0] for m in own]), np.array([m[1] for m in own])
-        i, j = crosspoly._links(raw[node], node, home, np.zeros(len(node), int), t, 0, 0)
-        np.add.at(links, (node[i], node[j]), 1)
+        node, home, here = np.array([m[0] for m in own]), np.array([m[1] for m in own]), np.arange(len(own))
+        i, j = crosspoly._near(unit[node], home, here, here)
+        keep = crosspoly._to_count(raw[node], node, home, np.full(len(own), t), i, j)
+        np.add.at(links, (node[i[keep]], node[j[keep]]), 1)
     assert (links + links.T == (unit @ unit.T >= 0.98) & ~np.eye(300, dtype=bool)).all()
 
 
