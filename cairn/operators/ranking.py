@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions import vectors as V
+from cairn.functions.binding import let
+from cairn.operators.joins import join_facts
 from cairn.session import broadcast_if_small, materialise
 
 K1, B = 1.5, 0.75
@@ -23,16 +25,35 @@ QUERY_ROWS = 200_000
 RERANK_WEIGHTS = {"lexical": 0.25, "numeric": 0.45, "section": 0.10, "eligible": 0.10, "fusion": 0.10}
 
 
+def _counted(tokens: Column) -> Column:
+    """(n, terms): the number of tokens, and (term, tf) of each different one, a term being a 64-bit hash. Counted within the row, in
+    one go over the sorted hashes, so nothing is shuffled and a row is made for each different term only."""
+    zero = F.lit(0)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(zero, F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        terms = let(starts, lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - p).alias("tf"))))
+        return F.struct(F.size(s).alias("n"), F.when(F.size(s) > 0, terms).alias("terms"))
+
+    return let(F.sort_array(F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: F.xxhash64(t))), runs)
+
+
+def _term_rows(passages: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(passage_id, period, dl, at, term, tf), a row of nulls for passages without tokens; ``at`` numbers the terms of a passage."""
+    rows = passages.select("passage_id", "period", _counted(tokens(F.col("text"))).alias("c"))
+    rows = rows.select("passage_id", "period", F.col("c.n").alias("dl"), F.posexplode_outer("c.terms").alias("at", "p"))
+    return rows.select("passage_id", "period", "dl", "at", "p.term", "p.tf")
+
+
 def postings(passages: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """(passage_id, period, term, tf, dl)."""
-    lists = passages.select("passage_id", "period", tokens(F.col("text")).alias("t")).select("passage_id", "period", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).where("term is not null")
-    return lists.groupBy("passage_id", "period", "dl", "term").agg(F.count("*").alias("tf"))
+    """(passage_id, period, term, tf, dl), terms as 64-bit hashes."""
+    return _term_rows(passages, tokens).where("term is not null").select("passage_id", "period", "term", "tf", "dl")
 
 
 def query_terms(questions: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
-    """(query_id, q_period, term, qtf)."""
+    """(query_id, q_period, term, qtf), terms as 64-bit hashes."""
     lists = questions.select("query_id", F.col("period").alias("q_period"), F.explode_outer(tokens(F.col("question"))).alias("term")).where("term is not null")
-    return lists.groupBy("query_id", "q_period", "term").agg(F.count("*").alias("qtf"))
+    return lists.groupBy("query_id", "q_period", F.xxhash64("term").alias("term")).agg(F.count("*").alias("qtf"))
 
 
 def eligible(q_period: Column, period: Column) -> Column:
@@ -49,11 +70,9 @@ def _own_terms(passages: DataFrame, terms: DataFrame, tokens: Callable[[Column],
     """(passage_id, period, dl, term, tf, first): postings of the terms that some question has, and a row with ``first`` set for each
     passage, so that counts and lengths of all come with them. Each text is tokenised once."""
     wanted = terms.select("term").distinct().withColumn("asked", F.lit(True))
-    rows = passages.select("passage_id", "period", tokens(F.col("text")).alias("t")).select("passage_id", "period", F.greatest(F.size("t"), F.lit(0)).alias("dl"), F.posexplode_outer("t").alias("at", "term"))
-    rows = rows.join(broadcast_if_small(wanted, QUERY_ROWS), "term", "left").withColumn("first", F.col("at").isNull() | (F.col("at") == 0)).where("asked or first")
-    rows = rows.withColumn("term", F.when(F.col("asked"), F.col("term")))
-    own = rows.groupBy("passage_id", "period", "dl", "term").agg(F.count("*").alias("tf"), F.max("first").alias("first"))
-    return materialise(own, "postings")
+    rows = _term_rows(passages, tokens).join(broadcast_if_small(wanted, QUERY_ROWS), "term", "left")
+    rows = rows.withColumn("first", F.col("at").isNull() | (F.col("at") == 0)).where("asked or first")
+    return materialise(rows.select("passage_id", "period", "dl", F.when(F.col("asked"), F.col("term")).alias("term"), "tf", "first"), "postings")
 
 
 def bm25_scores(passages: DataFrame, questions: DataFrame, scope: str = "corpus") -> DataFrame:
@@ -81,20 +100,25 @@ def bm25_scores(passages: DataFrame, questions: DataFrame, scope: str = "corpus"
 
 
 def _inverse_frequencies(passages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, (term, idf), (passage_id, norm)), built once: frequencies and norms are aggregates of the postings."""
+    """(postings, (term, df, idf), (passage_id, norm)), built once: frequencies and norms are aggregates of the postings."""
     own = materialise(postings(passages, T.tfidf_tokens), "postings")
     n = F.broadcast(passages.agg(F.count("*").alias("n")))
-    idf = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     idf = materialise(idf, "term-weights")
     w = F.col("tf") * F.col("idf")
-    norms = own.join(broadcast_if_small(idf, QUERY_ROWS), "term").groupBy("passage_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    norms = _with_idf(own, idf).groupBy("passage_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
     return own, idf, norms
 
 
+def _with_idf(own: DataFrame, idf: DataFrame) -> DataFrame:
+    """Postings with their term's idf. Beyond the bound of a broadcast only terms that are not hot meet by a shuffle."""
+    return own.join(F.broadcast(idf.drop("df")), "term") if idf.count() <= QUERY_ROWS else join_facts(own, idf, "term", "df", own.count())
+
+
 def tfidf_weights(passages: DataFrame) -> DataFrame:
-    """(passage_id, period, term, w): raw counts times ln((1 + n) / (1 + df)) + 1, rows of length one."""
+    """(passage_id, period, term, w): raw counts times ln((1 + n) / (1 + df)) + 1, rows of length one; terms as 64-bit hashes."""
     own, idf, norms = _inverse_frequencies(passages)
-    raw = own.join(broadcast_if_small(idf, QUERY_ROWS), "term").join(norms, "passage_id")
+    raw = _with_idf(own, idf).join(norms, "passage_id")
     return raw.select("passage_id", "period", "term", (F.col("tf") * F.col("idf") / F.col("norm")).alias("w"))
 
 
@@ -124,8 +148,10 @@ def fill_zero(scored: DataFrame, passages: DataFrame, questions: DataFrame, k: i
 
 def over_best(scored: DataFrame) -> DataFrame:
     """Scores over the best of the question's eligible passages."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return scored.withColumn("score", F.round(F.when(best > 0, F.col("score") / best).otherwise(0.0), DIGITS))
+    scored = materialise(scored, "scored")
+    best = scored.groupBy("query_id").agg(F.max("score").alias("_best"))  # by partial maxima; a row for each question
+    rows = scored.join(broadcast_if_small(best, QUERY_ROWS), "query_id")
+    return rows.withColumn("score", F.round(F.when(F.col("_best") > 0, F.col("score") / F.col("_best")).otherwise(0.0), DIGITS)).drop("_best")
 
 
 def dense_scores(vectors: DataFrame, asked: DataFrame) -> DataFrame:

@@ -86,6 +86,13 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan, dealt out over all cores if its files have fewer splits than these. Such a table is small, so its rows move for next
+    to nothing; one with more splits is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int):
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows; otherwise as it is, to be joined by a shuffle.
 

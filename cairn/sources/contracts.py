@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.binding import let
-from cairn.session import broadcast_if_small, materialise
+from cairn.session import broadcast_if_small, materialise, spread
 
 GOLD_CHARS = 80
 #: Questions are a stated set, broadcast up to so many.
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """passage_id, company, period, section, document_type, text, source_url, of documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     pid = F.format_string("DOC-%08d", "doc_id")
     return docs.select(pid.alias("passage_id"), F.col("source").alias("company"), F.col("lang").alias("period"), F.lit("body").alias("section"), F.lit("document").alias("document_type"), "text", F.concat(F.lit("doc:"), pid).alias("source_url"))
 
