@@ -92,8 +92,8 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def displayed_number(text: Column) -> Column:
-    """The one integer that a cell shows, thousands parted by commas; null if there is none or more than one."""
-    found = _all(text, r"[0-9][0-9,]*")
+    """The one integer that a cell shows, thousands parted by commas; null if there is none or more than one ("1,23" shows two)."""
+    found = _all(text, r"[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+")
     return F.when(F.size(found) == 1, F.replace(F.get(found, F.lit(0)), F.lit(","), F.lit("")).try_cast("bigint"))
 
 

@@ -125,3 +125,38 @@ def citation_integrity(facts: DataFrame, observed: DataFrame) -> DataFrame:
         F.bool_and(F.coalesce("ok", F.lit(False))).alias("backed"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("no", "source"))), lambda s: s["source"])).alias("union"), F.first("claimed").alias("claimed")
     )
     return rows.select("run_id", "backed", (F.col("union") == F.col("claimed")).alias("union_holds"), F.when(F.col("backed") & (F.col("union") == F.col("claimed")), 1.0).otherwise(0.0).alias("score"))
+
+
+def comparison_refusals(scores: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(reason) why configurations can't be compared: fewer than two, one twice, several datasets, cases that not all of them have, a case twice.
+
+    ``parameters`` has a row for each configuration (configuration, dataset_version, dataset_hash), ``scores`` (configuration, case_id, ...).
+    """
+    n = parameters.agg(F.countDistinct("configuration").alias("n"), F.count("*").alias("rows"), F.countDistinct("dataset_version", "dataset_hash").alias("datasets"))
+    told = n.select(F.explode(F.array_compact(F.array(F.when(F.col("n") < 2, "fewer than two configurations"), F.when(F.col("rows") > F.col("n"), "a configuration twice"), F.when(F.col("datasets") > 1, "several datasets")))).alias("reason"))
+    per_case = scores.groupBy("case_id").agg(F.countDistinct("configuration").alias("in"), F.count("*").alias("rows"))
+    flags = per_case.crossJoin(F.broadcast(n.select("n"))).agg(F.max(F.col("in") < F.col("n")).alias("lacking"), F.max(F.col("rows") > F.col("in")).alias("twice"))
+    return told.unionByName(flags.select(F.explode(F.array_compact(F.array(F.when(F.col("lacking"), "cases that not all have"), F.when(F.col("twice"), "a case twice")))).alias("reason")))
+
+
+def compare_configurations(scores: DataFrame, parameters: DataFrame, measures: list[str], *, base: str, latency: str | None = None, calls: str | None = None) -> DataFrame:
+    """(kind, configuration, metric, case_id, value): what differs between configurations of one dataset, in long form.
+
+    Kinds: mean and passed (how many cases score 1) of each measure; latency mean and max; calls of each case; delta, the difference of each
+    case's measure from that under ``base``, where there is one; failure, a count for each stage. Without ``comparison_refusals`` only.
+    """
+    long = scores.unpivot(["configuration", "case_id"], measures, "metric", "value").withColumn("value", F.col("value").cast("double"))
+    none = F.lit(None).cast(scores.schema["case_id"].dataType)
+    row = lambda df, kind, value, metric="metric", case=none: df.select(F.lit(kind).alias("kind"), "configuration", F.col(metric).alias("metric") if isinstance(metric, str) else metric.alias("metric"), case.alias("case_id"), value.cast("double").alias("value"))
+    per = long.groupBy("configuration", "metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.count_if(F.col("value") == 1).alias("passed"))
+    before = long.where(F.col("configuration") == base).select("case_id", "metric", F.col("value").alias("before"))
+    moved = long.where(F.col("configuration") != base).join(before, ["case_id", "metric"]).where("value <> before")
+    out = row(per, "mean", F.col("mean")).unionByName(row(per, "passed", F.col("passed"))).unionByName(row(moved, "delta", F.round(F.col("value") - F.col("before"), 6), case=F.col("case_id")))
+    stages = scores.where("failure_stage <> 'none'").groupBy("configuration", F.col("failure_stage").alias("metric")).agg(F.count("*").alias("n"))
+    out = out.unionByName(row(stages, "failure", F.col("n")))
+    if latency:
+        took = scores.groupBy("configuration").agg(F.round(F.avg(latency), 6).alias("mean"), F.max(latency).alias("max"))
+        out = out.unionByName(row(took, "latency", F.col("mean"), F.lit("mean"))).unionByName(row(took, "latency", F.col("max"), F.lit("max")))
+    if calls:
+        out = out.unionByName(row(scores, "calls", F.col(calls), F.lit(calls), F.col("case_id")))
+    return out

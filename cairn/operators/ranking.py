@@ -202,3 +202,31 @@ def abstentions(passages: DataFrame, questions: DataFrame) -> DataFrame:
     """Questions whose filter leaves no passage."""
     left = passages.select("period").distinct()
     return questions.join(left, eligible(questions["period"], left["period"]), "left_anti").select("query_id", F.lit("no_eligible_passage").alias("reason"))
+
+
+# Words that a balanced ranking leaves out.
+BALANCED_STOP_WORDS = ("a", "and", "between", "did", "do", "for", "how", "the", "their", "what", "which")
+
+
+def balanced(questions: DataFrame, chunks: DataFrame, companies: DataFrame, k: int, stop_words: tuple[str, ...] = BALANCED_STOP_WORDS) -> DataFrame:
+    """(query_id, company, chunk_id, score, rank): the ``k`` best chunks of each question, shared out evenly over companies.
+
+    ``companies`` (company, name, place, expansion) is a short list: a question that names exactly one of them is asked of it alone, others of
+    all, with k // n chunks for each, one at least. A company's own words are added to the question's. Chunks (chunk_id, company, kind,
+    page, text) are ranked by words in common, tables first, then by page and id; those without any are left out. Companies follow
+    their ``place``.
+    """
+    words = lambda text: F.array_except(T.lexical_tokens(text), F.array(*(F.lit(w) for w in stop_words)))
+    listed = companies.agg(F.array_sort(F.collect_list(F.struct("place", "company", "name", "expansion"))).alias("all"))
+    named = F.filter("all", lambda c: F.contains(T.fold(F.col("question")), T.fold(c["name"])))
+    asked = questions.crossJoin(F.broadcast(listed)).withColumn("asked", F.when(F.size(named) == 1, named).otherwise(F.col("all")))
+    asked = asked.select("query_id", words(F.col("question")).alias("w"), F.greatest(F.lit(1), F.floor(k / F.size("asked"))).alias("share"), F.explode("asked").alias("c"))
+    terms = asked.select("query_id", "c.company", "c.place", "share", F.explode(F.array_union("w", "c.expansion")).alias("term"))
+    terms = materialise(terms.select("query_id", "company", "place", "share", F.xxhash64("term").alias("term")), "company-terms")
+    own = chunks.select("chunk_id", "company", "kind", "page", F.explode_outer(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("term"))
+    met = own.join(broadcast_if_small(terms, QUERY_ROWS), ["company", "term"])
+    scored = met.groupBy("query_id", "company", "place", "share", "chunk_id", "kind", "page").agg(F.count("*").alias("score"))
+    within = Window.partitionBy("query_id", "company").orderBy(F.desc("score"), F.when(F.col("kind") == "table", 0).otherwise(1), "page", "chunk_id")
+    best = scored.withColumn("_r", F.row_number().over(within)).where((F.col("_r") <= F.col("share")) & (F.col("_r") <= k))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place", "_r"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "company", "chunk_id", "score", "rank")

@@ -1,12 +1,16 @@
-"""Queries of gates and releases, over orders as runs, their lines as calls, hits and facts, and suppliers as documents."""
+"""Queries of gates and releases, over orders as runs, their lines as calls, hits and facts, and suppliers as documents; of values in
+tables, of configurations side by side and of balanced rankings."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cairn.operators import evaluation as E
+from cairn.operators import finance, ranking
 from cairn.operators import gates as X
-from cairn.sources.contracts import table
+from cairn.plans import evals, stores
+from cairn.sources.contracts import SQL, questions, table
 
 COMPANIES = ["Return", "Sale"]
 PREFIXES = {"R-": "Return", "S-": "Sale"}
@@ -102,7 +106,52 @@ def run_evaluation(spark, d):
     return X.evaluate_runs(runs, observations, expected, facts, hits, g, certified, COMPANIES)
 
 
-QUERIES = {f.__name__: f for f in (evidence_chain, certified_table_gate, document_ownership_gate, evidence_coverage, run_evaluation)}
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "MACHINERY")
+
+
+def table_values(spark, d):
+    """Values of tables in both layouts: balances of customers by segment, and of suppliers by period, a table for each nation."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    money = lambda x: F.when(x >= 0, F.format_number(F.round(x), 0)).otherwise("-")
+    by_segment = lambda f: [money(f(F.when(F.col("c_mktsegment") == g, F.col("c_acctbal")))) for g in SEGMENTS]
+    line = lambda name, cells: F.array(F.lit(name), *(F.coalesce(x, F.lit("")) for x in cells))
+    header = F.array(F.lit(""), *(F.when(F.count_if(F.col("c_mktsegment") == g) > 1, g).otherwise(" ") for g in SEGMENTS))
+    n = F.count("*")
+    rows = F.filter(F.array(header, line("Revenue", by_segment(F.sum)), line("Costs", by_segment(F.min)), line("REVENUE", by_segment(F.max)), F.when(n % 7 != 0, line("Revenue", by_segment(F.avg)))), lambda r: r.isNotNull())
+    first = c.groupBy("c_nationkey").agg(rows.alias("rows"), F.when(n % 11 != 0, "USD millions").alias("unit"))
+    first = first.select(F.concat(F.lit("S"), F.col("c_nationkey").cast("string")).alias("table_id"), F.lit("segments").alias("layout"), "unit", F.lit("FY2025").alias("period"), "rows")
+    periods = F.array(F.lit(""), F.lit(""), F.when(n % 3 == 0, "FY2025").otherwise("FY 2024"), F.lit(""), F.lit("FY 2025"))
+    metrics = F.array(F.lit(""), F.lit("Revenue (€ millions)"), F.lit("organic"), F.when(n % 5 == 0, "Result").otherwise("Revenue € millions"), F.lit("organic"))
+    total = F.when(n % 7 != 0, F.array(F.lit("Total group"), F.format_number(F.round(F.max("s_acctbal")), 0), F.lit("1%"), F.format_number(F.round(F.sum("s_acctbal")), 0), F.concat(n.cast("string"), F.lit("%"))))
+    rows = F.filter(F.array(periods, metrics, F.array(F.lit("Part"), F.lit("7"), F.lit("1%"), F.lit("8"), F.lit("2%")), total), lambda r: r.isNotNull())
+    second = s.groupBy("s_nationkey").agg(rows.alias("rows")).select(F.concat(F.lit("P"), F.col("s_nationkey").cast("string")).alias("table_id"), F.lit("periods").alias("layout"), F.lit("EUR millions").alias("unit"), F.lit("FY2025").alias("period"), "rows")
+    return finance.reported_values(first.unionByName(second))
+
+
+def configuration_report(spark, d):
+    """Both configurations of the run log, case by case; a comparison that is refused lists why instead."""
+    cases = stores.configured_cases(spark, d).withColumnRenamed("run_id", "configuration")
+    held = cases.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_set(F.col("case_id").cast("string")))), 256).alias("dataset_hash"))  # a stated set of cases
+    parameters = spark.createDataFrame([(c, "v1") for c in stores.CONFIGURATIONS], "configuration string, dataset_version string").crossJoin(F.broadcast(held))
+    refused = E.comparison_refusals(cases, parameters).collect()
+    if refused:
+        return spark.createDataFrame([("refused", r.reason) for r in refused], "kind string, metric string")
+    return E.compare_configurations(cases, parameters, list(stores.MEASURES), base="bounded")
+
+
+COMPANY_LIST = [("en", "tion", 1, ["the", "of"]), ("fr", "elle", 2, ["le", "que"]), ("de", "ung", 3, ["der", "und"]), ("es", "para", 4, ["el", "los"])]
+
+
+def balanced_chunks(spark, d):
+    """Lines of documents as chunks of four companies (languages): six for each question, shared out evenly."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("company"), "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "text")).where("trim(text) <> ''")
+    kind = F.when(F.contains("text", F.lit(" | ")), "table").otherwise("text")
+    chunks = docs.select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("at").cast("string"), 6, "0")).alias("chunk_id"), "company", kind.alias("kind"), (F.floor(F.col("at") / 4) + 1).alias("page"), "text")
+    companies = spark.createDataFrame(COMPANY_LIST, "company string, name string, place int, expansion array<string>")
+    return ranking.balanced(questions(spark, d).select("query_id", "question"), chunks, companies, 6)
+
+
+QUERIES = {f.__name__: f for f in (evidence_chain, certified_table_gate, document_ownership_gate, evidence_coverage, run_evaluation, table_values, configuration_report, balanced_chunks)}
 
 _H = """WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS no FROM lineitem),
 docs AS (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'Return' ELSE 'Sale' END AS owner FROM supplier WHERE s_acctbal > 0),
@@ -141,4 +190,27 @@ ORACLES = {
         coalesce(o_orderstatus = 'F' AND brief AND o_orderpriority <> '5-LOW' AND named = ['Return', 'Sale'] AND (o_orderpriority = '2-HIGH' OR o_totalprice > 100000), false)::INT AS answer_relevance,
         (brief AND mon % 6 > 0 AND dom % 9 > 0 AND o_custkey % 5 <> 0)::INT AS answer_completeness, coalesce(brief AND passed AND held AND (mon <> 3 OR list_sort(u) = u), false)::INT AS citation_integrity FROM r)
       SELECT *, tool_correctness + tool_efficiency + answer_relevance + answer_completeness + citation_integrity = 5 AS release FROM m""",
+    "table_values": """WITH c AS (SELECT c_nationkey, count(*) AS n, list_transform(['AUTOMOBILE', 'BUILDING', 'MACHINERY'], lambda g: {'g': g, 'n': len(list_filter(list(c_mktsegment), lambda m: m = g)), 's': list_sum(list_transform(list_filter(list({'m': c_mktsegment, 'b': c_acctbal}), lambda x: x.m = g), lambda x: x.b))}) AS seg FROM customer GROUP BY 1),
+      a AS (SELECT 'S' || c_nationkey AS table_id, n % 11 = 0 AS bare, n % 7 = 0 AS short, list_transform(seg, lambda x: CASE WHEN x.s >= 0 THEN round(x.s) END) AS v, [x.g FOR x IN seg IF x.n > 1] AS heads, [i FOR x, i IN seg IF x.n > 1] AS at FROM c),
+      a2 AS (SELECT *, CASE WHEN bare THEN 'table' WHEN short THEN 'rows' WHEN len(list_filter(v, lambda x: x IS NOT NULL)) <> 3 THEN 'values' WHEN len(heads) <> 3 THEN 'header' END AS error FROM a),
+      b AS (SELECT 'P' || s_nationkey AS table_id, count(*) AS n, round(sum(s_acctbal)) AS v FROM supplier GROUP BY 1),
+      b2 AS (SELECT *, CASE WHEN n % 7 = 0 THEN NULL END AS x, CASE WHEN n % 3 = 0 THEN 'period' WHEN n % 5 = 0 THEN 'metric' WHEN n % 7 = 0 THEN 'total' END AS error FROM b)
+      SELECT table_id, CASE WHEN error IS NULL THEN heads[1] || ' revenue' END AS label, CASE WHEN error IS NULL THEN v[1] END::DOUBLE AS value, CASE WHEN error IS NULL THEN 'USD millions' END AS unit, error FROM a2
+      UNION ALL SELECT table_id, CASE WHEN error IS NULL THEN 'Total group revenue' END, CASE WHEN error IS NULL THEN abs(v) END::DOUBLE, CASE WHEN error IS NULL THEN 'EUR millions' END, error FROM b2""",
+    "configuration_report": evals._W + evals._BM25 + "".join(stores._cases_of(r.replace("-", "_"), k) for r, k in stores.CONFIGURATIONS.items())
+    + ", cm AS (" + " UNION ALL ".join(f"SELECT '{r}' AS configuration, * FROM cm_{r.replace('-', '_')}" for r in stores.CONFIGURATIONS) + ")"
+    + ", lg AS (" + " UNION ALL ".join(f"SELECT configuration, case_id, '{m}' AS metric, {m} AS value FROM cm" for m in stores.MEASURES) + ")"
+    + """ SELECT 'mean' AS kind, configuration, metric, NULL::BIGINT AS case_id, round(avg(value), 6) AS value FROM lg GROUP BY ALL
+      UNION ALL SELECT 'passed', configuration, metric, NULL, count_if(value = 1)::DOUBLE FROM lg GROUP BY ALL
+      UNION ALL SELECT 'delta', a.configuration, a.metric, a.case_id, round(a.value - b.value, 6) FROM lg a JOIN lg b ON a.case_id = b.case_id AND a.metric = b.metric AND b.configuration = 'bounded' WHERE a.configuration <> 'bounded' AND a.value <> b.value
+      UNION ALL SELECT 'failure', configuration, failure_stage, NULL, count(*)::DOUBLE FROM cm WHERE failure_stage <> 'none' GROUP BY ALL""",
+    "balanced_chunks": f"""WITH {SQL}, comp AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{n}', {p}, {e})" for c, n, p, e in COMPANY_LIST)}) v(company, name, place, expansion)),
+      ch AS (SELECT lang AS company, lpad(doc_id::VARCHAR, 12, '0') || ':' || lpad(no::VARCHAR, 6, '0') AS chunk_id, no // 4 + 1 AS page, contains(line, ' | ') AS tab, list_distinct(regexp_extract_all(replace(lower(line), 'ß', 'ss'), '[a-z0-9]+')) AS w
+        FROM (SELECT lang, doc_id, unnest(l) AS line, unnest(range(len(l))) AS no FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line) <> ''),
+      men AS (SELECT query_id, count_if(contains(replace(lower(question), 'ß', 'ss'), name)) AS n FROM questions, comp GROUP BY 1),
+      asked AS (SELECT q.query_id, c.company, c.place, CASE WHEN n = 1 THEN 6 ELSE 1 END AS share, list_distinct(list_concat(list_filter(regexp_extract_all(replace(lower(question), 'ß', 'ss'), '[a-z0-9]+'), lambda w: NOT list_contains({list(ranking.BALANCED_STOP_WORDS)}, w)), expansion)) AS w
+        FROM questions q JOIN men USING (query_id), comp c WHERE n <> 1 OR contains(replace(lower(question), 'ß', 'ss'), c.name)),
+      sc AS (SELECT query_id, a.company, place, share, chunk_id, page, tab, len(list_intersect(list_filter(ch.w, lambda x: NOT list_contains({list(ranking.BALANCED_STOP_WORDS)}, x)), a.w)) AS score FROM asked a JOIN ch USING (company)),
+      r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, company ORDER BY score DESC, NOT tab, page, chunk_id) AS r FROM sc WHERE score > 0)
+      SELECT query_id, company, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY place, r) AS rank FROM r1 WHERE r <= share QUALIFY rank <= 6""",
 }
