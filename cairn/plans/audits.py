@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.operators import chunking as C
 from cairn.operators import evaluation as E
+from cairn.plans.chunks import _packed, _windows
 from cairn.sources.contracts import SQL, blocks, observations, passages, table
 
 LIMITS = {"un": ("une ", "un "), "der": ("der ", "die "), "of": ("of the", "of that")}
@@ -196,4 +197,9 @@ ORACLES = {
     "chunk_propositions": "SELECT doc_id, doc_id % 4 < 2 AS rejected, CASE WHEN doc_id % 4 < 2 THEN 0 ELSE len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) END AS propositions FROM documents",
     "reported_values": _B + ", c AS (SELECT source_id, ordinal, string_split(text, ' | ')[-1] AS cell FROM blocks WHERE block_type = 'table') SELECT source_id, ordinal, CASE WHEN NOT regexp_matches(cell, '[0-9]') THEN ordinal * 1000 + 7 END AS value, CASE WHEN regexp_matches(cell, '[0-9]') THEN 'ambiguous' END AS state FROM c",
     "retrieval_lineage": _retrieval(),
+    "chunk_kinds": f"""WITH {SQL}, w AS (SELECT doc_id, {_packed('w', 1199)} AS c FROM (SELECT doc_id, list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '') AS w FROM documents))
+      SELECT doc_id, 'text' AS kind, len(c) AS n FROM w UNION ALL SELECT source_id, 'table', count(*) FROM blocks WHERE block_type = 'table' GROUP BY 1""",
+    "strategy_recall": f"""WITH {SQL}, g AS (SELECT query_id, left(question, 80) AS literal, text FROM gold JOIN passages USING (passage_id) JOIN questions USING (query_id)),
+      r AS (SELECT query_id, bool_or(len(list_filter({_windows(120, 20)}, lambda w: contains(w, literal))) > 0) AS a, bool_or(len(list_filter({_windows(800, 20)}, lambda w: contains(w, literal))) > 0) AS b FROM g GROUP BY 1)
+      SELECT 'fixed120' AS strategy, round(avg(a::INT), 6) AS recall FROM r UNION ALL SELECT 'fixed800', round(avg(b::INT), 6) FROM r""",
 }

@@ -193,4 +193,9 @@ ORACLES = {
       p AS (SELECT a.doc_id, a.i, sum(a.w * b.w) AS s FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.term = b.term AND a.i = b.i + 1 GROUP BY 1, 2)
       SELECT doc_id, count(*) AS pairs, round(sum(s), 4) AS total FROM p GROUP BY 1""",
     "passages": f"WITH {SQL} SELECT passage_id, company, period, section, md5(text) AS text_md5 FROM passages",
+    "chunk_structure": f"""WITH {SQL}, r AS (SELECT *, block_type = 'table' OR length(text) > 600 AS alone, sum(CASE WHEN block_type IN ('heading', 'table') OR length(text) > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY ordinal) AS island FROM blocks),
+      g AS (SELECT source_id, min(ordinal) AS ordinal, list(text ORDER BY ordinal) AS u FROM r WHERE NOT alone AND block_type <> 'heading' GROUP BY source_id, island),
+      c AS (SELECT source_id, ordinal, 'text' AS kind, {_packed('u', 600).replace("' '", 'chr(10)')} AS c FROM g UNION ALL SELECT source_id, ordinal, 'table', [text] FROM r WHERE block_type = 'table'
+        UNION ALL SELECT source_id, ordinal, 'long', {_packed('u', 600)} FROM (SELECT source_id, ordinal, {_units(600)} AS u FROM r WHERE alone AND block_type NOT IN ('table', 'heading')))
+      SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY ordinal, part) AS n, kind, md5(t) AS md5 FROM (SELECT source_id, ordinal, kind, unnest(c) AS t, unnest(range(len(c))) AS part FROM c)""",
 }
