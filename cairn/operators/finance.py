@@ -31,6 +31,12 @@ def currency(text: Column, ticker: Column) -> Column:
     return F.when(text.contains("€ million"), "EUR").when(text.contains("In millions") & (ticker == "NVDA"), "USD")
 
 
+def contextualised(text: Column, names: tuple[str, ...] = ("revenue", "income", "total")) -> Column:
+    """Whether figures come with what tells what they are: a basis, a scale, an audit, or one of ``names``. Text without figures has no such context."""
+    told = basis(text).isNotNull() | scale(text).isNotNull() | audited(text).isNotNull() | text.rlike(rf"(?i)\b(?:{'|'.join(names)})\b")
+    return F.coalesce(text.rlike("[0-9]") & told, F.lit(False))
+
+
 def scale(text: Column) -> Column:
     return F.when(text.rlike(r"(?i)(?:In|€) millions?"), "millions")
 

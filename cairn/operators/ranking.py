@@ -204,6 +204,18 @@ def abstentions(passages: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.join(left, eligible(questions["period"], left["period"]), "left_anti").select("query_id", F.lit("no_eligible_passage").alias("reason"))
 
 
+def stage_recall(stages: dict[str, DataFrame], gold: DataFrame, k: int = 1) -> DataFrame:
+    """(stage, questions, recall): the share of the questions of ``gold`` (query_id, passage_id) that have one of their passages among the first
+    ``k`` of each stage's ranking (query_id, passage_id, rank)."""
+    asked = gold.select("query_id").distinct()
+    rows = None
+    for name, ranking in stages.items():
+        hit = ranking.where(F.col("rank") <= k).join(gold, ["query_id", "passage_id"], "left_semi").select("query_id").distinct().withColumn("hit", F.lit(1.0))
+        row = asked.join(hit, "query_id", "left").agg(F.count("*").alias("questions"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), DIGITS).alias("recall")).select(F.lit(name).alias("stage"), "questions", "recall")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 # Words that a balanced ranking leaves out.
 BALANCED_STOP_WORDS = ("a", "and", "between", "did", "do", "for", "how", "the", "their", "what", "which")
 

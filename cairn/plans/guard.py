@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import guards as G
 from cairn.session import broadcast_if_small, fresh_path
-from cairn.sources.contracts import SQL, passages, table
+from cairn.sources.contracts import SQL, blocks, passages, table
 
 
 def required_field_violations(spark, d):
@@ -127,7 +127,53 @@ def duplicate_ids(spark, d):
     return rows.join(broadcast_if_small(several, 200_000), "sha").select("doc_id", "sha", "copies")
 
 
-QUERIES = {f.__name__: f for f in (required_field_violations, secret_scan, path_scan, redact, privacy_audit, vector_violations, range_violations, asset_key_violations, table_violations, trace_ids, corpus_hash, content_integrity, manifest_sources, manifest_upsert, artifact_manifest, index_version_check, golden_set_violations, agent_dataset_violations, company_alias, duplicate_ids)}
+def public_text_audit(spark, d):
+    """Texts of three tables that may not be shown as they are: how many were looked at, and how many break each rule."""
+    out = None
+    for name, columns in (("documents", ["text", "source"]), ("pages", ["url"]), ("conversations", ["text", "role"])):
+        rows = G.audit_values(table(spark, d, name).withColumn("url", F.when(F.col("page_id") % 9 == 0, F.replace("url", F.lit("://"), F.lit("://me:pw@"))).otherwise(F.col("url"))) if name == "pages" else table(spark, d, name), columns)
+        rows = rows.select(F.lit(name).alias("table"), "column", "values", "rule", "hits")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def golden_set_audit(spark, d):
+    """Questions as a golden set: some share a name but for its case, some expect passages that there are not, or abstain in spite of some."""
+    b = table(spark, d, "benchmark")
+    name = F.concat(F.when(F.col("item_id") % 2 == 0, "Case-").otherwise(" case-"), F.floor(F.col("item_id") / 3).cast("string"))
+    evidence = F.array(F.format_string("DOC-%08d", F.col("item_id") * 17), F.format_string("DOC-%08d", F.col("item_id")))
+    cases = b.select(F.when(F.length("text") % 19 > 0, name).otherwise(" ").alias("case_id"), F.when(F.length("text") % 11 > 0, F.col("text")).alias("question"), evidence.alias("expected"), (F.length("text") > 120).alias("requires_abstention"))
+    return G.golden_violations(spark.createDataFrame([(" ",)], "dataset_version string"), cases, passages(spark, d))
+
+
+def element_violations(spark, d):
+    """Lines of documents as elements: a line with bars is a table of one row, as many columns as the first such line of its document has."""
+    b = blocks(spark, d)
+    cells = F.split("text", r" \| ")
+    width = b.where("block_type = 'table'").groupBy("source_id").agg(F.min_by(F.size(cells), "ordinal").alias("column_count"))
+    box = F.struct(F.lit(0).alias("x0"), (F.col("ordinal") % 7).alias("y0"), F.length("text").alias("x1"), F.lit(6).alias("y1"))
+    e = b.join(width, "source_id", "left").select(
+        F.concat_ws(":", F.col("source_id").cast("string"), F.col("ordinal").cast("string")).alias("element_id"), F.when(F.col("ordinal") % 13 == 4, "table").otherwise(F.col("block_type")).alias("element_type"), box.alias("bbox"),
+        F.when(F.contains("text", F.lit(" | ")), F.array(cells)).alias("rows"), F.when(F.col("ordinal") % 5 == 0, 2).otherwise(1).alias("row_count"), "column_count",
+    )
+    return G.element_violations(e)
+
+
+def fusion_audit(spark, d):
+    """Two channels of hits of conversations: turns of equal number are told twice, and a turn's text may differ between channels."""
+    c = table(spark, d, "conversations")
+    hit = lambda text: c.select(F.col("conv_id").alias("query_id"), (F.col("conv_id") * 100 + F.floor(F.col("turn") / 3)).alias("passage_id"), F.col("turn").alias("rank"), text.alias("content"))
+    channels = {"first": hit(F.lit("x")), "second": hit(F.when(F.col("turn") > 4, "y").otherwise("x")), "none": hit(F.lit("x")).where(F.lit(False))}
+    return G.fusion_violations(channels, 0, {"first": 1.0, "second": -1.0, "third": 1.0})
+
+
+QUERIES = {f.__name__: f for f in (required_field_violations, secret_scan, path_scan, redact, privacy_audit, vector_violations, range_violations, asset_key_violations, table_violations, trace_ids, corpus_hash, content_integrity, manifest_sources, manifest_upsert, artifact_manifest, index_version_check, golden_set_violations, agent_dataset_violations, company_alias, duplicate_ids, public_text_audit, golden_set_audit, element_violations, fusion_audit)}
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_AUDITED = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {e} AS t FROM {t}" for t, c, e in (("documents", "text", "text"), ("documents", "source", "source"), ("pages", "url", "CASE WHEN page_id % 9 = 0 THEN replace(url, '://', '://me:pw@') ELSE url END"), ("conversations", "text", "text"), ("conversations", "role", "role")))
+_RULES = " UNION ALL ".join(["SELECT *, 'blank' AS rule, t = '' AS hit FROM a", *(f"SELECT *, '{name}', t <> '' AND regexp_matches(t, '{_quoted(p)}') FROM a" for name, p in G.UNSAFE.items())])
 _LEVEL = "SELECT k // 4096 AS k, sha256(string_agg(h, '' ORDER BY k NULLS FIRST, h)) AS h FROM ({}) GROUP BY k // 4096"
 _HASHES = "SELECT doc_id AS k, sha256(to_json([doc_id::VARCHAR, text])) AS h FROM documents"
 for _ in range(G.LEVELS):
@@ -139,7 +185,7 @@ ORACLES = {
       UNION ALL SELECT doc_id, 'lang', CASE WHEN lang IS NULL OR trim(lang) = '' THEN 'missing' ELSE 'untrimmed' END FROM documents WHERE lang IS NULL OR doc_id % 5 = 0""",
     "secret_scan": f"SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '{G.SECRET}') THEN 'secret' END, CASE WHEN regexp_matches(text, '{G.PERSONAL_PATH}') THEN 'path' END) AS found FROM documents WHERE regexp_matches(text, '{G.SECRET}') OR regexp_matches(text, '{G.PERSONAL_PATH}')",
     "path_scan": f"SELECT page_id, regexp_matches(url, '^[a-z]+://[^/]*@') AS userinfo, regexp_matches(html, '{G.PERSONAL_PATH}') AS path FROM pages",
-    "redact": "SELECT conv_id, turn, md5(" + f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' api_key=abc sk-12345678 /home/me/x', '{G.ASSIGNMENT}', '[credential]', 'g'), '{G.HEADER}', '[header]', 'g'), '{G.TOKEN}', '[token]', 'g'), '{G.HOME}', '[path]', 'g')" + ") AS md5 FROM conversations",
+    "redact": "SELECT conv_id, turn, md5(" + f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' api_key=abc sk-12345678 /home/me/x', '{_quoted(G.ASSIGNMENT)}', '[credential]', 'g'), '{_quoted(G.HEADER)}', '[header]', 'g'), '{G.TOKEN}', '[token]', 'g'), '{G.HOME}', '[path]', 'g')" + ") AS md5 FROM conversations",
     "privacy_audit": f"""SELECT pattern, count(*) AS n FROM (SELECT unnest(CASE WHEN len(p) = 0 THEN ['clean'] ELSE p END) AS pattern FROM (SELECT list_filter([CASE WHEN regexp_matches(text, '{G.SECRET}') THEN 'secret' END, CASE WHEN regexp_matches(text, '{G.PERSONAL_PATH}') THEN 'path' END], lambda x: x IS NOT NULL) AS p FROM documents)) GROUP BY 1""",
     "vector_violations": "SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN 'dimension' ELSE 'not_finite' END AS problem FROM embeddings WHERE vec_id % 11 = 0 OR vec_id % 13 = 0",
     "range_violations": "SELECT event_id, CASE WHEN value < 1 THEN 'below' ELSE 'above' END AS rule FROM events WHERE value < 1 OR value > 100",
@@ -157,4 +203,16 @@ ORACLES = {
     "agent_dataset_violations": "SELECT event_id, 'k_range' AS key FROM events WHERE (props::JSON->>'k')::INT > 95",
     "company_alias": "SELECT doc_id, CASE WHEN ltrim(source, 'src')::INT < 16 THEN 'Source ' || ltrim(source, 'src') END AS company, CASE WHEN ltrim(source, 'src')::INT >= 16 THEN 'unsupported_company' END AS error_code FROM documents",
     "duplicate_ids": "SELECT doc_id, sha256(text) AS sha, count(*) OVER (PARTITION BY text) AS copies FROM documents QUALIFY copies > 1",
+    "public_text_audit": f"""WITH a AS (SELECT "table", "column", trim(t, ' ') AS t FROM ({_AUDITED}) WHERE t IS NOT NULL) SELECT "table", "column", count(*) AS "values", rule, count_if(hit) AS hits FROM ({_RULES}) GROUP BY ALL""",
+    "golden_set_audit": f"""WITH {SQL}, c AS (SELECT CASE WHEN length(text) % 19 > 0 THEN CASE WHEN item_id % 2 = 0 THEN 'Case-' ELSE ' case-' END || item_id // 3 ELSE ' ' END AS id, length(text) % 11 = 0 AS bare, length(text) > 120 AS abstains, item_id FROM benchmark),
+      e AS (SELECT DISTINCT unnest(['DOC-' || lpad((item_id * 17)::VARCHAR, 8, '0'), 'DOC-' || lpad(item_id::VARCHAR, 8, '0')]) AS p FROM c)
+      SELECT 'dataset' AS key, 'version' AS rule UNION ALL SELECT id, 'case_id' FROM c WHERE trim(id) = '' UNION ALL SELECT id, 'question' FROM c WHERE bare UNION ALL SELECT id, 'abstention' FROM c WHERE abstains
+      UNION ALL SELECT lower(trim(id)), 'duplicate_case' FROM c GROUP BY lower(trim(id)) HAVING count(*) > 1 UNION ALL SELECT p, 'unknown_evidence' FROM e WHERE p NOT IN (SELECT passage_id FROM passages)""",
+    "element_violations": f"""WITH {SQL}, w AS (SELECT source_id, arg_min(len(string_split(text, ' | ')), ordinal) AS width FROM blocks WHERE block_type = 'table' GROUP BY 1),
+      e AS (SELECT b.source_id || ':' || ordinal AS element_id, ordinal, CASE WHEN ordinal % 13 = 4 THEN 'table' ELSE block_type END AS kind, contains(text, ' | ') AS has, len(string_split(text, ' | ')) AS n, width, length(text) AS x1 FROM blocks b LEFT JOIN w USING (source_id))
+      SELECT element_id, 'area' AS rule FROM e WHERE NOT (x1 > 0 AND 6 > ordinal % 7) UNION ALL SELECT element_id, 'table' FROM e WHERE (kind = 'table') <> has
+      UNION ALL SELECT element_id, 'row_count' FROM e WHERE has AND ordinal % 5 = 0 UNION ALL SELECT element_id, 'column_count' FROM e WHERE has AND n IS DISTINCT FROM width""",
+    "fusion_audit": """WITH h AS (SELECT conv_id AS q, conv_id * 100 + turn // 3 AS p, turn FROM conversations), t AS (SELECT q, p FROM h GROUP BY 1, 2 HAVING count(*) > 1)
+      SELECT 'k' AS rule, NULL AS channel, '0' AS key UNION ALL SELECT 'weight', 'second', '-1.0' UNION ALL SELECT 'unknown_weight', 'third', NULL UNION ALL SELECT 'empty', 'none', NULL
+      UNION ALL SELECT 'duplicate', c, q || ':' || p FROM t, (VALUES ('first'), ('second')) v(c) UNION ALL SELECT 'conflict', NULL, p::VARCHAR FROM h GROUP BY p HAVING bool_or(turn > 4)""",
 }

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators import ranking as R
-from cairn.session import broadcast_if_small
+from cairn.operators.finance import contextualised
+from cairn.session import broadcast_if_small, materialise
 from cairn.sources.contracts import SQL, gold, passages, questions, table
 
 TOP = 4
 CANDIDATES = 20
+#: What figures are of, in the corpus at hand.
+TOTALS = ("eau", "heit", "that")
 
 
 def _vectors(spark, d):
@@ -111,6 +114,23 @@ def certified_search(spark, d):
     return R.fuse({"bm25": R.ranked(R.bm25_scores(p, q, "eligible"), CANDIDATES), "dense": _dense(spark, d)}, {"bm25": 10.0, "dense": 1.0}).where(F.col("rank") <= 3).select(*_ROW)
 
 
+def contextual_search(spark, d):
+    """The certified search behind a gate: only passages whose figures have a context are in the index, and statistics are theirs."""
+    gate = contextualised(F.col("text"), TOTALS)
+    p, q = passages(spark, d).where(gate), questions(spark, d)
+    vectors = _vectors(spark, d).join(p.select("passage_id"), "passage_id", "left_semi")
+    dense = R.ranked(R.dense_scores(vectors, _asked(spark, d)), CANDIDATES)
+    return R.fuse({"bm25": R.ranked(R.bm25_scores(p, q, "eligible"), CANDIDATES), "dense": dense}, {"bm25": 10.0, "dense": 1.0}).where(F.col("rank") <= 3).select(*_ROW)
+
+
+def stage_matrix(spark, d):
+    """Recall of the first hit at each stage of the hybrid search."""
+    p, q = passages(spark, d), questions(spark, d)
+    bm25, dense = materialise(_bm25(spark, d), "bm25"), materialise(_dense(spark, d), "dense")
+    fused = materialise(R.fuse({"bm25": bm25, "dense": dense}).where(F.col("rank") <= CANDIDATES), "fused")
+    return R.stage_recall({"bm25": bm25, "dense": dense, "fused": fused, "reranked": R.rerank(fused, p, q, TOP)}, gold(spark, d))
+
+
 def rank_movement(spark, d):
     a, b = _bm25(spark, d), _tfidf(spark, d)
     one = R.fuse({"bm25": a, "tfidf": b}).select("query_id", "passage_id", F.col("rank").alias("before"))
@@ -163,7 +183,7 @@ def balanced_topk(spark, d):
     return R.ranked(each, 5).select("query_id", "company", "passage_id", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_topk_norm, bm25_topk_scoped, tfidf_weights, tfidf_topk, dense_topk, overlap_topk, rrf_fusion, rrf_violations, rerank, hybrid_search, certified_search, rank_movement, literal_rank, abstentions, eligible_passages, missing_evidence, stage_recall, rag_prompts, balanced_topk)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_topk_norm, bm25_topk_scoped, tfidf_weights, tfidf_topk, dense_topk, overlap_topk, rrf_fusion, rrf_violations, rerank, hybrid_search, certified_search, contextual_search, stage_matrix, rank_movement, literal_rank, abstentions, eligible_passages, missing_evidence, stage_recall, rag_prompts, balanced_topk)}
 
 _FOLD = "replace(lower({}), 'ß', 'ss')"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.QUERY_STOP_WORDS) + "]"
@@ -245,6 +265,11 @@ ORACLES = {
     "hybrid_search": _W + _BM25 + "," + _DENSE + ", " + _fused("f", ("bm_top", "bm25", 1.0), ("de_top", "dense", 1.0)) + ", " + _reranked("f") + """
       SELECT query_id, passage_id, score, rank, NULL::VARCHAR AS reason FROM rr_top UNION ALL SELECT query_id, NULL, NULL, NULL, 'no_eligible_passage' FROM questions WHERE period IS NOT NULL AND period NOT IN (SELECT period FROM passages)""",
     "certified_search": _W + _SCOPED + "," + _DENSE + ", " + _fused("f", ("sbm_top", "bm25", 10.0), ("de_top", "dense", 1.0)) + " SELECT query_id, passage_id, score, rank FROM f WHERE rank <= 3",
+    "contextual_search": (_W + _SCOPED + "," + _DENSE).replace("FROM documents)", "FROM documents WHERE regexp_matches(text, '[0-9]') AND regexp_matches(text, '(?i)(?:^|[^\\pL\\pN_])(GAAP|audited|unaudited|" + "|".join(TOTALS) + ")(?:[^\\pL\\pN_]|$)|(In|€) millions?'))", 1)
+    + ", " + _fused("f", ("sbm_top", "bm25", 10.0), ("de_top", "dense", 1.0)) + " SELECT query_id, passage_id, score, rank FROM f WHERE rank <= 3",
+    "stage_matrix": _W + _BM25 + "," + _DENSE + ", " + _fused("f", ("bm_top", "bm25", 1.0), ("de_top", "dense", 1.0)) + ", " + _reranked("f")
+    + f", st AS (SELECT 'bm25' AS stage, query_id, passage_id, rank FROM bm_top UNION ALL SELECT 'dense', query_id, passage_id, rank FROM de_top UNION ALL SELECT 'fused', query_id, passage_id, rank FROM f WHERE rank <= {CANDIDATES} UNION ALL SELECT 'reranked', query_id, passage_id, rank FROM rr_top)"
+    + " SELECT s.stage, count(*) AS questions, round(avg((h.query_id IS NOT NULL)::INT), 6) AS recall FROM (SELECT DISTINCT query_id FROM gold) g CROSS JOIN (SELECT DISTINCT stage FROM st) s LEFT JOIN (SELECT DISTINCT stage, query_id FROM st SEMI JOIN gold USING (query_id, passage_id) WHERE rank = 1) h ON h.stage = s.stage AND h.query_id = g.query_id GROUP BY 1",
     "rank_movement": _W + _BM25 + "," + _TFIDF + ", " + _fused("f", ("bm_top", "bm25", 1.0), ("tf_top", "tfidf", 1.0)) + ", " + _fused("g", ("bm_top", "bm25", 1.0), ("tf_top", "tfidf", 3.0)) + " SELECT query_id, passage_id, f.rank AS before, g.rank AS after, f.rank - g.rank AS moved FROM f JOIN g USING (query_id, passage_id)",
     "literal_rank": _W + _BM25 + " SELECT query_id, min(CASE WHEN contains(text, left(question, 40)) THEN rank END) AS first_rank FROM bm_top JOIN passages USING (passage_id) JOIN questions USING (query_id) GROUP BY 1",
     "abstentions": _W.removesuffix(", ") + " SELECT query_id, 'no_eligible_passage' AS reason FROM questions WHERE period IS NOT NULL AND period NOT IN (SELECT period FROM passages WHERE period <> 'en')",
