@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.binding import let
@@ -16,6 +17,18 @@ from cairn.functions.binding import let
 CHUNK_BYTES = 1 << 20
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands Python batches of so many rows at most: what a batch of long texts takes, twice in the JVM and twice in Python, is bounded by it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def row_keys(df: DataFrame, *cols: str) -> DataFrame:
     """Adds ``_k1`` and ``_k2``: 128 bits that name a row by its content, so null or repeated ids do no harm."""
     args = [F.col(c) for c in cols]

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import HOT_SHARE, PLAIN, chunks, gram_hashes, join_facts, mix64, powers, row_keys, utf8, word_hashes
+from cairn.llm.common import HOT_SHARE, PLAIN, batches_of, chunks, gram_hashes, join_facts, mix64, powers, row_keys, utf8, word_hashes
 from cairn.session import broadcast_if_small, discard, materialise
 
 SHINGLE = 5
@@ -56,6 +56,8 @@ ROUNDS, WORTH = 10, 30
 SALTS = 32
 #: Pairs of two classes that are compared before all the others.
 FIRST = 8
+#: Texts, or pairs of texts, that a Python worker is handed at once.
+BATCH = 1000
 #: Texts with one shingle in their prefixes meet in blocks of about so many.
 BLOCK = 256
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -317,6 +319,11 @@ def _relabelled(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, _k1, _k2, class_key, class_id, class_size, is_head) of every document. ``class_key`` is null for a class of its own."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _classify(docs, doc_id, text)
+
+
+def _classify(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     scanned = materialise(scan(docs, doc_id, text), "sketched")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "_k1", "_k2")).alias("head")
     nodes = scanned.where("node is not null").groupBy("node").agg(head, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
