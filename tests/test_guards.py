@@ -8,10 +8,10 @@ from cairn.operators import guards as G
 def test_unsafe_texts(spark):
     cases = {
         " ": ["blank"], "": ["blank"], "plain": [], "my API_KEY here": ["credential"], "https://me:pw@example.org/x": ["userinfo"], "https://example.org/@x": [], "see /home/me": ["personal_path"], "x/home/me": [],
-        r"\Users\me": ["personal_path"], "at c:/work": ["rooted_path"], "https://example.org": [], r"\\server\share": ["rooted_path"], "the Chain-of-Thought": ["hidden_reasoning"], "sk-abcdefghijklmn at D:\\x": ["credential", "rooted_path"],
+        r"\Users\me": ["personal_path", "rooted_path"], "at c:/work": ["rooted_path"], "https://example.org": [], r"\\server\share": ["rooted_path"], "the Chain-of-Thought": ["hidden_reasoning"], "sk-abcdefghijklmn at D:\\x": ["credential", "rooted_path"],
     }
     df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string").select("t", G.unsafe_text(F.col("t")).alias("r"))
-    assert {r.t: r.r for r in df.collect()} == cases | {None: None} or {r.t: r.r or [] for r in df.collect()} == cases | {None: []}
+    assert {r.t: r.r for r in df.collect()} == cases | {None: []}
 
 
 def test_redaction_takes_quoted_values_whole(spark):
