@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from cairn.session import materialise
 
 K = 20
-TREES, BITS = 128, 24
+TREES, BITS = 128, 64
 BLOCK_ROWS, QUERY_ROWS = 16384, 1024
 #: Probability that a row as near as the k-th best is not met.
 MISS = 0.1
@@ -45,16 +45,28 @@ def _planes(dim: int) -> np.ndarray:
 
 
 def strings(x: np.ndarray, length: float) -> np.ndarray:
-    """(rows, TREES) strings as numbers, first bit highest, of index vectors with a component added that makes their length ``length``; 0 for queries."""
+    """(rows, TREES) strings of BITS bits as numbers, first bit highest, of index vectors with a component added that makes their length ``length``; 0 for queries."""
     planes = _planes(x.shape[1])
     own = np.linalg.norm(x, axis=1)
     unit = x / (length if length else own[:, None])
     more = np.sqrt(np.maximum(0.0, 1.0 - (own / length) ** 2)) if length else np.zeros(len(x))
-    out = np.empty((len(x), TREES), np.int32)
-    for i in range(0, len(x), 1024):
-        side = np.column_stack([unit[i : i + 1024], more[i : i + 1024]]).astype(np.float32) @ planes > 0
-        bits = np.packbits(side, axis=1).reshape(-1, TREES, BITS // 8).astype(np.int32)
-        out[i : i + 1024] = (bits[:, :, 0] << 16) | (bits[:, :, 1] << 8) | bits[:, :, 2]
+    out = np.empty((len(x), TREES), np.uint64)
+    for i in range(0, len(x), 256):
+        side = np.column_stack([unit[i : i + 256], more[i : i + 256]]).astype(np.float32) @ planes > 0
+        out[i : i + 256] = np.packbits(side, axis=1).view(">u8").reshape(-1, TREES)
+    return out
+
+
+def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first bits two strings have in common."""
+    differ, out = a ^ b, np.full(a.shape, BITS, np.int64)
+    some = differ > 0
+    high = np.zeros(a.shape, np.int64)
+    for step in (32, 16, 8, 4, 2, 1):
+        more = differ >> np.uint64(step) > 0
+        differ = np.where(more, differ >> np.uint64(step), differ)
+        high += step * more
+    out[some] = BITS - 1 - high[some]
     return out
 
 
@@ -66,11 +78,21 @@ class Forest:
         order = np.ascontiguousarray(np.argsort(own, axis=0, kind="stable").T)
         self.sorted, self.order = np.take_along_axis(own.T, order, axis=1), order.astype(np.int32).ravel()  # tree by tree
 
+    def longest(self, own: np.ndarray) -> np.ndarray:
+        """For each query and tree, the length of the longest prefix that a row shares with it: found beside its place in the sorted array."""
+        out = np.empty(own.shape, np.int64)
+        last = self.sorted.shape[1] - 1
+        for t in range(TREES):
+            at = np.searchsorted(self.sorted[t], own[:, t])
+            out[:, t] = np.maximum(shared_bits(self.sorted[t][np.minimum(at, last)], own[:, t]), shared_bits(self.sorted[t][np.maximum(at - 1, 0)], own[:, t]))
+        return out
+
     def ranges(self, own: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query and tree, the places of the rows that share ``depth`` bits with it."""
-        shift = BITS - depth
-        low = (own >> shift) << shift
-        high = low + ((1 << shift) - 1)
+        if not depth:
+            return np.zeros(own.shape, np.int64), np.full(own.shape, self.sorted.shape[1], np.int64)
+        rest = np.uint64((1 << (BITS - depth)) - 1)
+        low, high = own & ~rest, own | rest
         return tuple(np.stack([np.searchsorted(self.sorted[t], edge[:, t], side) for t in range(TREES)], axis=1) for edge, side in ((low, "left"), (high, "right")))
 
     def met(self, lo: np.ndarray, hi: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -89,29 +111,31 @@ class Forest:
         before = np.zeros((len(queries), n), bool)
         best = np.full((len(queries), k), -np.inf)  # of each query so far, the k-th first
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in queries]
-        open_ = np.arange(len(queries))
         sure = np.log1p(-(MISS ** (1 / TREES)))
-        # all trees ascend together, a level at a time, from prefixes that few rows share by chance
-        for depth in range(min(BITS, max(0, int(np.log2(n)) - 2)), -1, -1):
-            lo, hi = self.ranges(own[open_], depth)
-            on = np.ones(len(open_), bool)
-            for i, q in enumerate(open_.tolist()):
-                rows = self.met(lo[i], hi[i], before[q])
-                score = self.x.take(rows, axis=0) @ queries[q]
-                found[q].append((rows, score))
-                if len(rows):
+        # each query descends to the longest prefix that any tree has for it; from there all trees ascend together
+        top = self.longest(own).max(axis=1)
+        held, open_ = np.zeros(len(queries), np.int64), np.ones(len(queries), bool)
+        for depth in range(int(top.max(initial=0)), -1, -1):
+            asking = np.flatnonzero(open_ & (top >= depth))
+            if not len(asking):
+                continue
+            lo, hi = self.ranges(own[asking], depth)
+            size = (hi - lo).sum(axis=1)
+            for i, q in enumerate(asking.tolist()):
+                if size[i] > held[q]:
+                    held[q] = size[i]
+                    rows = self.met(lo[i], hi[i], before[q])
+                    score = self.x.take(rows, axis=0) @ queries[q]
+                    found[q].append((rows, score))
                     every = np.concatenate([best[q], score])
                     best[q] = np.partition(every, len(every) - k)[len(every) - k :]
                 if np.isinf(best[q, 0]) and depth:
                     continue
                 angle = np.arccos(np.clip(best[q, 0] / lengths[q], -1.0, 1.0))
                 if not depth or angle == 0 or (angle < np.pi and depth <= sure / np.log1p(-angle / np.pi)):
-                    on[i] = False
+                    open_[q] = False
                     yield q, *(np.concatenate(c) for c in zip(*found[q], strict=True))
                     found[q] = []
-            open_ = open_[on]
-            if not len(open_):
-                return
 
 
 def _valid(vector: Column) -> Column:
@@ -125,16 +149,16 @@ def _length(vector: Column) -> Column:
 
 def _with_strings(df: DataFrame, length: float) -> DataFrame:
     """Adds ``code``, the strings of ``v``."""
-    schema = T.StructType([*df.schema.fields, T.StructField("code", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField("code", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             at, dims = batch.schema.get_field_index("v"), batch.column(batch.schema.get_field_index("dim")).to_numpy()
-            vectors, code = batch.column(at), np.zeros((batch.num_rows, TREES), np.int32)
+            vectors, code = batch.column(at), np.zeros((batch.num_rows, TREES), np.uint64)
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
                 code[own] = strings(np.array(vectors.take(pa.array(own)).flatten()).reshape(-1, d), length)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * TREES, pa.int32()), pa.array(code.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * TREES, pa.int32()), pa.array(code.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "code"])
 
     return df.mapInArrow(run, schema)
@@ -163,7 +187,7 @@ def search(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embe
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], x) for x in kinds], names=names)
         x, q = (np.array(c.combine_chunks().flatten()).reshape(len(c), -1) for c in (left["v"], right["qv"]))
-        own, asking = (np.array(c.combine_chunks().flatten()).reshape(-1, TREES) for c in (left["code"], right["qcode"]))
+        own, asking = (np.array(c.combine_chunks().flatten()).view(np.uint64).reshape(-1, TREES) for c in (left["code"], right["qcode"]))
         ids = left["ids"].combine_chunks()
         flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
         h1, h2 = right["q1"].to_numpy(), right["q2"].to_numpy()

@@ -70,3 +70,26 @@ def test_few_rows_are_scored_in_clusters():
         scored += len(met)
         hits += len(np.intersect1d(np.argsort(-(x @ x[q]))[:21], met))
     assert scored < 50 * 1000 and hits >= 0.9 * 50 * 21
+
+
+def test_trees_descend_to_the_longest_prefix_whatever_the_size():
+    """Clusters of 100 near rows: 20 neighbours are found by scoring fewer than one row in fifty."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(160, 64))
+    x = unit(centres[np.arange(16000) % 160] + 0.05 * rng.normal(size=(16000, 64)))
+    forest, own = lshforest.Forest(x, lshforest.strings(x, 1.0), 1.0), lshforest.strings(x[:40], 0.0)
+    longest = forest.longest(own)
+    for t in (0, 50):
+        shared = [[64 - (int(a) ^ int(b)).bit_length() for b in lshforest.strings(x, 1.0)[:, t]] for a in own[:5, t]]
+        assert longest[:5, t].tolist() == [max(s) for s in shared]
+    scored, hits = 0, 0
+    for q, met, score in forest.candidates(x[:40], own, 21):
+        scored += len(met)
+        hits += len(np.intersect1d(np.argsort(-(x @ x[q]))[:21], met))
+    assert scored < 0.02 * 40 * len(x) and hits >= 0.9 * 40 * 21
+
+
+def test_shared_bits():
+    a = np.array([0, 1, 2**63, 2**64 - 1, 5], np.uint64)
+    b = np.array([0, 0, 0, 2**64 - 1, 4 + 2**40], np.uint64)
+    assert lshforest.shared_bits(a, b).tolist() == [64, 63, 0, 64, 23]
