@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from cairn.operators import evaluation as E
 from cairn.operators import finance, ranking
 from cairn.operators import gates as X
+from cairn.operators import scoring
+from cairn.session import materialise
 from cairn.plans import evals, stores
 from cairn.sources.contracts import SQL, questions, table
 
@@ -151,7 +153,54 @@ def balanced_chunks(spark, d):
     return ranking.balanced(questions(spark, d).select("query_id", "question"), chunks, companies, 6)
 
 
-QUERIES = {f.__name__: f for f in (evidence_chain, certified_table_gate, document_ownership_gate, evidence_coverage, run_evaluation, table_values, configuration_report, balanced_chunks)}
+def answer_tables(spark, d):
+    """Orders as cases and their briefings, lines as facts and observations."""
+    o, li = table(spark, d, "orders"), _lines(spark, d)
+    key = (F.col("l_orderkey").alias("case_id"), F.lit("given").alias("configuration_id"))
+    allow, mon, dom = F.col("o_orderpriority") != "5-LOW", F.month("o_orderdate"), F.dayofmonth("o_orderdate")
+    companies = F.when(F.col("o_custkey") % 17 == 0, F.array().cast("array<string>")).when(F.col("o_custkey") % 4 == 0, F.array(F.lit("Sale"))).otherwise(F.array(F.lit("Return"), F.lit("Sale")))
+    cases = o.select(
+        F.col("o_orderkey").alias("case_id"), F.when(allow, "completed").otherwise("insufficient_evidence").alias("expected_status"), allow.alias("allow_briefing"), companies.alias("required_companies"),
+        F.array(F.lit("e1"), F.lit("e2")).alias("required_evidence_ids"), F.array(F.lit("metric"), F.lit("document")).alias("required_fact_kinds"), F.array(F.lit("Currencies"), F.lit("business definitions")).alias("required_limitations"),
+    )
+    line = li.where("l_tax > 0")
+    source = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    evidence = F.concat(F.lit("e"), (F.col("l_partkey") % 4).cast("string"))
+    metric = F.col("l_linestatus") == "F"
+    none = F.array().cast("array<string>")
+    facts = line.select(
+        *key, F.col("no").alias("fact_no"), F.when(F.col("l_quantity") != 13, F.when(metric, "metric").otherwise("document")).alias("kind"), F.when(F.col("l_quantity") == 29, F.array(source, F.lit("s0"))).otherwise(F.array(source)).alias("source_references"),
+        F.when(metric & (F.col("l_quantity") != 37), none).otherwise(F.array(evidence)).alias("evidence_ids"),
+    )
+    observations = li.select(
+        *key, F.when(metric, "get_company_metric").otherwise("search_financial_documents").alias("capability"), F.when(F.col("l_quantity") == 41, "error").otherwise("ok").alias("status"), F.array(source).alias("source_references"), F.array(evidence).alias("evidence_ids"),
+        F.array(F.struct(F.when(F.col("l_quantity") < 3, "x").otherwise(source).alias("source"), evidence.alias("evidence_id"))).alias("hits"),
+    )
+    used = facts.select("case_id", "fact_no", F.posexplode("source_references").alias("at", "s")).groupBy("case_id", "s").agg(F.min(F.struct("fact_no", "at")).alias("f"))
+    used = used.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "s"))), lambda x: x["s"]).alias("u"))
+    briefing = F.col("o_totalprice") > 20_000
+    when = lambda c: F.when(briefing, c)
+    said = F.concat_ws(" ", F.when(mon % 2 == 0, "RETURN"), F.when(dom % 2 == 0, "and sale"), F.when(mon <= 6, "by valuation"), F.when(dom > 10, "and revenue growth"))
+    predictions = o.join(used, o["o_orderkey"] == used["case_id"], "left").select(
+        F.col("o_orderkey").alias("case_id"), F.lit("given").alias("configuration_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "insufficient_evidence").otherwise("stopped").alias("status"), briefing.alias("briefing"), when(said).alias("text"),
+        when(mon % 3).alias("cross_observations"), when(F.array(F.when(mon > 4, "Currency effects").otherwise("none"), F.when(dom > 20, "the Business Mix").otherwise("none"))).alias("limitations"), when(F.when(mon == 3, F.array_sort("u")).otherwise(F.coalesce("u", none))).alias("source_references"),
+    )
+    return cases, predictions, facts, observations
+
+
+def answer_scores(spark, d):
+    """Relevance, completeness and citations of every order's briefing, with what is missing."""
+    cases, predictions, facts, observations = answer_tables(spark, d)
+    cases, predictions = materialise(cases, "cases"), materialise(predictions, "predictions")
+    found = {"relevance": scoring.answer_relevance(cases, predictions), "completeness": scoring.answer_completeness(cases, predictions, facts), "citations": scoring.citation_integrity(cases, predictions, facts, observations)}
+    out = None
+    for name, scored in found.items():
+        rows = scored.select("case_id", F.lit(name).alias("measure"), "value", F.regexp_extract("rationale", "Missing: (.*)[.]$", 1).alias("missing"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (answer_scores, evidence_chain, certified_table_gate, document_ownership_gate, evidence_coverage, run_evaluation, table_values, configuration_report, balanced_chunks)}
 
 _H = """WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS no FROM lineitem),
 docs AS (SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'Return' ELSE 'Sale' END AS owner FROM supplier WHERE s_acctbal > 0),
@@ -213,4 +262,19 @@ ORACLES = {
       sc AS (SELECT query_id, a.company, place, share, chunk_id, page, tab, len(list_intersect(list_filter(ch.w, lambda x: NOT list_contains({list(ranking.BALANCED_STOP_WORDS)}, x)), a.w)) AS score FROM asked a JOIN ch USING (company)),
       r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, company ORDER BY score DESC, NOT tab, page, chunk_id) AS r FROM sc WHERE score > 0)
       SELECT query_id, company, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY place, r) AS rank FROM r1 WHERE r <= share QUALIFY rank <= 6""",
+    "answer_scores": _H + """, c AS (SELECT o_orderkey AS case_id, o_orderpriority <> '5-LOW' AS allow, CASE WHEN o_custkey % 17 = 0 THEN [] WHEN o_custkey % 4 = 0 THEN ['Sale'] ELSE ['Return', 'Sale'] END AS comp, o_totalprice > 20000 AS brief, month(o_orderdate) AS mon, day(o_orderdate) AS dom,
+        CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'insufficient_evidence' ELSE 'stopped' END = CASE WHEN o_orderpriority <> '5-LOW' THEN 'completed' ELSE 'insufficient_evidence' END AS typed FROM orders),
+      b AS (SELECT *, brief AND mon % 2 = 0 AS ret, brief AND dom % 2 = 0 AS sal, brief AND mon <= 6 AS val, brief AND dom > 10 AS gro FROM c),
+      f AS (SELECT l_orderkey AS case_id, no, CASE WHEN l_quantity <> 13 THEN CASE WHEN l_linestatus = 'F' THEN 'metric' ELSE 'document' END END AS kind, 's' || l_suppkey AS s, l_quantity = 29 AS two, CASE WHEN l_linestatus = 'F' AND l_quantity <> 37 THEN '' ELSE 'e' || l_partkey % 4 END AS e FROM li WHERE l_tax > 0),
+      ob AS (SELECT DISTINCT l_orderkey AS case_id, CASE WHEN l_linestatus = 'F' THEN 'metric' ELSE 'document' END AS kind, 's' || l_suppkey AS s, CASE WHEN l_linestatus = 'F' THEN '' ELSE 'e' || l_partkey % 4 END AS e FROM li WHERE l_quantity <> 41 AND (l_linestatus = 'F' OR l_quantity >= 3)),
+      g AS (SELECT f.case_id, bool_and(coalesce(NOT two AND ob.s IS NOT NULL, false)) AS valid, count(DISTINCT CASE WHEN f.e IN ('e1', 'e2') THEN f.e END) AS ids, count(DISTINCT f.kind) AS kinds, bool_or(f.e = 'e1') AS e1 FROM f LEFT JOIN ob ON ob.case_id = f.case_id AND ob.kind = f.kind AND ob.s = f.s AND ob.e = f.e GROUP BY 1),
+      u0 AS (SELECT case_id, no, 0 AS at_, s FROM f UNION ALL SELECT case_id, no, 1, 's0' FROM f WHERE two), u1 AS (SELECT case_id, s, min(no * 2 + at_) AS p FROM u0 GROUP BY 1, 2), u AS (SELECT case_id, list(s ORDER BY p) AS u FROM u1 GROUP BY 1),
+      j AS (SELECT b.*, coalesce(valid, false) AS valid, coalesce(ids, 0) AS ids, coalesce(kinds, 0) AS kinds, coalesce(u, []) AS u FROM b LEFT JOIN g USING (case_id) LEFT JOIN u USING (case_id)),
+      k AS (SELECT case_id, 'relevance' AS measure, CASE WHEN allow THEN list_concat(list_transform(comp, lambda x: {'n': 'company ' || x, 'v': (CASE WHEN x = 'Return' THEN ret ELSE sal END)::INT::DOUBLE}), [{'n': 'mission dimension valuation', 'v': val::INT::DOUBLE}, {'n': 'mission dimension operating growth', 'v': gro::INT::DOUBLE}])
+          ELSE [{'n': 'expected typed status', 'v': typed::INT::DOUBLE}, {'n': 'no briefing emitted', 'v': (NOT brief)::INT::DOUBLE}] END AS q FROM j
+        UNION ALL SELECT case_id, 'completeness', [{'n': 'expected final status', 'v': typed::INT::DOUBLE}, {'n': 'required evidence IDs', 'v': ids / 2.0}, {'n': 'required fact kinds', 'v': kinds / 2.0},
+          {'n': 'required companies', 'v': CASE WHEN len(comp) = 0 THEN 1.0 ELSE (CASE WHEN list_contains(comp, 'Return') THEN ret::INT ELSE 0 END + sal::INT) / len(comp) END}, {'n': 'cross-company comparison', 'v': (brief AND mon % 3 > 0)::INT::DOUBLE}, {'n': 'required limitations', 'v': ((brief AND mon > 4)::INT + (brief AND dom > 20)::INT) / 2.0}] FROM j
+        UNION ALL SELECT case_id, 'citations', CASE WHEN brief THEN [{'n': 'observation-backed fact provenance', 'v': valid::INT::DOUBLE}, {'n': 'aggregate source union', 'v': (mon <> 3 OR (len(u) > 0 AND list_sort(u) = u) OR len(u) = 0)::INT::DOUBLE}] ELSE [{'n': 'expected no-briefing stop', 'v': (NOT allow AND typed)::INT::DOUBLE}] END FROM j),
+      m AS (SELECT *, list_sum(list_transform(q, lambda x: x.v)) / len(q) AS v, array_to_string(list_transform(list_filter(q, lambda x: x.v < 1), lambda x: x.n), ', ') AS mi FROM k)
+      SELECT case_id, measure, CASE WHEN measure = 'citations' THEN (v = 1)::INT::DOUBLE ELSE round(v, 6) END AS value, CASE WHEN mi = '' THEN 'none' ELSE mi END AS missing FROM m""",
 }
