@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
-MODULES: tuple[str, ...] = ("texts", "ranks", "chunks", "guard", "evals", "figures", "audits", "layout", "agents", "stores", "gates", "sections")
+MODULES: tuple[str, ...] = ("texts", "ranks", "chunks", "guard", "evals", "figures", "audits", "layout", "agents", "stores", "gates", "sections", "evidence")
 
 
 def queries() -> dict[str, Query]:
