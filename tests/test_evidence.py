@@ -9,8 +9,8 @@ FILTER = "filter_id int, company string, period string, document_type string, el
 
 
 def test_filters_meet_all_wishes(spark):
-    chunks = spark.createDataFrame([(1, "Nvi", "FY26", "10-K", "table", "d1", ["Data", "Gaming"]), (2, "nvi", "FY25", "10-K", "list", "d2", []), (3, None, "FY26", "10-K", "table", "d3", None)], CHUNK)
-    filters = spark.createDataFrame([(1, " NVI ", None, None, None, None, None), (2, None, "fy26", None, "Table ", None, None), (3, None, None, None, None, None, " gaming"), (4, None, None, None, "image", None, None), (5, None, None, None, None, None, None), (6, "Nvi", "FY26", "10-k", "table", "D1", "data"), (7, "Nvi", "FY24", None, None, None, None)], FILTER)
+    chunks = spark.createDataFrame([(1, "Acme", "FY26", "10-K", "table", "d1", ["Data", "Gaming"]), (2, "acme", "FY25", "10-K", "list", "d2", []), (3, None, "FY26", "10-K", "table", "d3", None)], CHUNK)
+    filters = spark.createDataFrame([(1, " ACME ", None, None, None, None, None), (2, None, "fy26", None, "Table ", None, None), (3, None, None, None, None, None, " gaming"), (4, None, None, None, "image", None, None), (5, None, None, None, None, None, None), (6, "Acme", "FY26", "10-k", "table", "D1", "data"), (7, "Acme", "FY24", None, None, None, None)], FILTER)
     got = {}
     for r in X.filtered(chunks, filters).collect():
         got.setdefault(r.filter_id, set()).add(r.chunk_id)

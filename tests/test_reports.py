@@ -70,12 +70,12 @@ def test_comparison_rows(spark):
 
 
 def test_balanced_ranking(spark):
-    companies = spark.createDataFrame([("N", "Nvi", 1, ["gaming"]), ("S", "Schnei", 2, [])], "company string, name string, place int, expansion array<string>")
+    companies = spark.createDataFrame([("N", "Acme", 1, ["gaming"]), ("S", "Borel", 2, [])], "company string, name string, place int, expansion array<string>")
     chunks = spark.createDataFrame(
         [("n1", "N", "text", 1, "revenue gaming"), ("n2", "N", "table", 9, "revenue gaming"), ("n3", "N", "text", 1, "revenue"), ("n4", "N", "text", 1, "the what"), ("s1", "S", "text", 2, "Revenue growth"), ("s2", "S", "text", 1, "revenue"), ("s3", "S", "text", 1, "gaming"), ("s4", "S", "text", 1, "revenue")],
         "chunk_id string, company string, kind string, page int, text string",
     )
-    questions = spark.createDataFrame([(1, "What revenue growth did NVI report?"), (2, "the revenue growth"), (3, "Nvi and Schnei revenue growth"), (4, "nothing"), (5, None)], "query_id long, question string")
+    questions = spark.createDataFrame([(1, "What revenue growth did ACME report?"), (2, "the revenue growth"), (3, "Acme and Borel revenue growth"), (4, "nothing"), (5, None)], "query_id long, question string")
     got = {}
     for r in ranking.balanced(questions, chunks, companies, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.chunk_id)

@@ -7,14 +7,14 @@ PREDICTION = "case_id long, configuration_id string, status string, briefing boo
 FACT = "case_id long, configuration_id string, fact_no int, kind string, source_references array<string>, evidence_ids array<string>"
 OBSERVED = "case_id long, configuration_id string, capability string, status string, source_references array<string>, evidence_ids array<string>, hits array<struct<source:string,evidence_id:string>>, duration_ms double"
 M, D = "get_company_metric", "search_financial_documents"
-GOOD_CASE = {"expected_status": "completed", "allow_briefing": True, "companies": ["Nvi", "Schnei"], "ids": ["e1", "e2"], "kinds": ["metric", "document"], "limits": ["Currencies", "reporting periods", "other"]}
-GOOD = {"status": "completed", "briefing": True, "text": "NVI and schnei: P/E, revenue growth", "cross": 1, "limits": ["Currency effects, reporting period", "and other things"], "sources": ["s2", "s1"]}
+GOOD_CASE = {"expected_status": "completed", "allow_briefing": True, "companies": ["Acme", "Borel"], "ids": ["e1", "e2"], "kinds": ["metric", "document"], "limits": ["Currencies", "reporting periods", "other"]}
+GOOD = {"status": "completed", "briefing": True, "text": "ACME and borel: P/E, revenue growth", "cross": 1, "limits": ["Currency effects, reporting period", "and other things"], "sources": ["s2", "s1"]}
 FACTS = [(1, "document", ["s2"], ["e1"]), (2, "metric", ["s1"], []), (3, "document", ["s2"], ["e2"])]
 CALLS = [(M, "ok", ["s1"], [], None), (D, "ok", ["s2"], ["e1", "e2"], [("s2", "e1"), ("s2", "e2"), ("s9", "e1")])]
 CASES = {  # (changed case, changed prediction, facts, calls) -> relevance, completeness, citations
     "whole": ({}, {}, FACTS, CALLS, (1, 1, 1)),
-    "one company": ({}, {"text": "Nvi valuation operating-growth"}, FACTS, CALLS, (0.75, 5.5 / 6, 1)),
-    "no dimension": ({}, {"text": "nvi schnei"}, FACTS, CALLS, (0.5, 1, 1)),
+    "one company": ({}, {"text": "Acme valuation operating-growth"}, FACTS, CALLS, (0.75, 5.5 / 6, 1)),
+    "no dimension": ({}, {"text": "acme borel"}, FACTS, CALLS, (0.5, 1, 1)),
     "another status": ({}, {"status": "stopped"}, FACTS, CALLS, (1, 5 / 6, 1)),
     "missing id": ({"ids": ["e1", "e3"]}, {}, FACTS, CALLS, (1, 5.5 / 6, 1)),
     "missing kind": ({"kinds": ["price"]}, {}, FACTS, CALLS, (1, 5 / 6, 1)),
@@ -52,7 +52,7 @@ def test_each_check(spark):
     for n, (name, (*_, want)) in enumerate(CASES.items()):
         assert [round(x, 6) for x in want] == [g[n] for g in got], name
     told = {r.case_id: r.rationale for r in found[0].collect()}
-    assert told[1] == "Satisfied: company Nvi, mission dimension valuation, mission dimension operating growth. Missing: company Schnei."
+    assert told[1] == "Satisfied: company Acme, mission dimension valuation, mission dimension operating growth. Missing: company Borel."
 
 
 def test_case_scores_and_summary(spark):
