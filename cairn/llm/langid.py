@@ -83,12 +83,14 @@ def train(docs: DataFrame, *, text: str = "text", label: str = "lang") -> TextMo
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(own[at], pa.int64())})
 
     rows = docs.select(F.col(label).alias("lang"), F.col(text).alias("text")).where("lang is not null")
-    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = tuple(sorted(found["lang"].unique()))
+    found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    lang = found.column("lang").combine_chunks().dictionary_encode()
+    names = lang.dictionary.to_pylist()
+    languages = tuple(sorted(names))
     counts = np.full((BUCKETS, max(1, len(languages))), SMOOTHING)
     if len(found):
-        place = {name: k for k, name in enumerate(languages)}
-        counts[found["bucket"].to_numpy(), found["lang"].map(place).to_numpy()] += found["n"].to_numpy()
+        place = np.array([languages.index(name) for name in names])[lang.indices.to_numpy()]
+        counts[found.column("bucket").to_numpy(), place] += found.column("n").to_numpy()
     return TextModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 

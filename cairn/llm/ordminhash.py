@@ -227,9 +227,8 @@ def connected(edges: DataFrame) -> DataFrame:
         before, links = links, materialise(star(star(links, True), False), "stars")
         discard(before)
         # done when each node has one link, to a node that has none
-        several = links.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        onward = links.select(F.col("v").alias("u")).distinct().join(links, "u", "left_semi")
-        if several.isEmpty() and onward.isEmpty():
+        ends = links.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty():
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
