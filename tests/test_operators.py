@@ -14,6 +14,7 @@ from cairn.operators import evaluation as E
 from cairn.operators import finance as X
 from cairn.operators import guards as G
 from cairn.operators import ranking as R
+from cairn.operators import sections as S
 from cairn.plans.audits import eligible_blocks
 from cairn.plans.figures import financial_metadata, financial_units, html_rows, snapshot_violations
 from cairn.plans.texts import common_prefix
@@ -157,3 +158,12 @@ def test_no_sort_in_one_task(spark, tmp_path):
     assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
     plan = snapshot_violations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_units_keep_the_digits_of_their_own_place(spark):
+    text = " a1. 19.37.233.111\n22 or 2"
+    assert one(spark, C.sentence_units(F.col("t")), t=text) == ["a1.", "19.37.233.111", "22 or 2"]
+    assert one(spark, C.sentence_units(F.col("t"), 300), t="0. 1! 2? 10") == ["0.", "1!", "2?", "10"]
+    blocks = spark.createDataFrame([(1, 0, "heading", "H", ["A"], 1), (1, 1, "paragraph", text, ["A"], 1)], "source_id long, ordinal int, block_type string, text string, section_path array<string>, page int")
+    assert [r.text for r in C.structure_aware(blocks, 20).orderBy("n").collect()] == ["a1. 19.37.233.111", "22 or 2"]
+    assert [r.text for r in S.hierarchical_chunks(blocks, 300).where("role = 'child'").collect()] == ["a1. 19.37.233.111 22 or 2"]
