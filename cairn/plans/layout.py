@@ -51,7 +51,7 @@ def page_blocks(spark, d):
 def _tables(spark, d):
     """One table a document: its first line above the lines with bars, so that there is a header."""
     b = blocks(spark, d).where("block_type <> 'paragraph'")
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda s: F.transform(F.split(s["text"], r" \| "), F.trim))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda s: F.transform(F.split(s["text"], r" \| "), lambda c: F.trim(c)))  # F.trim itself would take the index as the characters to strip
     return b.groupBy("source_id").agg(rows.alias("rows"), F.max((F.col("block_type") == "table").cast("int")).alias("any")).where("any = 1").withColumn("path", F.array(F.when(F.col("source_id") % 2 == 0, "Results by business").otherwise("Results")))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.operators import layout
-from cairn.plans.layout import PERIOD
+from cairn.plans.layout import PERIOD, _tables, table_labels
 
 BOX = "document_id string, page int, box int, boxclass string, header_level int, x0 double, y0 double, x1 double, y1 double, text string, markdown string"
 
@@ -55,3 +55,11 @@ def test_contained(spark):
     chunks = spark.createDataFrame([("d", "a b c"), ("d", "c d"), ("e", "zz")], "source_id string, text string")
     tables = spark.createDataFrame([("d", 1, "b c"), ("d", 2, "c d e"), ("f", 1, "zz")], "source_id string, table_no int, text string")
     assert {(r.source_id, r.table_no): r.kept for r in layout.contained(chunks, tables, "source_id").collect()} == {("d", 1): True, ("d", 2): False, ("f", 1): False}
+
+
+def test_cells_of_tables_keep_the_digits_of_their_own_place(spark, tmp_path):
+    spark.createDataFrame([(1, "head\n0 rows | 11 | 21\nnet1 | x\n101 | 2")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (row,) = _tables(spark, str(tmp_path)).collect()
+    assert row.rows == [["head"], ["0 rows", "11", "21"], ["net1", "x"], ["101", "2"]]
+    (row,) = table_labels(spark, str(tmp_path)).collect()
+    assert (row.metrics, row.row_labels) == ("0 rows;101", "")
