@@ -96,7 +96,7 @@ def anchor_excerpt(spark, d):
 
 def table_text(spark, d):
     b = blocks(spark, d).where("block_type = 'table'")
-    cells = F.filter(F.transform(F.split("text", r" \| "), F.trim), lambda c: c != "")
+    cells = F.filter(F.transform(F.split("text", r" \| "), lambda c: F.trim(c)), lambda c: c != "")  # F.trim itself would take the index as the characters to strip
     return b.select("source_id", "ordinal", F.size(cells).cast("long").alias("cells"), F.md5(F.array_join(cells, " | ")).alias("md5"))
 
 

@@ -1,5 +1,6 @@
 """Operators on small literals, against plain Python where an order is followed."""
 
+import hashlib
 import math
 import random
 import re
@@ -16,7 +17,7 @@ from cairn.operators import guards as G
 from cairn.operators import ranking as R
 from cairn.operators import sections as S
 from cairn.plans.audits import eligible_blocks
-from cairn.plans.figures import financial_metadata, financial_units, html_rows, snapshot_violations
+from cairn.plans.figures import financial_metadata, financial_units, html_rows, snapshot_violations, table_text
 from cairn.plans.texts import common_prefix
 
 
@@ -167,3 +168,9 @@ def test_units_keep_the_digits_of_their_own_place(spark):
     blocks = spark.createDataFrame([(1, 0, "heading", "H", ["A"], 1), (1, 1, "paragraph", text, ["A"], 1)], "source_id long, ordinal int, block_type string, text string, section_path array<string>, page int")
     assert [r.text for r in C.structure_aware(blocks, 20).orderBy("n").collect()] == ["a1. 19.37.233.111", "22 or 2"]
     assert [r.text for r in S.hierarchical_chunks(blocks, 300).where("role = 'child'").collect()] == ["a1. 19.37.233.111 22 or 2"]
+
+
+def test_cells_keep_the_digits_of_their_own_place(spark, tmp_path):
+    spark.createDataFrame([(1, "head\n0 a | 11 | 2 |  | 34"), (2, "head\n | 1 | 22 ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source_id: (r.cells, r.md5) for r in table_text(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, hashlib.md5(b"0 a | 11 | 2 | 34").hexdigest()), 2: (2, hashlib.md5(b"1 | 22").hexdigest())}
