@@ -22,6 +22,11 @@ DIMENSIONS = {"valuation": ("valuation", "p/e"), "operating growth": ("operating
 MEASURES = ("tool_correctness", "tool_efficiency", "answer_relevance", "answer_completeness", "citation_integrity")
 
 
+def _sorted(keyed: DataFrame) -> DataFrame:
+    """A table with a row for each case or key, met by sorted keys: its columns repeat, so files and shuffles are small for rows that a broadcast would unfold whole on the driver."""
+    return keyed.hint("merge")
+
+
 def check(name: str | Column, value: Column) -> Column:
     return F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
 
@@ -46,7 +51,7 @@ def _scored(rows: DataFrame, checks: Column) -> DataFrame:
 
 def answer_relevance(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """(case_id, configuration_id, value, rationale): companies and both dimensions are named; or, where no briefing is allowed, there is none and the status is typed."""
-    rows = predictions.join(cases, "case_id")
+    rows = predictions.join(_sorted(cases), "case_id")
     text = T.fold(F.coalesce("text", F.lit("")))
     companies = F.transform("required_companies", lambda c: F.struct(F.concat(F.lit("company "), c).alias("name"), F.contains(text, T.fold(c)).cast("double").alias("value")))
     dimensions = [check(f"mission dimension {name}", F.greatest(*(F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))) for name, words in DIMENSIONS.items()]
@@ -58,11 +63,11 @@ def answer_completeness(cases: DataFrame, predictions: DataFrame, facts: DataFra
     """(case_id, configuration_id, value, rationale): six checks, four of them shares of what is required."""
     none = F.array().cast("array<string>")
     # of a briefing's facts, only required ids and kinds are gathered: as many as are required at most
-    wanted = facts.join(cases.select("case_id", "required_evidence_ids", "required_fact_kinds"), "case_id")
+    wanted = facts.join(_sorted(cases.select("case_id", "required_evidence_ids", "required_fact_kinds")), "case_id")
     held = F.filter("evidence_ids", lambda e: F.array_contains("required_evidence_ids", e))
     ids = wanted.select(*KEY, F.explode(held).alias("e")).groupBy(*KEY).agg(F.collect_set("e").alias("ids"))
     kinds = wanted.where(F.array_contains("required_fact_kinds", F.col("kind"))).groupBy(*KEY).agg(F.collect_set("kind").alias("kinds"))
-    rows = predictions.join(cases, "case_id").join(ids, KEY, "left").join(kinds, KEY, "left")
+    rows = predictions.join(_sorted(cases), "case_id").join(_sorted(ids), KEY, "left").join(_sorted(kinds), KEY, "left")
     briefing, text = F.col("briefing"), T.fold(F.coalesce("text", F.lit("")))
     share = lambda required, have: F.when(F.size(required) == 0, 1.0).otherwise(F.size(F.filter(required, lambda x: F.array_contains(F.coalesce(have, none), x))) / F.size(required))
     checks = F.array(
@@ -88,11 +93,11 @@ def citation_integrity(cases: DataFrame, predictions: DataFrame, facts: DataFram
     pairs = good.where(F.col("capability") == document).select(*KEY, F.explode(met).alias("h")).select(*KEY, F.col("h.source").alias("source"), F.col("h.evidence_id").alias("evidence"), F.lit("document").alias("kind"))
     backed = known.unionByName(pairs).distinct().withColumn("_ok", F.lit(True))
     asked = facts.select(*KEY, "fact_no", "kind", F.when(F.size(sources) == 1, F.get(sources, F.lit(0))).alias("source"), F.when((F.col("kind") == "metric") & (F.size(ids) == 0), "").when((F.col("kind") == "document") & (F.size(ids) == 1), F.get(ids, F.lit(0))).alias("evidence"))
-    valid = asked.join(backed, [*KEY, "kind", "source", "evidence"], "left").groupBy(*KEY).agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("valid"))
+    valid = asked.join(_sorted(backed), [*KEY, "kind", "source", "evidence"], "left").groupBy(*KEY).agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("valid"))
     used = facts.select(*KEY, "fact_no", F.posexplode("source_references").alias("at", "source")).groupBy(*KEY, "source").agg(F.min(F.struct("fact_no", "at")).alias("first"))
     union = used.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "source"))), lambda s: s["source"]).alias("union"))  # the sources of one briefing
     none = F.array().cast("array<string>")
-    rows = predictions.join(cases, "case_id").join(valid, KEY, "left").join(union, KEY, "left")
+    rows = predictions.join(_sorted(cases), "case_id").join(_sorted(valid), KEY, "left").join(_sorted(union), KEY, "left")
     held, same = F.coalesce("valid", F.lit(False)), F.coalesce("source_references", none) == F.coalesce("union", none)
     checks = F.when(F.col("briefing"), F.array(check("observation-backed fact provenance", held), check("aggregate source union", same))).otherwise(F.array(check("expected no-briefing stop", ~F.col("allow_briefing") & (F.col("status") == F.col("expected_status")))))
     return _scored(rows, checks).withColumn("value", F.when(F.col("value") == 1, 1.0).otherwise(0.0))
@@ -104,12 +109,12 @@ def case_scores(cases: DataFrame, predictions: DataFrame, scores: dict[str, Data
     A case is released if its citations hold and a briefing is allowed or there is none. Latency is the sum over the trajectory, or over
     observations where there is none.
     """
-    rows = predictions.select(*KEY, "briefing").join(cases.select("case_id", "allow_briefing"), "case_id")
+    rows = predictions.select(*KEY, "briefing").join(_sorted(cases.select("case_id", "allow_briefing")), "case_id")
     for name in MEASURES:
-        rows = rows.join(scores[name].select(*KEY, F.col("value").alias(name)), KEY, "left")
+        rows = rows.join(_sorted(scores[name].select(*KEY, F.col("value").alias(name))), KEY, "left")
     took = trajectory.groupBy(*KEY).agg(F.sum("duration_ms").alias("_trajectory"))
     called = observations.groupBy(*KEY).agg(F.sum("duration_ms").alias("_observed"), F.count("*").alias("calls"))
-    rows = rows.join(took, KEY, "left").join(called, KEY, "left")
+    rows = rows.join(_sorted(took), KEY, "left").join(_sorted(called), KEY, "left")
     release = (F.col("citation_integrity") == 1) & (F.col("allow_briefing") | ~F.col("briefing"))
     return rows.select(*KEY, *MEASURES, F.coalesce(release, F.lit(False)).alias("release"), F.coalesce("calls", F.lit(0).cast("long")).alias("calls"), F.round(F.coalesce("_trajectory", "_observed", F.lit(0.0)), 6).alias("latency_ms"))
 

@@ -181,7 +181,7 @@ def answer_tables(spark, d):
     briefing = F.col("o_totalprice") > 20_000
     when = lambda c: F.when(briefing, c)
     said = F.concat_ws(" ", F.when(mon % 2 == 0, "RETURN"), F.when(dom % 2 == 0, "and sale"), F.when(mon <= 6, "by valuation"), F.when(dom > 10, "and revenue growth"))
-    predictions = o.join(used, o["o_orderkey"] == used["case_id"], "left").select(
+    predictions = o.join(used.hint("merge"), o["o_orderkey"] == used["case_id"], "left").select(
         F.col("o_orderkey").alias("case_id"), F.lit("given").alias("configuration_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "insufficient_evidence").otherwise("stopped").alias("status"), briefing.alias("briefing"), when(said).alias("text"),
         when(mon % 3).alias("cross_observations"), when(F.array(F.when(mon > 4, "Currency effects").otherwise("none"), F.when(dom > 20, "the Business Mix").otherwise("none"))).alias("limitations"), when(F.when(mon == 3, F.array_sort("u")).otherwise(F.coalesce("u", none))).alias("source_references"),
     )

@@ -1,6 +1,7 @@
 """Scores of answers: a case for each check."""
 
 from cairn.operators import scoring as S
+from cairn.session import materialise
 
 CASE = "case_id long, expected_status string, allow_briefing boolean, required_companies array<string>, required_evidence_ids array<string>, required_fact_kinds array<string>, required_limitations array<string>"
 PREDICTION = "case_id long, configuration_id string, status string, briefing boolean, text string, cross_observations int, limitations array<string>, source_references array<string>"
@@ -66,3 +67,11 @@ def test_case_scores_and_summary(spark):
     assert {names[n] for n, r in rows.items() if r.release} == {name for name, (*_, want) in CASES.items() if want[2] == 1} - {"stop with a briefing"}
     s = S.summarise(S.case_scores(cases, predictions, scores, trajectory, calls)).first()
     assert s.cases == len(CASES) and not s.released and s.answer_relevance_passed == sum(w[2] == 1 for *_, w in CASES.values()) and s.max_latency_ms == 5.0
+
+
+def test_rows_of_cases_are_never_broadcast(spark):
+    """Files of repeated values are small whatever the number of cases: their size must not choose the join."""
+    cases, predictions, facts, calls = (materialise(t, "scoring") for t in tables(spark))
+    for scored in (S.answer_relevance(cases, predictions), S.answer_completeness(cases, predictions, facts), S.citation_integrity(cases, predictions, facts, calls)):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
