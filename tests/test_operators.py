@@ -174,3 +174,20 @@ def test_cells_keep_the_digits_of_their_own_place(spark, tmp_path):
     spark.createDataFrame([(1, "head\n0 a | 11 | 2 |  | 34"), (2, "head\n | 1 | 22 ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.source_id: (r.cells, r.md5) for r in table_text(spark, str(tmp_path)).collect()}
     assert got == {1: (4, hashlib.md5(b"0 a | 11 | 2 | 34").hexdigest()), 2: (2, hashlib.md5(b"1 | 22").hexdigest())}
+
+
+def test_dense_ranking_over_blocks_is_that_over_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_ROWS", 7)
+    rng = random.Random(5)
+    vs = [(f"p{i:03}", rng.choice(["en", " EN", "fr", None]), [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(90)]
+    qs = [(i, rng.choice(["en", None, "xx"]), [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(30)]
+    unit = lambda v: [x / (math.hypot(*v) or 1) for x in v]
+    want = {}
+    for q, limit, a in qs:
+        rows = [(-round(sum(x * y for x, y in zip(unit(a), unit(b), strict=True)), 6) + 0.0, p) for p, own, b in vs if limit is None or (own or "").strip().lower() == limit]
+        want |= {(q, n): (p, -s + 0.0) for n, (s, p) in enumerate(sorted(rows)[:5], 1)}
+    odd = [("n1", "en", None), ("n2", "en", [1.0, None, 0.0, 0.0]), ("n3", "en", [math.nan, 0.0, 0.0, 0.0]), ("n4", "en", [math.inf, 0.0, 0.0, 0.0])]  # without a cosine
+    v = spark.createDataFrame(vs + odd, "passage_id string, period string, v array<double>")
+    got = R.dense_ranked(v, spark.createDataFrame(qs, "query_id long, period string, v array<double>"), 5).collect()
+    assert {(r.query_id, r.rank): (r.passage_id, r.score + 0.0) for r in got} == want and len(got) == len(want)
+    assert R.dense_ranked(v.limit(0), spark.createDataFrame(qs, "query_id long, period string, v array<double>"), 5).count() == 0
