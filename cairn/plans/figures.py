@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.operators import finance as X
 from cairn.session import broadcast_if_small
 from cairn.sources.contracts import SQL, blocks, table
+from cairn.sources.html import small_batches
 
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "table", "li")
 CURRENCY = ("USD", "EUR", "GBP", "JPY", "CHF")
@@ -56,7 +57,7 @@ def _blocks(spark, d):
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in small_batches(whole, 1)):
             rows = [(p, *r) for p, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in html_rows(h)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["page_id", "ordinal", "tag", "text"])
 

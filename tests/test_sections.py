@@ -3,8 +3,11 @@
 import random
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql.types import LongType
 
 from cairn.operators import sections as S
+from cairn.plans import figures
 from cairn.plans.sections import ORACLES, html_sections
 from cairn.sources import html as H
 from tests.oracle import same
@@ -104,3 +107,28 @@ def test_sql_of_pages_knows_skipped_levels(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR); CREATE TABLE events (user_id BIGINT, event_id BIGINT, event_type VARCHAR, ts TIMESTAMP, value DOUBLE, props VARCHAR)")
     same(html_sections(spark, str(tmp_path)), con, ORACLES["html_sections"])
+
+
+def test_pages_are_handed_on_in_small_batches(monkeypatch):
+    texts = ["x" * 30, None, "y" * 70, "z" * 250, "", "w"]
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array(range(6)), "html": pa.array(texts, pa.string())})
+    monkeypatch.setattr(H, "CHARACTERS", 100)
+    assert [b.column(0).to_pylist() for b in H.small_batches(batch, 1)] == [[0, 1, 2], [3], [4, 5]]
+    assert [b.column(0).to_pylist() for b in H.small_batches(batch.slice(3, 1), 1)] == [[3]] and list(H.small_batches(batch.slice(0, 0), 1)) == []
+
+
+def test_a_large_batch_of_pages_is_not_read_whole(monkeypatch):
+    """The functions of both parsers give several batches for one: what they hold doesn't grow with Spark's batches."""
+    monkeypatch.setattr(H, "CHARACTERS", 1000)
+    pages = pa.RecordBatch.from_pydict({"page_id": pa.array(range(50)), "name": pa.array(["n"] * 50), "html": pa.array(["<p>" + "a " * 200 + "</p>"] * 50)})
+
+    class Pages:
+        schema = {"page_id": type("Field", (), {"dataType": LongType()})}
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    monkeypatch.setattr(figures, "table", lambda *_: Pages())
+    monkeypatch.setattr(H.F, "col", lambda name: type("Column", (), {"alias": lambda *_: None, "cast": lambda self, _: self})())
+    for run, columns in ((H.html_blocks(Pages()), ["page_id", "name", "html"]), (figures._blocks(None, None), ["page_id", "html"])):
+        out = list(run(iter([pages.select(columns)])))
+        assert len(out) == 17 and sum(b.num_rows for b in out) == 50
