@@ -10,7 +10,7 @@ Similarity is that of an alignment of the two sequences of labelled shingles: ma
 
 Texts of the same words (by a 128-bit cryptographic digest of them) are one node. A bucket (the nodes of one sketch) is never paired out: in each round each bucket has a
 leader, and each node whose class is not the leader's meets the leaders of all its buckets, save those with which it shares
-fewer than MIN_SHARED of all sketches. Leaders are drawn by node in the first round, so that a group has few of them, and by
+fewer than LIKELY of all sketches: such a pair is seldom a link, and is left to the join below. Leaders are drawn by node in the first round, so that a group has few of them, and by
 bucket in the others; every second round prefers nodes with most links in the round before, so an original meets all copies
 that are alike only through it. Links move classes to lesser ones that they are linked with, and buckets of one class are done
 with. Rounds go on while one links a share of the open nodes (WORTH) or more, ROUNDS at most.
@@ -49,6 +49,8 @@ SHINGLE = 5
 PICKS = 3
 SKETCHES = 20
 MIN_SHARED = 2
+#: Sketches that a pair shares before a round compares it; the others are left to the join that settles what is open.
+LIKELY = 6
 SIMILARITY = 0.8
 #: A round is followed by another if it has linked a thirtieth of the nodes in open buckets.
 ROUNDS, WORTH = 10, 30
@@ -180,8 +182,26 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "_k1", "_k2", "_text").mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, node binary, n int, sketches array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shared: int) -> DataFrame:
-    """(a, b, one, two): classes and nodes of the pairs of nodes that share ``shared`` sketches or more and align to SIMILARITY or more.
+def _salted(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with a salt, and ``texts`` as (b, salt, ...): a ``b`` of very many pairs is joined in SALTS parts. ``pairs`` is a written table."""
+    hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") * HOT_SHARE > max(pairs.count(), HOT_SHARE * SALTS)).select("b", F.lit(SALTS).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    pairs = pairs.join(F.broadcast(hot), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
+    more = texts.join(F.broadcast(hot), "b").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
+    return pairs, texts.withColumn("salt", F.lit(0)).unionByName(more)
+
+
+def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs that share LIKELY sketches or more and whose lengths allow a link."""
+    pairs, two = _salted(pairs, texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb")))
+    one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("sa"))
+    lengths = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
+    both = pairs.join(one, "a").join(two, ["b", "salt"])
+    return both.where(lengths & (F.size(F.array_intersect("sa", "sb")) >= LIKELY)).select("a", "b", "ca", "cb")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, one, two): classes and nodes of the pairs of nodes that align to SIMILARITY or more.
 
     ``pairs`` is (a, b, ca, cb), a written table; ``b`` may be the same node in very many pairs.
     """
@@ -197,16 +217,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shared: int) -> DataFrame:
                     keep[i + t] = similarity(x[xo[t] : xo[t + 1]], y[yo[t] : yo[t + 1]]) >= SIMILARITY - 1e-12
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(4)], names=["a", "b", "one", "two"])
 
-    hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") * HOT_SHARE > max(pairs.count(), HOT_SHARE * SALTS)).select("b", F.lit(SALTS).alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    pairs = pairs.join(F.broadcast(hot), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
-    one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("sa"))
-    two = texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb"), F.col("_text").alias("tb"))
-    more = two.join(F.broadcast(hot), "b").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
-    two = two.withColumn("salt", F.lit(0)).unionByName(more)
-    lengths = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
-    likely = pairs.join(one, "a").join(two, ["b", "salt"]).where(lengths & (F.size(F.array_intersect("sa", "sb")) >= shared)).select("a", "b", "ca", "cb", "tb")
-    both = likely.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
+    pairs, two = _salted(pairs, texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")))
+    both = pairs.join(two, ["b", "salt"]).join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
     return both.select("ca", "cb", "a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, one binary, two binary")
 
 
@@ -332,11 +344,12 @@ def _classify(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     met = members.groupBy("node").agg(F.count("*").alias("k")).where(F.col("k") >= MIN_SHARED).select("node").join(nodes.select("node", "head._k1", "head._k2", "n", "sketches"), "node")
     texts = row_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id", "_text").join(met, ["_k1", "_k2"]).select("node", "n", "sketches", "_text").dropDuplicates(["node"])
     texts = materialise(texts, "bucket-texts")
-    links, compared, new, open_nodes = [], [], None, texts.count()
+    links, met, compared, new, open_nodes = [], [], [], None, texts.count()
     for step in range(ROUNDS):
-        pairs = materialise(_uncompared(_meetings(members, step, new), compared), "meetings")
-        compared.append(pairs)
-        new = materialise(_verified(pairs, texts, MIN_SHARED), "links")
+        pairs = materialise(_uncompared(_meetings(members, step, new), met), "meetings")
+        met.append(pairs)
+        compared.append(materialise(_likely(pairs, texts), "likely"))
+        new = materialise(_verified(compared[-1], texts), "links")
         links.append(new)
         moved = members.join(_hooked(new), "class", "left").select("node", F.coalesce("to", "class").alias("class"), "s")
         before, members = members, materialise(_open(moved), "bucket-members")
@@ -354,11 +367,11 @@ def _classify(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     some = materialise(pairs.withColumn("_r", likeliest).where(F.col("_r") <= FIRST).select("a", "b", "ca", "cb"), "likeliest")
     for step, left in enumerate((some, None)):
         left = materialise(_uncompared(_relabelled(pairs, classes), [some]), "unlinked") if step else left
-        more = materialise(_verified(left, texts, 0), "links")
+        more = materialise(_verified(left, texts), "links")
         if not more.isEmpty():
             joined = classes.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more.select("one", "two").toDF("a", "b"))
             classes = materialise(connected(joined), "components")
-    discard(before, members, pairs, texts, some, *compared)
+    discard(before, members, pairs, texts, some, *met, *compared)
     # facts of the classes of several documents, by node, then beside every document
     several = nodes.select("node", "head", "copies").join(classes, "node", "left").where("class is not null or copies > 1")
     several = materialise(several.select("node", F.coalesce("class", "node").alias("class_key"), "head", "copies"), "nodes-of-several")

@@ -175,3 +175,18 @@ def test_folded_words_tell_words_apart():
 
     assert folded("Ab, c", "", "ab c!", "abc", " é", "--") == [b"ab\0c\0", b"", b"ab\0c\0", b"abc\0", "é".encode() + b"\0", b""]
     assert folded("", "") == [b"", b""]
+
+
+def test_texts_that_share_a_passage_only_are_not_compared_in_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = word(100)
+    rows = [(i, " ".join(passage + word(55))) for i in range(60)]
+    copy = rows[0][1].split()
+    copy[-1] = "other"
+    rows.append((60, " ".join(copy)))
+    compared, verified = [], ordminhash._verified
+    monkeypatch.setattr(ordminhash, "_verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    got = ordminhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {**{i: i for i in range(60)}, 60: 0}
+    assert 1 <= sum(compared) < 60
