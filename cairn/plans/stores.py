@@ -23,7 +23,7 @@ CONFIGURATIONS = {"bounded": TOP, "first-only": 1}
 
 def configured_cases(spark, d):
     """Case metrics of the same cases under both configurations, from one ranking."""
-    hits = R.ranked(R.bm25_scores(passages(spark, d), questions(spark, d)), TOP).join(passages(spark, d).select("passage_id", "period"), "passage_id")
+    hits = R.ranked(R.bm25_scores(passages(spark, d), questions(spark, d), k=TOP), TOP).join(passages(spark, d).select("passage_id", "period"), "passage_id")
     hits, cases = materialise(hits, "hits"), materialise(answers(spark, d), "answers")
     both = [E.case_metrics(cases, hits.where(F.col("rank") <= k)).withColumn("run_id", F.lit(name)) for name, k in CONFIGURATIONS.items()]
     return materialise(both[0].unionByName(both[1]), "configured-cases")

@@ -191,3 +191,16 @@ def test_dense_ranking_over_blocks_is_that_over_all_pairs(spark, monkeypatch):
     got = R.dense_ranked(v, spark.createDataFrame(qs, "query_id long, period string, v array<double>"), 5).collect()
     assert {(r.query_id, r.rank): (r.passage_id, r.score + 0.0) for r in got} == want and len(got) == len(want)
     assert R.dense_ranked(v.limit(0), spark.createDataFrame(qs, "query_id long, period string, v array<double>"), 5).count() == 0
+
+
+def test_scores_by_blocks_hand_on_the_best_only_and_all_ties(spark, monkeypatch):
+    monkeypatch.setattr(R, "SCORE_ROWS", 4)
+    rows = [(f"P{i:02}", "en" if i % 3 else "De ", "alpha beta " + "gamma " * (i // 4)) for i in range(40)]
+    p = spark.createDataFrame([*rows, ("P40", "en", None), ("P41", None, "alpha")], "passage_id string, period string, text string")
+    q = spark.createDataFrame([(1, "alpha gamma", None), (2, "beta gamma gamma", "de"), (3, "delta", None), (4, "alpha", "EN"), (5, "alpha", None), (6, None, None)], "query_id long, question string, period string")
+    for scores in (R.bm25_scores, lambda *a, **o: R.bm25_scores(*a, "eligible", **o), R.tfidf_scores):
+        every, some = scores(p, q).collect(), scores(p, q, k=2).collect()
+        best = lambda rows: {r: [x.passage_id for x in sorted((x for x in rows if x.query_id == r), key=lambda x: (-x.score, x.passage_id))[:2]] for r in range(1, 7)}
+        assert best(every) == best(some) and len(some) < len(every)
+        assert {(r.query_id, r.passage_id) for r in every if r.query_id == 2} == {(2, f"P{i:02}") for i in range(0, 40, 3)}
+        assert len([r for r in every if r.query_id == 4]) == 26 and not best(every)[3] and not best(every)[6]
