@@ -57,12 +57,16 @@ class Queues:
         self.memory.setdefault(key, []).append((at, shared))
         self.held += len(at)
         if self.held > self.rows:
+            small, kept = self.rows // (2 * len(self.memory)), {}  # a file for a few rows costs more than it frees; all that stay are half of the bound
             for k, parts in self.memory.items():
+                if sum(len(x) for x, _ in parts) <= small:
+                    kept[k] = parts
+                    continue
                 with open(f"{self.path}-{k}.at", "ab") as a, open(f"{self.path}-{k}.shared", "ab") as b:
                     np.concatenate([x for x, _ in parts]).tofile(a)
                     np.concatenate([y for _, y in parts]).tofile(b)
                 self.files[k] = self.files.get(k, 0) + sum(len(x) for x, _ in parts)
-            self.memory, self.held = {}, 0
+            self.memory, self.held = kept, sum(len(x) for parts in kept.values() for x, _ in parts)
 
     def _blocks(self, name: str, rows: int, backward: bool) -> Iterator[Tuples]:
         starts = range(0, rows, BLOCK)

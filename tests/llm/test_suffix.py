@@ -62,3 +62,15 @@ def test_removes_what_brute_force_removes(spark, monkeypatch, hot):
 
 def test_empty_table(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_queues_write_no_file_for_a_few_rows(tmp_path):
+    q, one = suffix.Queues(str(tmp_path), "q", 100), np.zeros(1, np.int16)
+    for i in range(20):
+        q.push(i % 10, np.array([i]), one)
+    q.push(10, np.arange(100, 190), np.zeros(90, np.int16))
+    assert set(q.files) == {10} and q.held == 20
+    q.push(10, np.array([190]), one)
+    assert [x for at, _ in q.take(3) for x in at.tolist()] == [3, 13]
+    assert [x for at, _ in q.backward(10) for x in at.tolist()] == list(range(190, 99, -1))
+    assert [x for at, _ in q.take(10) for x in at.tolist()] == list(range(100, 191))
