@@ -60,6 +60,8 @@ SALTS = 32
 FIRST = 8
 #: Texts, or pairs of texts, that a Python worker is handed at once.
 BATCH = 1000
+#: Links of which the facts by node are broadcast; more of them are joined by a shuffle.
+FEW = 100_000
 #: Texts with one shingle in their prefixes meet in blocks of about so many.
 BLOCK = 256
 _ORDERS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -182,28 +184,36 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("doc_id", "_k1", "_k2", "_text").mapInArrow(run, f"doc_id {kind}, _k1 long, _k2 long, node binary, n int, sketches array<long>")
 
 
-def _salted(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``pairs`` with a salt, and ``texts`` as (b, salt, ...): a ``b`` of very many pairs is joined in SALTS parts. ``pairs`` is a written table."""
+def _hot(pairs: DataFrame) -> DataFrame | None:
+    """(b, parts): each ``b`` of very many pairs, fewer than HOT_SHARE by their share; None if there is none. ``pairs`` is a written table."""
     hot = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") * HOT_SHARE > max(pairs.count(), HOT_SHARE * SALTS)).select("b", F.lit(SALTS).alias("parts"))
+    few = hot.collect()
+    return pairs.sparkSession.createDataFrame(few, hot.schema) if few else None
+
+
+def _salted(pairs: DataFrame, texts: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` with a salt, and ``texts`` as (b, salt, ...): a ``b`` of very many pairs is joined in SALTS parts."""
+    if hot is None:
+        return pairs.withColumn("salt", F.lit(0)), texts.withColumn("salt", F.lit(0))
     parts = F.coalesce("parts", F.lit(1))
     pairs = pairs.join(F.broadcast(hot), "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
     more = texts.join(F.broadcast(hot), "b").withColumn("salt", F.explode(F.sequence(F.lit(1), F.col("parts") - 1))).drop("parts")
     return pairs, texts.withColumn("salt", F.lit(0)).unionByName(more)
 
 
-def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, texts: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Those of the pairs that share LIKELY sketches or more and whose lengths allow a link."""
-    pairs, two = _salted(pairs, texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb")))
+    pairs, two = _salted(pairs, texts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketches").alias("sb")), hot)
     one = texts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketches").alias("sa"))
     lengths = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-9
     both = pairs.join(one, "a").join(two, ["b", "salt"])
     return both.where(lengths & (F.size(F.array_intersect("sa", "sb")) >= LIKELY)).select("a", "b", "ca", "cb")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(a, b, one, two): classes and nodes of the pairs of nodes that align to SIMILARITY or more.
 
-    ``pairs`` is (a, b, ca, cb), a written table; ``b`` may be the same node in very many pairs.
+    ``pairs`` is (a, b, ca, cb); ``hot`` tells which ``b`` are the same node in very many pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -217,7 +227,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep[i + t] = similarity(x[xo[t] : xo[t + 1]], y[yo[t] : yo[t + 1]]) >= SIMILARITY - 1e-12
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(4)], names=["a", "b", "one", "two"])
 
-    pairs, two = _salted(pairs, texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")))
+    pairs, two = _salted(pairs, texts.select(F.col("node").alias("b"), F.col("_text").alias("tb")), hot)
     both = pairs.join(two, ["b", "salt"]).join(texts.select(F.col("node").alias("a"), F.col("_text").alias("ta")), "a")
     return both.select("ca", "cb", "a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, one binary, two binary")
 
@@ -228,29 +238,33 @@ def connected(edges: DataFrame) -> DataFrame:
     def star(links: DataFrame, large: bool) -> DataFrame:
         sides = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = sides.join(least, "u")
-        if large:  # greater neighbours to the least of the neighbourhood
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        joined = sides.join(F.broadcast(least) if few else least, "u")
+        if large:  # greater neighbours to the least of the neighbourhood, a row a link
+            rows = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            return rows if few else rows.distinct()
         lesser = joined.where("v < u")
         return lesser.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lesser.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    few = links.count() <= FEW  # stars make no more links than there were
+    links = links if few else links.distinct()
     while True:
         before, links = links, materialise(star(star(links, True), False), "stars")
         discard(before)
         # done when each node has one link, to a node that has none
         ends = links.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-        if ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty():
+        if not ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").count():
             break
     return links.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
-def _hooked(links: DataFrame) -> DataFrame:
-    """(class, to): each linked class to the least one next to it, and from there once more. Components take some rounds of this."""
+def _hooked(links: DataFrame, few: bool) -> DataFrame:
+    """(class, to): each linked class to the least one next to it, and from there once more. Components take some rounds of this. ``few`` links are broadcast."""
     sides = links.select(F.col("a").alias("class"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("class"), F.col("a").alias("v")))
     least = sides.groupBy("class").agg(F.min("v").alias("v")).select("class", F.least("class", "v").alias("to"))
     onward = least.select(F.col("class").alias("to"), F.col("to").alias("on"))
-    return least.join(onward, "to").select("class", F.col("on").alias("to"))
+    hooked = least.join(F.broadcast(onward) if few else onward, "to").select("class", F.col("on").alias("to"))
+    return F.broadcast(hooked) if few else hooked
 
 
 def _meetings(members: DataFrame, step: int, links: DataFrame | None) -> DataFrame:
@@ -348,13 +362,15 @@ def _classify(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     for step in range(ROUNDS):
         pairs = materialise(_uncompared(_meetings(members, step, new), met), "meetings")
         met.append(pairs)
-        compared.append(materialise(_likely(pairs, texts), "likely"))
-        new = materialise(_verified(compared[-1], texts), "links")
+        hot = _hot(pairs)
+        compared.append(materialise(_likely(pairs, texts, hot), "likely"))
+        new = materialise(_verified(compared[-1], texts, hot), "links")
         links.append(new)
-        moved = members.join(_hooked(new), "class", "left").select("node", F.coalesce("to", "class").alias("class"), "s")
+        linked = new.count()
+        moved = members.join(_hooked(new, linked <= FEW), "class", "left").select("node", F.coalesce("to", "class").alias("class"), "s")
         before, members = members, materialise(_open(moved), "bucket-members")
         discard(before)
-        if new.count() * WORTH < open_nodes:
+        if linked * WORTH < open_nodes:
             break
     # rounds move classes a step at a time: what is left open is told by the components of the links so far
     none = nodes.where(F.lit(False)).select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -367,7 +383,7 @@ def _classify(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     some = materialise(pairs.withColumn("_r", likeliest).where(F.col("_r") <= FIRST).select("a", "b", "ca", "cb"), "likeliest")
     for step, left in enumerate((some, None)):
         left = materialise(_uncompared(_relabelled(pairs, classes), [some]), "unlinked") if step else left
-        more = materialise(_verified(left, texts), "links")
+        more = materialise(_verified(left, texts, _hot(left)), "links")
         if not more.isEmpty():
             joined = classes.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(more.select("one", "two").toDF("a", "b"))
             classes = materialise(connected(joined), "components")

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 
 from cairn.llm import ordminhash
+from cairn.session import materialise
 
 
 def lcs(a, b):
@@ -190,3 +191,17 @@ def test_texts_that_share_a_passage_only_are_not_compared_in_rounds(spark, monke
     got = ordminhash.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {**{i: i for i in range(60)}, 60: 0}
     assert 1 <= sum(compared) < 60
+
+
+def test_components_of_few_links_take_few_stages(spark, monkeypatch):
+    """Facts by node of few links are broadcast; the shuffles beyond that number give the same components."""
+    edges = materialise(spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(0, 12) if i % 4 < 3], "a binary, b binary"), "edges")
+    components = lambda: {bytes(r.node): bytes(r["class"]) for r in ordminhash.connected(edges).collect()}
+    stages = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    start = stages()
+    got = components()
+    few = stages() - start
+    assert got == {bytes([i]): bytes([i // 4 * 4]) for i in range(12)}
+    monkeypatch.setattr(ordminhash, "FEW", -1)
+    start = stages()
+    assert components() == got and few < stages() - start
