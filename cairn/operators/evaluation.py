@@ -84,14 +84,14 @@ def call_graph_problems(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """
     from cairn.session import materialise
 
-    calls = edges.select("case_id", "call_id").distinct()
+    calls = edges.select("case_id", F.col("call_id").alias("needs"))  # only held against: repeated ones do no harm
     needs = edges.where("needs is not null")
-    unknown = needs.join(calls.withColumnRenamed("call_id", "needs"), ["case_id", "needs"], "left_anti").select("case_id", "call_id", F.lit("unknown_prerequisite").alias("problem"))
-    left = needs.join(calls.withColumnRenamed("call_id", "needs"), ["case_id", "needs"], "left_semi").select("case_id", "call_id", "needs").distinct()
+    unknown = needs.join(calls, ["case_id", "needs"], "left_anti").select("case_id", "call_id", F.lit("unknown_prerequisite").alias("problem"))
+    left = needs.join(calls, ["case_id", "needs"], "left_semi").select("case_id", "call_id", "needs")
     left = materialise(left, "call-edges")
     size = left.count()
     for _ in range(max_depth):
-        kept = materialise(left.join(left.select("case_id", F.col("call_id").alias("needs")).distinct(), ["case_id", "needs"], "left_semi"), "call-edges")
+        kept = materialise(left.join(left.select("case_id", F.col("call_id").alias("needs")), ["case_id", "needs"], "left_semi"), "call-edges")
         now = kept.count()
         left = kept
         if now in (0, size):

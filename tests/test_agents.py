@@ -48,3 +48,16 @@ def test_each_owner(spark):
     made = {r.case_id: (r.value, r.rationale) for r in agents.call_correctness(case, expected, observed).collect()}
     assert made["untyped"] == (round(2 / 3, 6), "Satisfied: expected call 1, replan count 0. Missing: typed error lost.")
     assert made["replanner"] == (round(1 / 3, 6), "Satisfied: replan count 1. Missing: expected call 1, dependency 7 before 1.")
+
+
+def test_call_graph_rounds_aggregate_nothing(spark, monkeypatch):
+    """Calls are only held against, so repeated ones needn't be gathered first; they change nothing."""
+    from cairn import session
+    from cairn.operators import evaluation
+
+    plans, write = [], session.materialise
+    monkeypatch.setattr(session, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 2, 1), (1, 3, 2), (2, 1, None), (2, 2, 1), (2, 3, 9), (2, 3, 9)], "case_id long, call_id long, needs long")
+    got = sorted((r.case_id, r.call_id, r.problem) for r in evaluation.call_graph_problems(edges).collect())
+    assert got == [(1, 1, "cycle"), (1, 2, "cycle"), (1, 3, "cycle"), (2, 3, "unknown_prerequisite"), (2, 3, "unknown_prerequisite")]
+    assert plans and not any("Aggregate" in p for p in plans)
