@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.operators.evaluation import score_checks
+from cairn.session import materialise
 
 
 def _blank(text: Column) -> Column:
@@ -66,7 +67,8 @@ def call_checks(cases: DataFrame, expected: DataFrame, observed: DataFrame) -> D
     an array of call ids; ``observed`` (case_id, position, signature, status, error_code).
     """
     first = observed.groupBy("case_id", "signature").agg(F.min("position").alias("at"))
-    calls = expected.join(first, ["case_id", "signature"], "left").select("case_id", "call_id", "needs", "at")
+    # written, so that no task holds these sorts besides those of the checks
+    calls = materialise(expected.join(first, ["case_id", "signature"], "left").select("case_id", "call_id", "needs", "at"), "calls")
     named = lambda no, name, value: (F.struct(F.lit(no).alias("kind"), "call_id").alias("no"), name.alias("name"), value.cast("double").alias("value"))
     seen = calls.select("case_id", *named(0, F.concat(F.lit("expected call "), F.col("call_id").cast("string")), F.col("at").isNotNull()))
     errors = observed.where("status = 'error' and error_code is not null").select("case_id", F.col("error_code").alias("code")).distinct().withColumn("_seen", F.lit(True))

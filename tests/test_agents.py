@@ -61,3 +61,12 @@ def test_call_graph_rounds_aggregate_nothing(spark, monkeypatch):
     got = sorted((r.case_id, r.call_id, r.problem) for r in evaluation.call_graph_problems(edges).collect())
     assert got == [(1, 1, "cycle"), (1, 2, "cycle"), (1, 3, "cycle"), (2, 3, "unknown_prerequisite"), (2, 3, "unknown_prerequisite")]
     assert plans and not any("Aggregate" in p for p in plans)
+
+
+def test_call_checks_hold_no_sorts_of_the_calls(spark):
+    cases = spark.createDataFrame([(1, ["e"], 1, 1)], "case_id long, expected_errors array<string>, expected_replans int, replans int")
+    expected = spark.createDataFrame([(1, 1, "a", []), (1, 2, "b", [1])], "case_id long, call_id long, signature string, needs array<long>")
+    observed = spark.createDataFrame([(1, 5, "a", "ok", None), (1, 7, "b", "error", "e")], "case_id long, position long, signature string, status string, error_code string")
+    scored = agents.call_correctness(cases, expected, observed)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("min(position") == 0
+    assert [r.value for r in scored.collect()] == [1.0]
