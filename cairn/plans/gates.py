@@ -10,7 +10,7 @@ from cairn.operators import evaluation as E
 from cairn.operators import finance, ranking
 from cairn.operators import gates as X
 from cairn.operators import scoring
-from cairn.session import materialise
+from cairn.session import materialise, spread
 from cairn.plans import evals, stores
 from cairn.sources.contracts import SQL, questions, table
 
@@ -146,7 +146,7 @@ COMPANY_LIST = [("en", "tion", 1, ["the", "of"]), ("fr", "elle", 2, ["le", "que"
 
 def balanced_chunks(spark, d):
     """Lines of documents as chunks of four companies (languages): six for each question, shared out evenly."""
-    docs = table(spark, d, "documents").select(F.col("lang").alias("company"), "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "text")).where("trim(text) <> ''")
+    docs = spread(table(spark, d, "documents")).select(F.col("lang").alias("company"), "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("at", "text")).where("trim(text) <> ''")
     kind = F.when(F.contains("text", F.lit(" | ")), "table").otherwise("text")
     chunks = docs.select(F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("at").cast("string"), 6, "0")).alias("chunk_id"), "company", kind.alias("kind"), (F.floor(F.col("at") / 4) + 1).alias("page"), "text")
     companies = spark.createDataFrame(COMPANY_LIST, "company string, name string, place int, expansion array<string>")

@@ -84,3 +84,29 @@ def test_balanced_ranking(spark):
     assert got[4] == ["n2", "n1"]  # a company's own words alone
     one = ranking.balanced(questions.where("query_id = 2"), chunks, companies, 1).collect()
     assert [(r.chunk_id, r.rank) for r in one] == [("n2", 1)]  # one place for each company, one in all
+
+
+def test_balanced_ranking_by_blocks_hands_on_the_best_only(spark, monkeypatch):
+    for name, rows in (("CHUNK_ROWS", 20), ("ASKED_ROWS", 3), ("SCORE_ROWS", 2)):
+        monkeypatch.setattr(ranking, name, rows)
+    handed = []
+    monkeypatch.setattr(ranking, "_share_best", lambda *a, f=ranking._share_best: handed.append(f(*a)) or handed[-1])
+    companies = [("N", "acme", 1, ["gaming"]), ("S", "borel", 2, [])]
+    words = ("revenue", "growth", "gaming", "cost", "the")
+    chunks = [(f"c{i:03}", "NSX"[i % 3] if i % 17 else None, "table" if i % 7 == 0 else None, i % 5 or None, " ".join(w for j, w in enumerate(words) if i >> j & 1) if i % 19 else None) for i in range(300)]
+    questions = [(1, "Acme revenue growth"), (2, "revenue cost"), (3, "acme and borel cost growth"), (4, "nothing"), (5, None), (6, "gaming the Borel"), (7, "growth"), (8, "cost")]
+    chunks_, questions_ = spark.createDataFrame(chunks, "chunk_id string, company string, kind string, page int, text string"), spark.createDataFrame(questions, "query_id long, question string")
+    k, want = 6, []
+    for q, text in questions:
+        named = [c for c in companies if text and c[1] in text.lower()]
+        asked, found = named if len(named) == 1 else companies, []
+        for company, _, _, expansion in asked:
+            # without a question there are no words, the company's own neither
+            terms = {w for w in (text or "").lower().split() if w not in ranking.BALANCED_STOP_WORDS} | set(expansion) if text else set()
+            scored = [(-len(terms & set((c[4] or "").split()) - {"the"}), c[2] != "table", c[3] or 0, c[0]) for c in chunks if c[1] == company]
+            found += [(q, company, c, -s) for s, _, _, c in sorted(scored)[: k // len(asked)] if s]
+        want += [(*x, i) for i, x in enumerate(found, 1)]
+    got = ranking.balanced(questions_, chunks_, spark.createDataFrame(companies, "company string, name string, place int, expansion array<string>"), k)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 20
+    # 100 chunks of a company at most are 5 blocks: of each, the share of an asking at most, not a row for each chunk that meets
+    assert handed and handed[0].groupBy("query_id", "company", "share").count().where("count > 5 * share").count() == 0
