@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,26 @@ def test_scores_by_blocks_hand_on_the_best_only_and_all_ties(spark, monkeypatch)
         assert best(every) == best(some) and len(some) < len(every)
         assert {(r.query_id, r.passage_id) for r in every if r.query_id == 2} == {(2, f"P{i:02}") for i in range(0, 40, 3)}
         assert len([r for r in every if r.query_id == 4]) == 26 and not best(every)[3] and not best(every)[6]
+
+
+@pytest.mark.parametrize("bound", [10, 200_000])
+def test_tfidf_postings_are_dealt_by_their_number(spark, monkeypatch, bound):
+    """Beyond ``bound`` terms meet by a shuffle; a task's rows don't grow with the table either way."""
+    monkeypatch.setattr(R, "QUERY_ROWS", bound)
+    monkeypatch.setattr(R, "TASK_ROWS", 100, raising=False)
+    texts = {f"P{i:02}": ["common", *(f"word{i * 7 % 40 + j * j}" for j in range(30)), *["twice"] * (i % 3)] for i in range(60)}
+    p = spark.createDataFrame([(k, "en", " ".join(v)) for k, v in texts.items()] + [("P98", "en", None), ("P99", "en", "")], "passage_id string, period string, text string")
+    df = Counter(t for v in texts.values() for t in set(v))
+    want = {}
+    for k, v in texts.items():
+        raw = [n * (math.log((1 + 62) / (1 + df[t])) + 1) for t, n in Counter(v).items()]
+        want[k] = sorted(round(x / math.sqrt(sum(y * y for y in raw)), 9) for x in raw)
+    weights, got = R.tfidf_weights(p), {}
+    for r in weights.collect():
+        got.setdefault(r.passage_id, []).append(round(r.w, 9))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert weights.rdd.getNumPartitions() >= sum(map(len, want.values())) / 100
+    if bound == 10:
+        own, idf, parts = R._inverse_frequencies(p)
+        met = R._with_idf(own, idf, parts)
+        assert met.rdd.getNumPartitions() >= parts > 10 and met.where("idf is null").count() == 0 and met.count() == own.count()
