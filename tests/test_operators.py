@@ -18,8 +18,11 @@ from cairn.operators import guards as G
 from cairn.operators import ranking as R
 from cairn.operators import sections as S
 from cairn.plans.audits import eligible_blocks
+from cairn.plans.chunks import ORACLES as CHUNK_SQL
+from cairn.plans.chunks import sentence_similarity
 from cairn.plans.figures import financial_metadata, financial_units, html_rows, snapshot_violations, table_text
 from cairn.plans.texts import common_prefix
+from tests.oracle import same, views
 
 
 def one(spark, column, **values):
@@ -228,3 +231,20 @@ def test_tfidf_postings_are_dealt_by_their_number(spark, monkeypatch, bound):
         own, idf, parts = R._inverse_frequencies(p)
         met = R._with_idf(own, idf, parts)
         assert met.rdd.getNumPartitions() >= parts > 10 and met.where("idf is null").count() == 0 and met.count() == own.count()
+
+
+@pytest.mark.parametrize("tokens", [1, 40, 1_000_000])
+def test_neighbouring_sentences_meet_within_their_row(spark, tmp_path, monkeypatch, tokens):
+    """Nothing but ids, and texts of ids that come again, is shuffled; the results are those of the SQL, whatever is compared at a time."""
+    monkeypatch.setattr(C, "PROFILE_TOKENS", tokens, raising=False)
+    rng = random.Random(3)
+    words = ["red", "Blue", "the", "of", "x", "été", "1a", "same"]
+    text = lambda: "".join(" ".join(rng.choices(words, k=rng.randrange(6))) + rng.choice([". ", "\n", "?! ", " "]) for _ in range(rng.randrange(12)))
+    rows = [(i, text()) for i in range(60)] + [(i % 3 + 58, text()) for i in range(7)] + [(None, "red blue. red blue."), (100, None), (101, ""), (101, "red same. red."), (102, "the. of."), (59, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/parts")
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    got = sentence_similarity(spark, str(tmp_path))
+    same(got, views(str(tmp_path)), CHUNK_SQL["sentence_similarity"])
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 2 and "SortMergeJoin" not in plan and "term" not in plan
+    assert sentence_similarity(spark, str(tmp_path)).where("doc_id > 101").count() == 0
