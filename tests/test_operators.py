@@ -21,6 +21,8 @@ from cairn.plans.audits import eligible_blocks
 from cairn.plans.chunks import ORACLES as CHUNK_SQL
 from cairn.plans.chunks import sentence_similarity
 from cairn.plans.figures import financial_metadata, financial_units, html_rows, snapshot_violations, table_text
+from cairn.plans.ranks import ORACLES as RANK_SQL
+from cairn.plans.ranks import certified_search
 from cairn.plans.texts import common_prefix
 from tests.oracle import same, views
 
@@ -248,3 +250,55 @@ def test_neighbouring_sentences_meet_within_their_row(spark, tmp_path, monkeypat
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Join") == 2 and "SortMergeJoin" not in plan and "term" not in plan
     assert sentence_similarity(spark, str(tmp_path)).where("doc_id > 101").count() == 0
+
+
+def test_ranks_of_wanted_pairs_are_those_among_all(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_ROWS", 7)
+    rng = random.Random(8)
+    vs = [(f"p{i:03}", rng.choice(["en", " EN", "fr", None]), [float(rng.randrange(-1, 2)) for _ in range(3)]) for i in range(80)] + [("n1", "en", None), ("n2", "en", [math.nan, 0.0, 0.0])]
+    v = spark.createDataFrame(vs, "passage_id string, period string, v array<double>")
+    q = spark.createDataFrame([(i, rng.choice(["en", None]), [float(rng.randrange(-1, 2)) for _ in range(3)]) for i in range(20)], "query_id long, period string, v array<double>")
+    every = {(r.query_id, r.passage_id): r.rank for r in R.dense_ranked(v, q, 1000).collect()}
+    wanted = [p for p in every if rng.random() < 0.2 and p[0] != 3] + [(1, "n1"), (1, "n2")]
+    got = R.dense_ranks(v, q, spark.createDataFrame(wanted, "query_id long, passage_id string")).collect()
+    assert {(r.query_id, r.passage_id): r.rank for r in got} == {p: every[p] for p in wanted if p in every} and len(got) == len(wanted) - 2
+
+
+def test_no_candidate_of_the_certified_search_is_cut(spark, tmp_path, monkeypatch):
+    """More than twenty passages tie or come first in each channel; ranks beyond them, and of score 0, count too."""
+    monkeypatch.setattr(R, "BLOCK_ROWS", 9)
+    rng = random.Random(11)
+    texts = [rng.choice(["alpha beta", "alpha", "beta gamma alpha", "gamma", "", None]) for _ in range(150)] + ["rare alpha", "rare"]
+    docs = [(i, t, "s", rng.choice(["en", "fr", None])) for i, t in enumerate(texts)]
+    asked = [(0, "rare"), (2, "alpha"), (3, "gamma beta alpha"), (4, "rare gamma"), (5, "..."), (7, "unknown"), (8, "unknown"), (9, None)]
+    vectors = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(140)] + [(140, None), (141, [math.nan, 1.0, 0.0]), (142, [math.inf, 1.0, 0.0]), (151, [1.0, 2.0, 2.0])]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, source string, lang string"), ("benchmark", asked, "item_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}-parts")
+        next((tmp_path / f"{name}-parts").glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    con = views(str(tmp_path))
+    con.execute("CREATE TABLE events (user_id BIGINT, event_id BIGINT, event_type VARCHAR, ts TIMESTAMP, value DOUBLE, props VARCHAR)")
+    got = certified_search(spark, str(tmp_path))
+    same(got, con, RANK_SQL["certified_search"])
+    unit = lambda v: [x / (math.hypot(*v) or 1) for x in v]
+    vector, want = {i: unit(v) for i, v in vectors if v and all(map(math.isfinite, v))}, {}
+    for q, question in asked:
+        own = {i: Counter((t or "").split()) for i, t, _, lang in docs if q % 2 or lang == "en"}
+        mean = sum(t.total() for t in own.values()) / len(own)
+        idf = {w: math.log(1 + (len(own) - n + 0.5) / (n + 0.5)) for w in set((question or "").split()) if (n := sum(w in t for t in own.values())) + 1}
+        score = {i: round(sum(x * t[w] * 2.5 / (t[w] + 1.5 * (0.25 + 0.75 * t.total() / mean)) for w, x in idf.items()), 6) for i, t in own.items()}
+        near = {i: round(sum(a * b for a, b in zip(vector[q], vector[i], strict=True)), 6) for i in own if i in vector}
+        fused = Counter()
+        for weight, channel in ((10, score), (1, near)):
+            for n, i in enumerate(sorted(channel, key=lambda i: (-channel[i], i)), 1):
+                fused[i] += weight / (60 + n)
+        want |= {(q, n): (f"DOC-{i:08}", round(fused[i], 9)) for n, i in enumerate(sorted(fused, key=lambda i: (-round(fused[i], 9), i))[:3], 1)}
+        assert min(len(score), len(near)) > 40
+    assert {(r["query_id"], r["rank"]): (r["passage_id"], round(r["score"], 9)) for r in got.collect()} == want
+
+
+def test_depth_of_a_fusion_that_its_leading_channel_decides():
+    for k in (1, 3, 5):
+        m = R.deciding_depth({"a": 10.0, "b": 1.0}, "a", k)
+        assert 10 / (60 + m + 1) + 1 / 61 < 10 / (60 + k) <= 10 / (60 + m) + 1 / 61
+    with pytest.raises(ValueError):
+        R.deciding_depth({"a": 1.0, "b": 1.0}, "a", 3)
