@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cairn.operators import finance as X
 from cairn.session import broadcast_if_small
 from cairn.sources.contracts import SQL, blocks, table
+from cairn.sources.html import html_blocks as page_blocks
 from cairn.sources.html import small_batches
 
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "table", "li")
@@ -69,11 +70,10 @@ def html_blocks(spark, d):
 
 
 def heading_paths(spark, d):
-    """Headings with the path that leads to them: a heading cuts the path at its own level and is put at its end."""
-    h = _blocks(spark, d).where("tag rlike '^h[1-6]$'").select("page_id", "ordinal", F.substring("tag", 2, 1).cast("int").alias("level"), "text")
-    rows = h.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "level", "text"))).alias("h"))
-    path = F.aggregate("h", F.array().cast("array<string>"), lambda acc, s: F.concat(F.slice(acc, F.lit(1), s["level"] - 1), F.array(s["text"])))
-    return rows.select("page_id", F.size("h").alias("headings"), F.array_join(path, " > ").alias("last_path"))
+    """Every block of the pages with the path of headings that leads to it, none for those before the first: a heading cuts the path at its
+    own level and is put at its end, an empty one too; a heading's own path ends with it."""
+    b = page_blocks(table(spark, d, "pages"))
+    return b.select("page_id", "ordinal", "block_type", "level", F.size("section_path").alias("depth"), F.array_join("section_path", " > ").alias("path"))
 
 
 def html_h1(spark, d):

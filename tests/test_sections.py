@@ -132,3 +132,19 @@ def test_a_large_batch_of_pages_is_not_read_whole(monkeypatch):
     for run, columns in ((H.html_blocks(Pages()), ["page_id", "name", "html"]), (figures._blocks(None, None), ["page_id", "html"])):
         out = list(run(iter([pages.select(columns)])))
         assert len(out) == 17 and sum(b.num_rows for b in out) == 50
+
+
+def test_every_block_has_its_heading_path(spark, tmp_path):
+    pages = {
+        1: "<nav><li>n</li></nav><h1>A</h1><p>a</p><h3>B</h3><h3>C</h3><table><tr><td>1</td></tr></table><h2>D</h2><p>d</p><h1>E</h1><ul><li>e</li></ul>",
+        2: "<p>no heading</p>", 3: None, 4: "<h2>F</h2><p>f</p><h2> </h2><p>g</p>", 5: "<body><h1>out</h1><main><h2>in</h2><p>x</p></main><p>y</p></body>",
+    }
+    spark.createDataFrame(list(pages.items()), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {}
+    for r in figures.heading_paths(spark, str(tmp_path)).orderBy("page_id", "ordinal").collect():
+        got.setdefault(r.page_id, []).append((r.block_type, r.level, r.path))
+        assert r.ordinal == len(got[r.page_id]) - 1 and r.depth == (len(r.path.split(" > ")) if r.path or r.page_id == 4 and r.ordinal > 1 else 0)
+    assert got == {
+        1: [("list", None, ""), ("heading", 1, "A"), ("paragraph", None, "A"), ("heading", 3, "A > B"), ("heading", 3, "A > B > C"), ("table", None, "A > B > C"), ("heading", 2, "A > D"), ("paragraph", None, "A > D"), ("heading", 1, "E"), ("list", None, "E")],
+        2: [("paragraph", None, "")], 4: [("heading", 2, "F"), ("paragraph", None, "F"), ("paragraph", None, "F > ")], 5: [("heading", 2, "in"), ("paragraph", None, "in")],
+    }
